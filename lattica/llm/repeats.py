@@ -30,9 +30,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lattica.llm.common import partitions, settled
-from lattica.llm.symbols import BYTE_CODES, U, fingerprints, mix, paired, windows, word_codes
+from lattica.llm.symbols import BYTE_CODES, U, fingerprints, mix, windows, word_codes
 
 STRETCH = 1 << 20
 #: Cells in one flush of a map task, and bytes of their contents.
@@ -218,25 +219,28 @@ class Repeats:
 
         return gathered(self.grams(documents)).mapInArrow(run, ROW)
 
-    def with_texts(self, marks: DataFrame, documents: DataFrame) -> DataFrame:
-        """Marks and texts of each group of documents together, marks first; texts travel compressed."""
+    def with_texts(self, marks: DataFrame, documents: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+        """Marks and texts of each group of documents together, marks first; texts travel compressed, beside ``carried``."""
+        rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
 
         def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             press = zstandard.ZstdCompressor(level=3)
             for batch in batches:
                 blobs = [press.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column("text")]
-                yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array([9] * batch.num_rows, pa.int32()), pa.array(blobs, pa.binary()), batch.column("doc_id")], ["bucket", "kind", "blob", "doc_id"])
+                yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array([9] * batch.num_rows, pa.int32()), pa.array(blobs, pa.binary()), batch.column("doc_id"), batch.column("rest")], ["bucket", "kind", "blob", "doc_id", "rest"])
 
-        texts = documents.select(self.group(F.col("doc_id")).alias("bucket"), "doc_id", "text").mapInArrow(squeeze, ROW + ", doc_id long")
-        return gathered(marks.withColumn("doc_id", F.lit(None).cast("long")).unionByName(texts), "kind")
+        chosen = documents.select(self.group(F.col("doc_id")).alias("bucket"), "doc_id", "text", rest.alias("rest"))
+        texts = chosen.mapInArrow(squeeze, f"{ROW}, doc_id long, rest {chosen.schema['rest'].dataType.simpleString()}")
+        empty = {"doc_id": F.lit(None).cast("long"), "rest": F.lit(None).cast(chosen.schema["rest"].dataType)}
+        return gathered(marks.withColumns(empty).unionByName(texts), "kind")
 
     @staticmethod
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, int, np.ndarray, np.ndarray] | None]:
-        """(doc_id, data, crc, first, number) of each text, the last two its marks."""
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(doc_id, data, crc, first, number, carried) of each text; first and number are its marks."""
         press = zstandard.ZstdDecompressor()
         at, held, marks = None, [], None
         for batch in batches:
-            columns = [batch.column(c) for c in ("bucket", "kind", "blob", "doc_id")]
+            columns = [batch.column(c) for c in ("bucket", "kind", "blob", "doc_id", "rest")]
             for i in range(batch.num_rows):
                 bucket, kind = columns[0][i].as_py(), columns[1][i].as_py()
                 if bucket != at:
@@ -252,7 +256,7 @@ class Repeats:
                 crc = zlib.crc32(data)
                 a, b = np.searchsorted(marks[0], [doc_id, doc_id + 1]) if doc_id < (1 << 63) - 1 else (np.searchsorted(marks[0], doc_id), len(marks[0]))
                 own = slice(a, b) if b == a else slice(a + np.searchsorted(marks[1][a:b], crc, "left"), a + np.searchsorted(marks[1][a:b], crc, "right"))
-                yield doc_id, data, crc, marks[2][own], marks[3][own]
+                yield doc_id, data, crc, marks[2][own], marks[3][own], columns[4][i].as_py()
 
     def contents(self, marks: DataFrame, documents: DataFrame) -> DataFrame:
         """Step 2, at the documents: candidate cells with their contents to the bucket of their gram."""
@@ -279,7 +283,7 @@ class Repeats:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, n, size = [], 0, 0
-            for doc, data, crc, marked, _ in joined(batches):
+            for doc, data, crc, marked, *_ in joined(batches):
                 if not len(marked):
                     continue
                 text = unit(data)
@@ -340,45 +344,50 @@ class Repeats:
 
         return gathered(self.contents(marks, documents)).mapInArrow(run, ROW)
 
-    def applied(self, documents: DataFrame, digest: Callable, names: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
-        """doc_id and what ``digest(data, covered)`` makes of every document; ``covered`` marks its repeated units."""
+    def applied(self, documents: DataFrame, digest: Callable, names: dict[str, tuple[str, pa.DataType]], carried: tuple[str, ...] = ()) -> DataFrame:
+        """doc_id, what ``digest(text, covered)`` makes of every document, and the ``carried`` columns as struct ``rest``.
+
+        ``covered`` marks the document's repeated units.
+        """
         unit, window, joined = self.unit, self.window, self.joined
         columns = {"doc_id": ("long", pa.int64())} | names
-        there = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        documents = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
+        there = documents.where("doc_id is not null")
         candidates = settled(self.candidates(there), "candidates")
         released(self.spark)
         marks = settled(self.repeated(candidates, there), "marks")
         released(self.spark)
+        both = self.with_texts(marks, there, carried)
+        rest_type = both.schema["rest"].dataType
+        schema = ", ".join([*(f"{c} {k[0]}" for c, k in columns.items()), f"rest {rest_type.simpleString()}"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = []
-
-            def batch() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*found, strict=True), columns.values(), strict=True)], list(columns))
+        def batch_of(rows: list[tuple], rest: pa.Array) -> pa.RecordBatch:
+            arrays = [pa.array(x, k) for x, (_, k) in zip(zip(*rows, strict=True) if rows else [()] * len(columns), columns.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, rest], [*columns, "rest"])
 
-            size = 0
-            for doc, data, _, first, number in joined(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, rest, size, kind = [], [], 0, to_arrow_type(rest_type)
+            for doc, data, _, first, number, own in joined(batches):
                 text = unit(data)
                 change = np.zeros(text.n + 1, np.int32)
                 np.add.at(change, first, 1)
                 np.add.at(change, first + number + window - 1, -1)
                 found.append((doc, *digest(text, np.cumsum(change[:-1]) > 0)))
+                rest.append(own)
                 size += len(data)
                 if size > 8 << 20:
-                    yield batch()
-                    found, size = [], 0
+                    yield batch_of(found, pa.array(rest, kind))
+                    found, rest, size = [], [], 0
             if found:
-                yield batch()
-
-        done = self.with_texts(marks, there).mapInArrow(run, ", ".join(f"{c} {k[0]}" for c, k in columns.items()))
+                yield batch_of(found, pa.array(rest, kind))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = [unit((t.as_py() or "").encode("utf-8", "replace")) for t in b.column("text")]
-                rows = [(None, *digest(t, np.zeros(t.n, bool))) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows, strict=True) if rows else [()] * len(columns), columns.values(), strict=True)], list(columns))
+                yield batch_of([(None, *digest(t, np.zeros(t.n, bool))) for t in texts], b.column("rest"))
 
-        return done.union(documents.where("doc_id is null").select("text").mapInArrow(whole, done.schema))
+        rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
+        return both.mapInArrow(run, schema).union(documents.where("doc_id is null").select("text", rest.alias("rest")).mapInArrow(whole, schema))
 
 
 def smaller_holder(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -387,6 +396,3 @@ def smaller_holder(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.nd
     hit = np.empty(len(order), bool)
     hit[order] = doc[order] > np.repeat(doc[order][new], size)
     return hit
-
-
-__all__ = ["Bytes", "Repeats", "Words", "cells", "paired", "smaller_holder", "windows"]

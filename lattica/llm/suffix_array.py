@@ -16,9 +16,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lattica.llm.repeats import Bytes, Repeats, smaller_holder, windows
-from lattica.llm.symbols import BYTE_CODES
+from lattica.llm.repeats import Bytes, Repeats, smaller_holder
+from lattica.llm.symbols import BYTE_CODES, windows
 
 WINDOW = 50
 GRAM = 20
@@ -53,7 +54,7 @@ def digest(text: Bytes, covered: np.ndarray) -> tuple[int, int, int, str]:
 def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     columns = {"n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64()), "kept_sha256": ("string", pa.string())}
-    return repeats_of(documents, window).applied(documents, digest, columns)
+    return repeats_of(documents, window).applied(documents, digest, columns).drop("rest")
 
 
 def kept_text(text: Bytes, covered: np.ndarray) -> tuple[str, int]:
@@ -66,5 +67,11 @@ def kept_text(text: Bytes, covered: np.ndarray) -> tuple[str, int]:
 
 
 def removed(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, n_removed): every document with its repeated passages taken out."""
-    return repeats_of(documents, window).applied(documents, kept_text, {"text": ("string", pa.string()), "n_removed": ("long", pa.int64())})
+    """Every row of ``documents`` with its repeated passages taken out of ``text``, and ``n_chars``, if there, counted anew.
+
+    Null texts become empty.  The other columns are kept as they are.
+    """
+    carried = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
+    found = repeats_of(documents, window).applied(documents, kept_text, {"text": ("string", pa.string()), "n_removed": ("long", pa.int64())}, carried)
+    counted = {"n_chars": F.length("text").cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
+    return found.select("doc_id", "text", *(["rest.*"] if carried else [])).withColumns(counted).select(*documents.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lattica.llm.repeats import Repeats, Words
-from lattica.llm.symbols import U, windows, word_codes
+from lattica.llm.symbols import windows, word_codes
 
 WINDOW = 50
 GRAM = 20
@@ -111,7 +111,4 @@ def digest(text: Words, covered: np.ndarray) -> tuple[int, int, str]:
 def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
     columns = {"n_words": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "kept_sha256": ("string", pa.string())}
-    return repeats_of(documents, window).applied(documents, digest, columns)
-
-
-__all__ = ["U", "digests", "rank_trees", "repeats_of"]
+    return repeats_of(documents, window).applied(documents, digest, columns).drop("rest")
