@@ -140,10 +140,11 @@ def variance_inflation(spark: SparkSession, rows: DataFrame, columns: Sequence[s
     """(feature, vif, advice): the diagonal of the inverse correlation matrix; constant features have none."""
     import numpy as np
 
-    spread = rows.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
-    used = [c for c in columns if spread[c]]
+    spread = rows.agg(*[(F.stddev_pop(c) / (F.abs(F.avg(c)) + 1)).alias(c) for c in columns]).first()
+    used = [c for c in columns if (spread[c] or 0) > 1e-12]
     vector = VectorAssembler(inputCols=used, outputCol="v").transform(rows.fillna(0.0, used))
-    vif = np.diag(np.linalg.pinv(Correlation.corr(vector, "v").first()[0].toArray()))  # features by features
+    correlation = Correlation.corr(vector, "v").first()[0].toArray()  # features by features
+    vif = np.diag(np.linalg.inv(correlation + 1e-9 * np.eye(len(used))))  # collinear features get a very large one
     return spark.createDataFrame([(c, float(v), "remove" if v > ceiling else "keep") for c, v in zip(used, vif, strict=True)], "feature string, vif double, advice string")
 
 
