@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,8 +44,13 @@ def settled(df: DataFrame, label: str = "cut") -> DataFrame:
 
     Parquet in a shared folder survives the loss of any executor and is smaller than an RDD checkpoint.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    path, conf = fresh_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")  # the shuffle files of this write are deleted when it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     atexit.register(remove_path, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -78,7 +86,6 @@ def bounded_labels(documents: DataFrame, labels: DataFrame, label: str, training
     )
     n = chosen.count()
     if n > most:
-        share = int(most / n * 1_000_000)
-        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(most / n * (1 << 40)))
     # About `most` rows of two small columns: a bounded table, so the documents need no shuffle.
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")

@@ -38,8 +38,8 @@ from lattica.llm.symbols import BYTE_CODES, U, fingerprints, mix, windows, word_
 STRETCH = 1 << 20
 #: Cells in one flush of a map task, and bytes of their contents.
 FLUSH_CELLS, FLUSH_BYTES = 200_000, 24 << 20
-#: Documents' groups, and buckets of names, per shuffle partition.
-SPREAD = 4
+#: Bytes of texts in one blob; a longer text has one of its own.
+BLOB_BYTES = 1 << 20
 _POSITION = U((1 << 24) - 1)
 
 
@@ -72,7 +72,10 @@ class Words:
 
 
 def cells(text: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram name, first window, number of windows, fingerprint of the content) of each cell, in order."""
+    """(gram name of 48 bits, first window, number of windows, fingerprint of the content) of each cell, in order.
+
+    Grams of one name by chance only make candidates of windows that repeat nowhere.
+    """
     parts = []
     for base in range(0, text.n - window + 1, STRETCH):
         codes = text.codes(base, min(text.n, base + STRETCH + window - 1))
@@ -87,25 +90,40 @@ def cells(text: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, np.n
         first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         count = np.diff(np.append(first, len(chosen)))
         print_ = mix(fingerprints(codes, first, first + count + window - 1) + count.astype(U))
-        parts.append((names[chosen[first]], first + base, count, print_))
+        parts.append((names[chosen[first]] >> U(16), first + base, count, print_))
     if not parts:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as one blob, each stored together."""
-    return len(arrays[0]).to_bytes(8, "little") + b"".join([np.ascontiguousarray(a).tobytes() for a in arrays])
+    """Arrays of one length as one compressed blob, each stored together."""
+    return zstandard.ZstdCompressor(level=1).compress(len(arrays[0]).to_bytes(8, "little") + b"".join([np.ascontiguousarray(a).tobytes() for a in arrays]))
 
 
 def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(blob[:8], "little"), 8, []
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
     for kind in kinds:
-        out.append(np.frombuffer(blob, kind, n, at))
+        out.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return out
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences, which compress well where values climb; ``np.cumsum`` undoes them."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def halves(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A name's 48 bits as the 32 upper and the 16 lower ones."""
+    return (name >> U(16)).astype(np.uint32), (name & U(0xFFFF)).astype(np.uint16)
+
+
+def whole(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    return (upper.astype(U) << U(16)) | lower.astype(U)
+
+
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the indices of its entries."""
     order = np.argsort(bucket, kind="stable")
@@ -115,8 +133,8 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 ROW = "bucket int, kind int, blob binary"
-#: What a row of blobs holds: occurrences of grams, grams known to repeat, marks, and cells with their contents.
-GRAMS, REPEATED, MARKS, CELLS = 0, 1, 2, 3
+#: What a row's blob holds: occurrences of grams, grams known to repeat, marks, cells with their contents, texts.
+GRAMS, REPEATED, MARKS, CELLS, TEXTS = 0, 1, 2, 3, 9
 MARK = (np.int64, np.uint32, np.int32, np.int32)  # doc_id, crc, first cell or window, number of windows
 
 
@@ -141,8 +159,8 @@ def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
 
 
 def gathered(df: DataFrame, *order: str) -> DataFrame:
-    """Rows of one bucket in one partition, together."""
-    return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", *order)
+    """Each bucket as the partition of its number; a map task then writes one row per partition and not per key."""
+    return df.repartitionById(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", *order)
 
 
 def released(spark: SparkSession) -> None:
@@ -156,7 +174,7 @@ class Repeats:
 
     def __init__(self, spark: SparkSession, unit: type, window: int, gram: int, rank: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]):
         self.spark, self.unit, self.window, self.gram, self.rank = spark, unit, window, gram, rank
-        self.spread = SPREAD * partitions(spark)
+        self.spread = partitions(spark)
 
     def group(self, doc: Column) -> Column:
         return F.pmod(doc, F.lit(self.spread)).cast("int")
@@ -175,9 +193,9 @@ class Repeats:
             size = np.diff(np.append(np.flatnonzero(new), len(order)))
             again = np.empty(len(name), bool)
             again[order] = np.repeat(size > 1, size)
-            rows = [(b, GRAMS, packed(name[once], doc[once], crc[once], cell[once])) for b, i in by_bucket((name % U(spread)).astype(np.int64)) if len(once := i[~again[i]])]
+            rows = [(b, GRAMS, packed(*halves(name[once]), doc[once], crc[once], steps(cell[once]))) for b, i in by_bucket((name % U(spread)).astype(np.int64)) if len(once := i[~again[i]])]
             known = name[order][new][size > 1]
-            rows += [(b, REPEATED, packed(known[i])) for b, i in by_bucket((known % U(spread)).astype(np.int64))]
+            rows += [(b, REPEATED, packed(*halves(known[i]))) for b, i in by_bucket((known % U(spread)).astype(np.int64))]
             here = np.flatnonzero(again)
             rows += [(b, MARKS, packed(doc[here[i]], crc[here[i]], cell[here[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(doc[here] % spread)]
             return rows_of(rows)
@@ -208,11 +226,11 @@ class Repeats:
                 ready = [(bucket, MARKS, r["blob"]) for r in rows if r["kind"] == MARKS]
                 if ready:
                     yield rows_of(ready)
-                grams = [unpacked(r["blob"], U, np.int64, np.uint32, np.int32) for r in rows if r["kind"] == GRAMS]
+                grams = [unpacked(r["blob"], np.uint32, np.uint16, np.int64, np.uint32, np.int32) for r in rows if r["kind"] == GRAMS]
                 if not grams:
                     continue
-                name, doc, crc, cell = (np.concatenate(x) for x in zip(*grams, strict=True))
-                known = np.unique(np.concatenate([np.zeros(0, U), *(unpacked(r["blob"], U)[0] for r in rows if r["kind"] == REPEATED)]))
+                name, doc, crc, cell = (np.concatenate(x) for x in zip(*((whole(g[0], g[1]), g[2], g[3], np.cumsum(g[4], dtype=np.int32)) for g in grams), strict=True))
+                known = np.unique(np.concatenate([np.zeros(0, U), *(whole(*unpacked(r["blob"], np.uint32, np.uint16)) for r in rows if r["kind"] == REPEATED)]))
                 distinct, at, size = np.unique(name, return_inverse=True, return_counts=True)
                 keep = np.flatnonzero(((size > 1) | np.isin(distinct, known, assume_unique=True))[at])
                 yield rows_of([(b, MARKS, packed(doc[keep[i]], crc[keep[i]], cell[keep[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(doc[keep] % spread)])
@@ -224,14 +242,32 @@ class Repeats:
         rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
 
         def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Texts of one group in a batch as one blob, which compresses better than each by itself."""
             press = zstandard.ZstdCompressor(level=3)
             for batch in batches:
-                blobs = [press.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column("text")]
-                yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array([9] * batch.num_rows, pa.int32()), pa.array(blobs, pa.binary()), batch.column("doc_id"), batch.column("rest")], ["bucket", "kind", "blob", "doc_id", "rest"])
+                buckets, ids, texts = batch.column("bucket").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("text")
+                rows = []
+                for bucket, entries in by_bucket(buckets):
+                    size, begin = 0, 0
+                    data = [(texts[int(i)].as_py() or "").encode("utf-8", "replace") for i in entries]
+                    for k, d in enumerate(data):
+                        size += len(d)
+                        if size >= BLOB_BYTES or k == len(data) - 1:
+                            part = slice(begin, k + 1)
+                            rows.append((bucket, press.compress(b"".join(data[part])), ids[entries[part]].tolist(), [len(x) for x in data[part]], entries[part]))
+                            size, begin = 0, k + 1
+                if not rows:
+                    continue
+                rest = batch.column("rest").take(pa.array(np.concatenate([r[4] for r in rows])))
+                rest = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]), pa.int32()), rest)
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                columns = ([r[0] for r in rows], [TEXTS] * len(rows), *([r[k] for r in rows] for k in (1, 2, 3)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), rest], ["bucket", "kind", "blob", "doc_ids", "sizes", "rest"])
 
         chosen = documents.select(self.group(F.col("doc_id")).alias("bucket"), "doc_id", "text", rest.alias("rest"))
-        texts = chosen.mapInArrow(squeeze, f"{ROW}, doc_id long, rest {chosen.schema['rest'].dataType.simpleString()}")
-        empty = {"doc_id": F.lit(None).cast("long"), "rest": F.lit(None).cast(chosen.schema["rest"].dataType)}
+        kind = chosen.schema["rest"].dataType
+        texts = chosen.mapInArrow(squeeze, f"{ROW}, doc_ids array<long>, sizes array<long>, rest array<{kind.simpleString()}>")
+        empty = {"doc_ids": F.lit(None).cast("array<long>"), "sizes": F.lit(None).cast("array<long>"), "rest": F.lit(None).cast(texts.schema["rest"].dataType)}
         return gathered(marks.withColumns(empty).unionByName(texts), "kind")
 
     @staticmethod
@@ -240,7 +276,7 @@ class Repeats:
         press = zstandard.ZstdDecompressor()
         at, held, marks = None, [], None
         for batch in batches:
-            columns = [batch.column(c) for c in ("bucket", "kind", "blob", "doc_id", "rest")]
+            columns = [batch.column(c) for c in ("bucket", "kind", "blob", "doc_ids", "sizes", "rest")]
             for i in range(batch.num_rows):
                 bucket, kind = columns[0][i].as_py(), columns[1][i].as_py()
                 if bucket != at:
@@ -252,17 +288,21 @@ class Repeats:
                     doc, crc, first, number = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [np.zeros(0, k) for k in MARK]
                     order = np.lexsort((first, crc, doc))
                     marks, held = (doc[order], crc[order], first[order], number[order]), []
-                doc_id, data = columns[3][i].as_py(), press.decompress(columns[2][i].as_py())
-                crc = zlib.crc32(data)
-                a, b = np.searchsorted(marks[0], [doc_id, doc_id + 1]) if doc_id < (1 << 63) - 1 else (np.searchsorted(marks[0], doc_id), len(marks[0]))
-                own = slice(a, b) if b == a else slice(a + np.searchsorted(marks[1][a:b], crc, "left"), a + np.searchsorted(marks[1][a:b], crc, "right"))
-                yield doc_id, data, crc, marks[2][own], marks[3][own], columns[4][i].as_py()
+                block, at_byte = press.decompress(columns[2][i].as_py()), 0
+                for doc_id, size, rest in zip(columns[3][i].as_py(), columns[4][i].as_py(), columns[5][i].as_py(), strict=True):
+                    data = block[at_byte : at_byte + size]
+                    at_byte += size
+                    crc = zlib.crc32(data)
+                    a, b = np.searchsorted(marks[0], doc_id, "left"), np.searchsorted(marks[0], doc_id, "right")
+                    own = slice(a + np.searchsorted(marks[1][a:b], crc, "left"), a + np.searchsorted(marks[1][a:b], crc, "right"))
+                    yield doc_id, data, crc, marks[2][own], marks[3][own], rest
 
     def contents(self, marks: DataFrame, documents: DataFrame) -> DataFrame:
         """Step 2, at the documents: candidate cells with their contents to the bucket of their gram."""
         unit, window, gram, spread, joined = self.unit, self.window, self.gram, self.spread, self.joined
 
         def flush(found: list[tuple]) -> pa.RecordBatch:
+            press = zstandard.ZstdCompressor(level=3)
             sizes = [len(f[2]) for f in found]
             doc, crc = np.repeat(np.array([f[0] for f in found], np.int64), sizes), np.repeat(np.array([f[1] for f in found], np.uint32), sizes)
             name, first, count, print_ = (np.concatenate([f[2 + k] for f in found]) for k in range(4))
@@ -277,8 +317,8 @@ class Repeats:
             for b, i in by_bucket((name[own] % U(spread)).astype(np.int64)):
                 i = own[i]
                 texts = [content[k] for k in i]
-                head = packed(name[i], doc[i], crc[i], first[i].astype(np.int32), count[i].astype(np.int32), np.array([len(t) for t in texts], np.int32))
-                rows.append((b, CELLS, head + b"".join(texts)))
+                head = packed(*halves(name[i]), doc[i], crc[i], steps(first[i].astype(np.int32)), count[i].astype(np.int32), np.array([len(t) for t in texts], np.int32))
+                rows.append((b, CELLS, len(head).to_bytes(8, "little") + head + press.compress(b"".join(texts))))
             return rows_of(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +345,7 @@ class Repeats:
         spread, rank = self.spread, self.rank
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            press = zstandard.ZstdDecompressor()
             for bucket, rows in buckets_of(batches):
                 ready = [(bucket, MARKS, r["blob"]) for r in rows if r["kind"] == MARKS]
                 if ready:
@@ -312,17 +353,27 @@ class Repeats:
                 heads, contents = [], []
                 for r in rows:
                     if r["kind"] == CELLS:
-                        head = unpacked(r["blob"], U, np.int64, np.uint32, np.int32, np.int32, np.int32)
-                        heads.append(head)
-                        at = 8 + len(head[0]) * 32
-                        for n in head[5].tolist():
-                            contents.append(r["blob"][at : at + n])
+                        size = 8 + int.from_bytes(r["blob"][:8], "little")
+                        upper, lower, doc, crc, first, count, sizes = unpacked(r["blob"][8:size], np.uint32, np.uint16, np.int64, np.uint32, np.int32, np.int32, np.int32)
+                        heads.append((whole(upper, lower), doc, crc, np.cumsum(first, dtype=np.int32), count))
+                        texts, at = press.decompress(r["blob"][size:]), 0
+                        for n in sizes.tolist():
+                            contents.append(texts[at : at + n])
                             at += n
                 if not heads:
                     continue
-                name, doc, crc, first, count, _ = (np.concatenate(x) for x in zip(*heads, strict=True))
-                # Names that one cell alone has sent need no ranking; the others are ranked some names at a time.
-                order = np.argsort(name, kind="stable")
+                name, doc, crc, first, count = (np.concatenate(x) for x in zip(*heads, strict=True))
+                # Of equal cells those of the smallest document are ranked; in the others every window is a repeat.
+                least: dict[bytes, int] = {}
+                for c, d in zip(contents, doc.tolist(), strict=True):
+                    if least.setdefault(c, d) > d:
+                        least[c] = d
+                later = doc > np.array([least[c] for c in contents], np.int64)
+                k = np.flatnonzero(later)
+                yield rows_of([(g, MARKS, packed(doc[k[j]], crc[k[j]], first[k[j]], count[k[j]])) for g, j in by_bucket(doc[k] % spread)])
+                # Names that one content alone has need no ranking; the others are ranked some names at a time.
+                order = np.flatnonzero(~later)
+                order = order[np.argsort(name[order], kind="stable")]
                 edges = np.flatnonzero(np.concatenate([[True], np.diff(name[order]) != 0, [True]]))
                 chosen, n = [], 0
                 for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
@@ -358,7 +409,7 @@ class Repeats:
         marks = settled(self.repeated(candidates, there), "marks")
         released(self.spark)
         both = self.with_texts(marks, there, carried)
-        rest_type = both.schema["rest"].dataType
+        rest_type = both.schema["rest"].dataType.elementType
         schema = ", ".join([*(f"{c} {k[0]}" for c, k in columns.items()), f"rest {rest_type.simpleString()}"])
 
         def batch_of(rows: list[tuple], rest: pa.Array) -> pa.RecordBatch:
@@ -381,13 +432,13 @@ class Repeats:
             if found:
                 yield batch_of(found, pa.array(rest, kind))
 
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = [unit((t.as_py() or "").encode("utf-8", "replace")) for t in b.column("text")]
                 yield batch_of([(None, *digest(t, np.zeros(t.n, bool))) for t in texts], b.column("rest"))
 
         rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
-        return both.mapInArrow(run, schema).union(documents.where("doc_id is null").select("text", rest.alias("rest")).mapInArrow(whole, schema))
+        return both.mapInArrow(run, schema).union(documents.where("doc_id is null").select("text", rest.alias("rest")).mapInArrow(untouched, schema))
 
 
 def smaller_holder(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -69,7 +69,7 @@ def word_codes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A name for each ordered pair of names."""
-    return mix(a * U(_BASE) + mix(b + U(0x632BE59BD9B4E019)))
+    return mix(a * U(_BASE) + b * U(0x632BE59BD9B4E019))
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
