@@ -109,7 +109,7 @@ def approximate_top_k(embeddings: DataFrame, every: int = 20, k: int = 20, shard
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     n, dim, norm = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1)), F.sqrt(F.max(squares))).first()
     share = min(1.0, sample_rows / max(1, n))
-    chosen = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else vectors
+    chosen = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else vectors
     sample = np.zeros((0, dim))
     if rows := chosen.orderBy("vec_id", "embedding").select("embedding").toPandas()["embedding"].tolist():
         sample = np.array([np.pad(np.asarray(r, float), (0, dim - len(r))) for r in rows])
