@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
 #: Fragments and pieces remembered by a worker; others are encoded again each time.
@@ -139,7 +140,7 @@ def word_bpe(path: str) -> WordBpe:
 def encode_column(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every row of ``documents`` with ``ids`` (array of int) and ``decoded`` (string) added; clashing columns are replaced."""
     kept = documents.drop("ids", "decoded")
-    schema = kept.schema.add("ids", "array<int>").add("decoded", "string")
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
