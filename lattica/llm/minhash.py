@@ -34,14 +34,13 @@ from lattica.llm.symbols import U, mix, windows, word_codes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: 42 bands of 6 miss a pair of similarity 0.8 with a probability of 3e-6; coordinates beyond the bands only estimate.
-BANDS, ROWS, K = 42, 6, 504
-#: How far below the threshold an estimate may lie, four standard deviations at K coordinates.
-MARGIN = 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
+#: 42 bands of 6 miss a pair of similarity 0.8 with a probability of 3e-6.
+BANDS, ROWS = 42, 6
+K = BANDS * ROWS
 #: Words sketched at a time.
 CHUNK_WORDS = 300_000
 #: Documents of a bucket in one block of the second comparison, and salts in the first join.
-BLOCK = 4096
+BLOCK = 2048
 SALTS = 16
 
 
@@ -101,7 +100,7 @@ def band_names(times: np.ndarray) -> np.ndarray:
 
 
 def sketched(documents: DataFrame) -> DataFrame:
-    """doc_id, a key of the multiset, band names and the signature's bytes; documents without words are left out."""
+    """doc_id, a key of the multiset and band names; documents without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,20 +117,19 @@ def sketched(documents: DataFrame) -> DataFrame:
                     sets = [r[1] for r in rows]
                     times = sketch(sets)
                     keys = np.array([[int(mix(s[0] * U(3) + s[1].astype(U)).sum(dtype=U)), int(mix(mix(s[0]) + s[1].astype(U)).sum(dtype=U))] for s in sets], U).view(np.int64)
-                    names, marks = band_names(times), (mix(times.view(U)) >> U(56)).astype(np.uint8)
+                    names = band_names(times)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([r[0] for r in rows], pa.int64()),
                             pa.array(keys[:, 0]),
                             pa.array(keys[:, 1]),
                             pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(names.reshape(-1))),
-                            pa.array([m.tobytes() for m in marks], pa.binary()),
                         ],
-                        ["doc_id", "k1", "k2", "bands", "marks"],
+                        ["doc_id", "k1", "k2", "bands"],
                     )
                     rows, words = [], 0
 
-    return documents.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>, marks binary")
+    return documents.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -152,54 +150,75 @@ def checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").mapInArrow(run, "a long, b long")
 
 
-def may_reach(mine: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
-    """Estimated similarities that aren't surely below the threshold, as pairs of indices."""
-    found = []
-    for i in range(len(mine)):
-        share = np.count_nonzero(others == mine[i], axis=1) / K
-        near = np.flatnonzero((share - 1 / 256) / (1 - 1 / 256) >= threshold - MARGIN)
-        found.append(np.column_stack([np.full(len(near), i), near]))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+def short_hashes(texts: DataFrame) -> DataFrame:
+    """(id, weight, hashes): 32-bit hashes of a document's shingles, each occurrence its own, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights, blobs = [], []
+            for text in batch.column("text"):
+                names, n = shingles(text.as_py())
+                again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                short = mix(np.repeat(names, n) ^ (again.astype(U) * U(0x9E3779B97F4A7C15))) >> U(32)
+                weights.append(int(n.sum()))
+                blobs.append(np.unique(short.astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weights, pa.int64()), pa.array(blobs, pa.binary())], ["id", "weight", "hashes"])
 
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, weight long, hashes binary")
 
-def remaining(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components within buckets, once each, that may reach the threshold.
 
-    ``members``: band, id, label and marks.  A bucket's minority (all but its largest component) is cut into blocks
-    of ``BLOCK``, and so are all its members; each pair of blocks is one group.
+def linked_in_block(rows: list[tuple], threshold: float) -> np.ndarray:
+    """Pairs (a, b) of a block's asking and asked documents of different labels whose short hashes reach the threshold.
+
+    ``rows``: id, label, weight, hashes, asks.
+    """
+    ids, labels, weights, asks = (np.array([r[k] for r in rows]) for k in (0, 1, 2, 4))
+    sets = [np.frombuffer(r[3], np.uint32) for r in rows]
+    sizes = np.array([len(x) for x in sets])
+    lost = weights - sizes  # hashes that two occurrences share
+    asked = np.flatnonzero(~asks)
+    values, owner = np.concatenate([sets[i] for i in asked]), np.repeat(np.arange(len(asked)), sizes[asked])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    found = []
+    for x in np.flatnonzero(asks):
+        begin, end = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
+        n = end - begin
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(asked)) + lost[x] + lost[asked]
+        near = (both >= threshold * (weights[x] + weights[asked] - both) - 1e-9) & (labels[asked] != labels[x])
+        other = ids[asked[near]]
+        found.append(np.column_stack([np.minimum(other, ids[x]), np.maximum(other, ids[x])]))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components within buckets that reach the threshold by their short hashes.
+
+    ``members``: band, id and label.  A bucket's minority (all but its largest component) is cut into blocks of
+    ``BLOCK``, and so are all its members; each pair of blocks is one group.
     """
     sizes = members.groupBy("band", "label").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.sum("n").alias("total"), F.max("n").alias("largest")).where("total > largest")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    within = members.join(open_, "band").withColumns({"mine": F.pmod(F.xxhash64("id"), blocks(F.col("total"))).cast("int"), "minor": F.pmod(F.xxhash64("id"), blocks(F.col("total") - F.col("largest"))).cast("int")})
-    asking = within.where("label <> most").select("band", F.col("minor").alias("row"), F.explode(F.sequence(F.lit(0), blocks(F.col("total")) - 1)).alias("col"), "id", "label", "marks", F.lit(True).alias("asks"))
-    asked = within.select("band", F.explode(F.sequence(F.lit(0), blocks(F.col("total") - F.col("largest")) - 1)).alias("row"), F.col("mine").alias("col"), "id", "label", "marks", F.lit(False).alias("asks"))
-
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        ids, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        marks, asks = np.frombuffer(b"".join([r[2] for r in rows]), np.uint8).reshape(-1, K), np.array([r[3] for r in rows])
-        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-        pair = may_reach(marks[x], marks[y], threshold)
-        p, q = x[pair[:, 0]], y[pair[:, 1]]
-        apart = labels[p] != labels[q]
-        p, q = p[apart], q[apart]
-        return np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), *(marks[p], marks[q])
+    within = settled(members.join(open_, "band"), "open")
+    hashes = short_hashes(texts.join(within.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    within = within.join(hashes, "id").withColumns({"mine": F.pmod(F.xxhash64("id"), blocks(F.col("total"))).cast("int"), "minor": F.pmod(F.xxhash64("id"), blocks(F.col("total") - F.col("largest"))).cast("int")})
+    columns = ("id", "label", "weight", "hashes")
+    asking = within.where("label <> most").select("band", F.col("minor").alias("row"), F.explode(F.sequence(F.lit(0), blocks(F.col("total")) - 1)).alias("col"), *columns, F.lit(True).alias("asks"))
+    asked = within.select("band", F.explode(F.sequence(F.lit(0), blocks(F.col("total") - F.col("largest")) - 1)).alias("row"), F.col("mine").alias("col"), *columns, F.lit(False).alias("asks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by block pair; only the rows of one are held at a time."""
         at, held = None, []
 
         def emit() -> pa.RecordBatch:
-            a, b, left, right = compare(held)
-            # Of the buckets that two documents share, the one with the smallest number emits the pair.
-            same = (left[:, : BANDS * ROWS] == right[:, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
-            first = same.argmax(axis=1) == at[3]
-            pairs = np.unique(np.column_stack([a[first], b[first]]), axis=0)
+            asks = [r[4] for r in held]
+            pairs = linked_in_block(held, threshold) if any(asks) and not all(asks) else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("band", "row", "col", "number", "id", "label", "marks", "asks")]
-            for row in zip(*columns, strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("name", "number", "row", "col", *columns, "asks")], strict=True):
                 if row[:4] != at:
                     if held:
                         yield emit()
@@ -208,9 +227,9 @@ def remaining(members: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield emit()
 
-    both = asking.union(asked).withColumn("number", F.col("band.number")).withColumn("band", F.col("band.name"))
-    grouped = both.repartition("band", "row", "col").sortWithinPartitions("band", "row", "col", "number")
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    key = ("name", "number", "row", "col")
+    both = asking.union(asked).select("band.name", "band.number", "row", "col", *columns, "asks")
+    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -218,7 +237,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = settled(sketched(docs), "sketches")
     contents = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
-    firsts = sketches.select("doc_id", "bands", "marks").join(contents.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id").dropDuplicates(["doc_id"])
+    firsts = sketches.select("doc_id", "bands").join(contents.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id").dropDuplicates(["doc_id"])
 
     bands = firsts.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("number", "name"))
     shared = settled(bands.groupBy("name", "number").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -233,8 +252,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     links = settled(checked(best, texts, threshold), "links")
 
     labels = components(links)
-    labelled = members.select("band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(firsts.select(F.col("doc_id").alias("id"), "marks"), "id")
-    more = checked(settled(remaining(labelled, threshold), "remaining"), texts, threshold)
+    labelled = members.select("band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    more = checked(settled(remaining(labelled, texts, threshold), "remaining"), texts, threshold)
     labels = components(settled(links.union(more), "links"))
 
     ids = sketches.select("doc_id", "k1", "k2").join(contents, ["k1", "k2"]).select("doc_id", "id").dropDuplicates(["doc_id"])
