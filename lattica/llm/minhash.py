@@ -150,50 +150,59 @@ def checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").mapInArrow(run, "a long, b long")
 
 
-def short_hashes(texts: DataFrame) -> DataFrame:
-    """(id, weight, hashes): 32-bit hashes of a document's shingles, each occurrence its own, ascending."""
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(id, hashes): a document's shingles as 64-bit names, each occurrence by its own, so that a multiset is a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weights, blobs = [], []
+            blobs = []
             for text in batch.column("text"):
                 names, n = shingles(text.as_py())
                 again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                short = mix(np.repeat(names, n) ^ (again.astype(U) * U(0x9E3779B97F4A7C15))) >> U(32)
-                weights.append(int(n.sum()))
-                blobs.append(np.unique(short.astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weights, pa.int64()), pa.array(blobs, pa.binary())], ["id", "weight", "hashes"])
+                blobs.append(mix(np.repeat(names, n) + again.astype(U) * U(0x9E3779B97F4A7C15)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "hashes"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, weight long, hashes binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, hashes binary")
 
 
-def linked_in_block(rows: list[tuple], threshold: float) -> np.ndarray:
-    """Pairs (a, b) of a block's asking and asked documents of different labels whose short hashes reach the threshold.
+def joining_links(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Links (a, b) between a block's asking and asked documents that connect the labels which all its links connect.
 
-    ``rows``: id, label, weight, hashes, asks.
+    ``rows``: id, label, hashes, asks.
     """
-    ids, labels, weights, asks = (np.array([r[k] for r in rows]) for k in (0, 1, 2, 4))
-    sets = [np.frombuffer(r[3], np.uint32) for r in rows]
+    ids, labels, asks = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
+    sets = [np.frombuffer(r[2], U) for r in rows]
     sizes = np.array([len(x) for x in sets])
-    lost = weights - sizes  # hashes that two occurrences share
     asked = np.flatnonzero(~asks)
     values, owner = np.concatenate([sets[i] for i in asked]), np.repeat(np.arange(len(asked)), sizes[asked])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
     found = []
     for x in np.flatnonzero(asks):
         begin, end = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
         n = end - begin
         at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(asked)) + lost[x] + lost[asked]
-        near = (both >= threshold * (weights[x] + weights[asked] - both) - 1e-9) & (labels[asked] != labels[x])
-        other = ids[asked[near]]
-        found.append(np.column_stack([np.minimum(other, ids[x]), np.maximum(other, ids[x])]))
-    return np.unique(np.concatenate(found), axis=0)
+        both = np.bincount(owner[at], minlength=len(asked))
+        # The same quotient that ``similarity`` computes.
+        near = asked[(both / np.maximum(1, sizes[x] + sizes[asked] - both) >= threshold) & (labels[asked] != labels[x])]
+        for label, k in zip(*np.unique(labels[near], return_index=True), strict=True):
+            a, b = find(int(labels[x])), find(int(label))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((int(ids[near[k]]), int(ids[x])))
+    return found
 
 
 def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components within buckets that reach the threshold by their short hashes.
+    """Links between different components within buckets, as many as join what all such links would.
 
     ``members``: band, id and label.  A bucket's minority (all but its largest component) is cut into blocks of
     ``BLOCK``, and so are all its members; each pair of blocks is one group.
@@ -202,9 +211,9 @@ def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     open_ = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.sum("n").alias("total"), F.max("n").alias("largest")).where("total > largest")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     within = settled(members.join(open_, "band"), "open")
-    hashes = short_hashes(texts.join(within.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    hashes = occurrences(texts.join(within.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     within = within.join(hashes, "id").withColumns({"mine": F.pmod(F.xxhash64("id"), blocks(F.col("total"))).cast("int"), "minor": F.pmod(F.xxhash64("id"), blocks(F.col("total") - F.col("largest"))).cast("int")})
-    columns = ("id", "label", "weight", "hashes")
+    columns = ("id", "label", "hashes")
     asking = within.where("label <> most").select("band", F.col("minor").alias("row"), F.explode(F.sequence(F.lit(0), blocks(F.col("total")) - 1)).alias("col"), *columns, F.lit(True).alias("asks"))
     asked = within.select("band", F.explode(F.sequence(F.lit(0), blocks(F.col("total") - F.col("largest")) - 1)).alias("row"), F.col("mine").alias("col"), *columns, F.lit(False).alias("asks"))
 
@@ -213,9 +222,9 @@ def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFra
         at, held = None, []
 
         def emit() -> pa.RecordBatch:
-            asks = [r[4] for r in held]
-            pairs = linked_in_block(held, threshold) if any(asks) and not all(asks) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+            asks = [r[3] for r in held]
+            pairs = joining_links(held, threshold) if any(asks) and not all(asks) else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("name", "number", "row", "col", *columns, "asks")], strict=True):
@@ -253,8 +262,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     labels = components(links)
     labelled = members.select("band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = checked(settled(remaining(labelled, texts, threshold), "remaining"), texts, threshold)
-    labels = components(settled(links.union(more), "links"))
+    labels = components(settled(links.union(remaining(labelled, texts, threshold)), "links"))
 
     ids = sketches.select("doc_id", "k1", "k2").join(contents, ["k1", "k2"]).select("doc_id", "id").dropDuplicates(["doc_id"])
     classes = ids.join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
