@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -158,6 +159,30 @@ def test_classifiers_without_rows(spark, labelled, run):
     assert run(docs, labels.limit(0)).count() == 403  # nothing to learn from: a score all the same
 
 
+def test_every_byte_is_scored():
+    for text in ("x" * 300, "你好" * 1000, "a bc", "https://a.b/" + "c_" * 40):
+        clean = toxicity.clean(text)
+        high, low = toxicity.grams(clean)
+        begin = [max(clean.rfind(b" ", 0, i), i - toxicity.DEPTH) for i in range(1, len(clean))]
+        want = [clean[a : i + 1] for i, a in enumerate(begin, 1)]
+        assert [((int(h) & (1 << 48) - 1) << 64 | int(w)).to_bytes(14, "big")[14 - n :] for h, w, n in zip(high, low, toxicity.sizes(high), strict=True)] == want
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(3, 9))) for _ in range(1500)] + ["gamma"] * 100
+    counts = collections.Counter()
+    for i in range(400):
+        text = " ".join(rng.sample(words, 60) + ["rotten"] * (i % 4 == 0))
+        counts.update((g, i % 4 == 0) for g in set(zip(*(x.tolist() for x in toxicity.grams(toxicity.clean(text))), strict=True)))
+    high, low = (np.array([g[k] for g in sorted({g for g, _ in counts})], np.uint64) for k in (0, 1))
+    n = np.array([[counts[g, toxic] for g in sorted({g for g, _ in counts})] for toxic in (False, True)], float)
+    model = toxicity.Model(*toxicity.kneser_ney(high, low, n), np.array([-2.0, 1.0, 1.0]))
+    for around in ('"{}', "({})", "**{}**", "ordinary_alpha_beta_gamma_{}_delta", "https://delta.und/alpha-beta-{}"):
+        assert model.evidence(around.format("rotten"))[1] > model.evidence(around.format("gamma"))[1] + 0.1
+    again = pickle.loads(pickle.dumps(model))
+    for text in ("**rotten** alpha alpha", "x" * 300 + " rotten"):
+        whole = model.ratios(toxicity.clean(text))
+        assert len(whole) == len(toxicity.clean(text)) - 1 and np.array_equal(whole, again.ratios(toxicity.clean(text)))
+
+
 def test_ngram_table():
     codes = np.unique(np.random.default_rng(2).integers(1, 2**40, 5000).astype(np.uint64))
     table = toxicity.Table(codes, np.arange(len(codes), dtype=np.float32))
