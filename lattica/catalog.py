@@ -632,6 +632,17 @@ def result_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.differences(customer.where("c_custkey < 500"), customer.where("c_custkey >= 250 AND c_custkey < 600"))
 
 
+@query(
+    "WITH a AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer), b AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY') "
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR), c_mktsegment, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"
+)
+def result_differences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers against a version with rows changed, dropped and repeated."""
+    customer = tables(spark, sf_dir).table("customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    changed = customer.where("c_mktsegment <> 'BUILDING'").withColumn("c_nationkey", F.expr("CASE WHEN c_acctbal < 0 THEN c_nationkey + 100 ELSE c_nationkey END"))
+    return compare.differences(customer.drop("c_acctbal"), changed.union(customer.where("c_mktsegment = 'MACHINERY'")).drop("c_acctbal"))
+
+
 @query("WITH c AS (SELECT CAST(o_orderkey % 4 AS INTEGER) AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS s, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice * (o_orderkey % 7) / 3 END AS g, o_orderkey FROM orders), m AS (SELECT o_orderkey, s, CASE WHEN k = 0 THEN NULL ELSE g END AS g, CASE WHEN k = 0 THEN 'RELATIONAL' ELSE 'TRAVERSAL' END AS p FROM c), f AS (SELECT o_orderkey, coalesce(s, g * 3) AS s2, coalesce(g, s * 3) AS g2 FROM m WHERE s IS NOT NULL OR g IS NOT NULL) SELECT o_orderkey, CASE WHEN g2 < s2 THEN 'GRAPH' ELSE 'SQL' END AS label FROM f")
 def measured_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, price = F.col("o_orderkey"), F.col("o_totalprice")

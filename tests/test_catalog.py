@@ -41,3 +41,13 @@ def test_oracle(spark, duck, name):
 def test_without_oracle(spark, name):
     first, again = (catalog.queries()[name](spark, str(DATA)).toPandas() for _ in range(2))
     assert len(first) and rows(first) == rows(again)
+
+
+def test_differences_of_whole_tables(spark):
+    customer = spark.read.parquet(str(DATA / "customer.parquet"))
+    got = catalog.queries()["result_differences_whole"](spark, str(DATA))
+    dropped = customer.where("c_mktsegment = 'BUILDING'")
+    missing = got.where("side = 'left' and c_mktsegment = 'BUILDING'")
+    assert sorted(r[0] for r in missing.select("c_custkey").collect()) == sorted(str(r[0]) for r in dropped.select("c_custkey").collect())
+    repeated = customer.where("c_mktsegment = 'MACHINERY'").count()
+    assert got.where("side = 'right' and c_mktsegment = 'MACHINERY'").count() == repeated
