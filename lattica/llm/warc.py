@@ -306,17 +306,28 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Archive the pages into the shared folder and read the archives' headers back."""
+    """Archive the pages into the shared folder and read them back.
+
+    Length and digest of a response are those of the payload that the archive holds; a revisit's payload is elsewhere,
+    so its headers tell them.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     archive(pages, path, min_bytes)
     id_of = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
     number = lambda c: F.when(id_of(c) != "", id_of(c).cast("long"))
-    found = read(spark, path, ", ".join(f"{c} {'long' if c in LONGS else 'string'}" for c in HEADERS))
+    headers = ", ".join(f"{c} {'long' if c in LONGS else 'string'}" for c in HEADERS)
+    columns = ("record_id", "payload_length", "payload_digest", "record_type", "refers_to")
+    responses = (
+        read(spark, path, f"{headers}, payload binary").where("record_type = 'response'")
+        .withColumns({"payload_length": F.octet_length("payload").cast("long"), "payload_digest": F.pandas_udf(base32_of_hex, "string")(F.sha1("payload"))})
+    )
+    revisits = read(spark, path, headers).where("record_type = 'revisit'").withColumn("payload_digest", F.substring_index("payload_digest", ":", -1))
+    found = responses.select(*columns).union(revisits.select(*columns))
     return found.select(
         number("record_id").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),
-        F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+        "payload_digest",
         "record_type",
         number("refers_to").alias("refers_to"),
     )

@@ -1,5 +1,6 @@
 """Each corpus operator against brute force or an exact round trip, with nulls, empty and repeated rows, and clashing columns."""
 
+import base64
 import collections
 import hashlib
 import pickle
@@ -435,3 +436,14 @@ def test_warc_reads_members_without_skip_lengths(spark, tmp_path):
     got = warc.read(spark, str(tmp_path)).orderBy("record_id").collect()
     assert [len(r.payload) for r in got] == [0, 10, 9000]
     assert warc.read(spark, str(tmp_path), "record_id string").count() == 3
+
+
+def test_warc_round_trip_reads_payloads(spark, monkeypatch):
+    made = warc.as_records
+    wrong = {"payload_length": F.lit(7).cast("long"), "payload_digest": F.lit("sha1:WRONG")}
+    monkeypatch.setattr(warc, "as_records", lambda *a: made(*a).withColumns(wrong))
+    html = "<p>é</p>" * 900
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame([(1, "u", html), (2, "v", ""), (3, "w", html)], "page_id long, url string, html string")).collect()}
+    for i, data in ((1, html.encode()), (2, b"")):
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+    assert got[3].record_type == "revisit" and got[3].payload_digest == "WRONG"
