@@ -242,8 +242,12 @@ def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFra
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id) of every row: class_id is the smallest doc_id of its class of linked documents."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, class_id) of every row: class_id is the smallest doc_id of its class of linked documents.
+
+    Of rows that share a doc_id the smallest text is the document's.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = settled(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
     sketches = settled(sketched(docs), "sketches")
     contents = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     firsts = sketches.select("doc_id", "bands").join(contents.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id").dropDuplicates(["doc_id"])
@@ -266,10 +270,12 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     ids = sketches.select("doc_id", "k1", "k2").join(contents, ["k1", "k2"]).select("doc_id", "id").dropDuplicates(["doc_id"])
     classes = ids.join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
-    return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def representatives(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents`` that are the smallest of their class; rows with a null doc_id stay."""
+    """The smallest document of each class, as one row with the document's text; rows with a null doc_id stay."""
     classes = near_duplicates(documents, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    return documents.where("doc_id is not null").join(classes, "doc_id", "left_semi").unionByName(documents.where("doc_id is null"))
+    kept = documents.where("doc_id is not null").join(classes, "doc_id", "left_semi")
+    first = F.min(F.struct(F.col("text").isNull().alias("none"), "text", F.struct(*documents.columns).alias("row"))).alias("first")
+    return kept.groupBy("doc_id").agg(first).select("first.row.*").unionByName(documents.where("doc_id is null"))

@@ -447,3 +447,16 @@ def test_warc_round_trip_reads_payloads(spark, monkeypatch):
     for i, data in ((1, html.encode()), (2, b"")):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
     assert got[3].record_type == "revisit" and got[3].payload_digest == "WRONG"
+
+
+def test_one_row_of_a_repeated_doc_id_stays(spark):
+    rng = random.Random(8)
+    a, b = sentence(rng, 80), sentence(rng, 80)
+    a, b = min(a, b), max(a, b)
+    rows = [(1, a, "s"), (1, a, "s"), (2, b, "s"), (2, a, "t"), (3, b, "s"), (4, None, "s"), (4, None, "s"), (5, None, "s"), (5, b, "s"), (None, a, "s"), (None, a, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    classes = sorted((tuple(r) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert classes == sorted([(1, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 3), (5, 3), (None, None), (None, None)], key=str)
+    kept = minhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, a, "s"), (3, b, "s"), (4, None, "s"), (None, a, "s"), (None, a, "s")], key=str)
