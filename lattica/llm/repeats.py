@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lattica.llm.common import partitions, settled
-from lattica.llm.symbols import BYTE_CODES, U, fingerprints, mix, windows, word_codes
+from lattica.llm.common import partitions, quoted, settled
+from lattica.llm.symbols import BYTE_CODES, U, extended, mix, paired, windows, word_codes
 
 STRETCH = 1 << 20
 #: Cells in one flush of a map task, and bytes of their contents.
@@ -57,11 +57,14 @@ class Bytes:
 
 
 class Words:
-    """A text as words, which are runs of bytes other than space and 0x09 to 0x0D."""
+    """A text as words, which are runs of bytes other than space and 0x09 to 0x0D.
+
+    They are kept with one space between, so that equal runs of words are equal bytes.
+    """
 
     def __init__(self, data: bytes):
-        self.data = data
-        self.code, self.starts, self.ends = word_codes(data)
+        self.data = b" ".join(data.split())
+        self.code, self.starts, self.ends = word_codes(self.data)
         self.n = len(self.code)
 
     def codes(self, start: int, end: int) -> np.ndarray:
@@ -72,7 +75,7 @@ class Words:
 
 
 def cells(text: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram name of 48 bits, first window, number of windows, fingerprint of the content) of each cell, in order.
+    """(gram name of 48 bits, first window, number of windows, name of the content) of each cell, in order.
 
     Grams of one name by chance only make candidates of windows that repeat nowhere.
     """
@@ -80,6 +83,7 @@ def cells(text: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, np.n
     for base in range(0, text.n - window + 1, STRETCH):
         codes = text.codes(base, min(text.n, base + STRETCH + window - 1))
         names = windows(codes, gram)
+        full = extended(names, gram, window)
         key = (names & ~_POSITION) | np.arange(len(names), dtype=U)
         have, width = 1, window - gram + 1
         while have < width:
@@ -89,7 +93,7 @@ def cells(text: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, np.n
         chosen = (key & _POSITION).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         count = np.diff(np.append(first, len(chosen)))
-        print_ = mix(fingerprints(codes, first, first + count + window - 1) + count.astype(U))
+        print_ = paired(full[first], full[first + count - 1] + count.astype(U))  # the two windows cover the cell
         parts.append((names[chosen[first]] >> U(16), first + base, count, print_))
     if not parts:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
@@ -132,6 +136,11 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
+def grouped(doc: np.ndarray, spread: int) -> np.ndarray:
+    """The group of each document, by a hash: ids may come in steps."""
+    return (mix(doc.astype(np.int64).view(U)) % U(spread)).astype(np.int64)
+
+
 ROW = "bucket int, kind int, blob binary"
 #: What a row's blob holds: occurrences of grams, grams known to repeat, marks, cells with their contents, texts.
 GRAMS, REPEATED, MARKS, CELLS, TEXTS = 0, 1, 2, 3, 9
@@ -176,8 +185,10 @@ class Repeats:
         self.spark, self.unit, self.window, self.gram, self.rank = spark, unit, window, gram, rank
         self.spread = partitions(spark)
 
-    def group(self, doc: Column) -> Column:
-        return F.pmod(doc, F.lit(self.spread)).cast("int")
+    @staticmethod
+    def rest(carried: tuple[str, ...]) -> Column:
+        """The carried columns as a struct of numbered fields, since their own names may be anything."""
+        return F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(carried)]) if carried else F.lit(None).cast("int")
 
     def grams(self, documents: DataFrame) -> DataFrame:
         """Step 1, at the documents: grams to their buckets."""
@@ -197,7 +208,7 @@ class Repeats:
             known = name[order][new][size > 1]
             rows += [(b, REPEATED, packed(*halves(known[i]))) for b, i in by_bucket((known % U(spread)).astype(np.int64))]
             here = np.flatnonzero(again)
-            rows += [(b, MARKS, packed(doc[here[i]], crc[here[i]], cell[here[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(doc[here] % spread)]
+            rows += [(b, MARKS, packed(doc[here[i]], crc[here[i]], cell[here[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(grouped(doc[here], spread))]
             return rows_of(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,19 +244,20 @@ class Repeats:
                 known = np.unique(np.concatenate([np.zeros(0, U), *(whole(*unpacked(r["blob"], np.uint32, np.uint16)) for r in rows if r["kind"] == REPEATED)]))
                 distinct, at, size = np.unique(name, return_inverse=True, return_counts=True)
                 keep = np.flatnonzero(((size > 1) | np.isin(distinct, known, assume_unique=True))[at])
-                yield rows_of([(b, MARKS, packed(doc[keep[i]], crc[keep[i]], cell[keep[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(doc[keep] % spread)])
+                yield rows_of([(b, MARKS, packed(doc[keep[i]], crc[keep[i]], cell[keep[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(grouped(doc[keep], spread))])
 
         return gathered(self.grams(documents)).mapInArrow(run, ROW)
 
     def with_texts(self, marks: DataFrame, documents: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
         """Marks and texts of each group of documents together, marks first; texts travel compressed, beside ``carried``."""
-        rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
+        rest, spread = self.rest(carried), self.spread
 
         def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Texts of one group in a batch as one blob, which compresses better than each by itself."""
             press = zstandard.ZstdCompressor(level=3)
             for batch in batches:
-                buckets, ids, texts = batch.column("bucket").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("text")
+                ids, texts = batch.column("doc_id").to_numpy(), batch.column("text")
+                buckets = grouped(ids, spread)
                 rows = []
                 for bucket, entries in by_bucket(buckets):
                     size, begin = 0, 0
@@ -264,7 +276,7 @@ class Repeats:
                 columns = ([r[0] for r in rows], [TEXTS] * len(rows), *([r[k] for r in rows] for k in (1, 2, 3)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), rest], ["bucket", "kind", "blob", "doc_ids", "sizes", "rest"])
 
-        chosen = documents.select(self.group(F.col("doc_id")).alias("bucket"), "doc_id", "text", rest.alias("rest"))
+        chosen = documents.select("doc_id", "text", rest.alias("rest"))
         kind = chosen.schema["rest"].dataType
         texts = chosen.mapInArrow(squeeze, f"{ROW}, doc_ids array<long>, sizes array<long>, rest array<{kind.simpleString()}>")
         empty = {"doc_ids": F.lit(None).cast("array<long>"), "sizes": F.lit(None).cast("array<long>"), "rest": F.lit(None).cast(texts.schema["rest"].dataType)}
@@ -309,10 +321,13 @@ class Repeats:
             content = [c for f in found for c in f[6]]
             order = np.lexsort((doc, print_, name))
             new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (print_[order][1:] != print_[order][:-1])])
-            least = np.empty(len(doc), np.int64)
-            least[order] = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
+            size = np.diff(np.append(np.flatnonzero(new), len(order)))
+            first_of = np.repeat(order[new], size)  # a cell of the smallest document with this name
+            same = np.fromiter((a == b or content[a] == content[b] for a, b in zip(order.tolist(), first_of.tolist(), strict=True)), bool, len(order))
+            least = doc.copy()
+            least[order[same]] = doc[first_of[same]]
             later = np.flatnonzero(doc > least)  # the same cell stands in a smaller document of this flush
-            rows = [(b, MARKS, packed(doc[later[i]], crc[later[i]], first[later[i]].astype(np.int32), count[later[i]].astype(np.int32))) for b, i in by_bucket(doc[later] % spread)]
+            rows = [(b, MARKS, packed(doc[later[i]], crc[later[i]], first[later[i]].astype(np.int32), count[later[i]].astype(np.int32))) for b, i in by_bucket(grouped(doc[later], spread))]
             own = np.flatnonzero(doc == least)
             for b, i in by_bucket((name[own] % U(spread)).astype(np.int64)):
                 i = own[i]
@@ -364,13 +379,13 @@ class Repeats:
                     continue
                 name, doc, crc, first, count = (np.concatenate(x) for x in zip(*heads, strict=True))
                 # Of equal cells those of the smallest document are ranked; in the others every window is a repeat.
-                least: dict[bytes, int] = {}
+                least: dict[bytes, int] = {}  # by the bytes themselves
                 for c, d in zip(contents, doc.tolist(), strict=True):
                     if least.setdefault(c, d) > d:
                         least[c] = d
                 later = doc > np.array([least[c] for c in contents], np.int64)
                 k = np.flatnonzero(later)
-                yield rows_of([(g, MARKS, packed(doc[k[j]], crc[k[j]], first[k[j]], count[k[j]])) for g, j in by_bucket(doc[k] % spread)])
+                yield rows_of([(g, MARKS, packed(doc[k[j]], crc[k[j]], first[k[j]], count[k[j]])) for g, j in by_bucket(grouped(doc[k], spread))])
                 # Names that one content alone has need no ranking; the others are ranked some names at a time.
                 order = np.flatnonzero(~later)
                 order = order[np.argsort(name[order], kind="stable")]
@@ -390,13 +405,13 @@ class Repeats:
                         length = np.diff(np.append(start, len(hit)))
                         start, length = start[hit[start]], length[hit[start]]
                         k = of[start]
-                        yield rows_of([(g, MARKS, packed(doc[k[j]], crc[k[j]], (first[k[j]] + place[start[j]]).astype(np.int32), length[j].astype(np.int32))) for g, j in by_bucket(doc[k] % spread)])
+                        yield rows_of([(g, MARKS, packed(doc[k[j]], crc[k[j]], (first[k[j]] + place[start[j]]).astype(np.int32), length[j].astype(np.int32))) for g, j in by_bucket(grouped(doc[k], spread))])
                         chosen, n = [], 0
 
         return gathered(self.contents(marks, documents)).mapInArrow(run, ROW)
 
     def applied(self, documents: DataFrame, digest: Callable, names: dict[str, tuple[str, pa.DataType]], carried: tuple[str, ...] = ()) -> DataFrame:
-        """doc_id, what ``digest(text, covered)`` makes of every document, and the ``carried`` columns as struct ``rest``.
+        """doc_id, what ``digest(text, covered)`` makes of every document, and the ``carried`` columns as fields c0, c1, ... of ``rest``.
 
         ``covered`` marks the document's repeated units.
         """
@@ -437,7 +452,7 @@ class Repeats:
                 texts = [unit((t.as_py() or "").encode("utf-8", "replace")) for t in b.column("text")]
                 yield batch_of([(None, *digest(t, np.zeros(t.n, bool))) for t in texts], b.column("rest"))
 
-        rest = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
+        rest = self.rest(carried)
         return both.mapInArrow(run, schema).union(documents.where("doc_id is null").select("text", rest.alias("rest")).mapInArrow(untouched, schema))
 
 

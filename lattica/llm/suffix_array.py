@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import quoted
 from lattica.llm.repeats import Bytes, Repeats, smaller_holder
-from lattica.llm.symbols import BYTE_CODES, windows
+from lattica.llm.symbols import BYTE_CODES, eights, windows
 
 WINDOW = 50
 GRAM = 20
@@ -31,11 +32,21 @@ def rank_pairs(window: int):
     def rank(contents: list[bytes], count: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Sort the suffixes by rank pair and document; those of an equal pair in a smaller document are hits."""
         sizes = np.array([len(c) for c in contents])
-        ranks = windows(BYTE_CODES[np.frombuffer(b"".join(contents), np.uint8)], half)
+        data = b"".join(contents)
+        ranks = windows(BYTE_CODES[np.frombuffer(data, np.uint8)], half)
         position = np.concatenate([np.arange(a, a + n) for a, n in zip((np.cumsum(sizes) - sizes).tolist(), count.tolist(), strict=True)])
         left, right, owner = ranks[position], ranks[position + window - half], np.repeat(doc, count)
         order = np.lexsort((owner, right, left))
         new = np.concatenate([[True], (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)])
+        # Ranks are names; a mark is made of equal bytes only.
+        at = eights(data)
+        columns = [at[position + k] for k in sorted({*range(0, window - 7, 8), max(0, window - 8)})]
+        same = np.ones(max(0, len(order) - 1), bool)
+        for c in columns:
+            same &= c[order][1:] == c[order][:-1]
+        if (same < ~new[1:]).any():  # two windows of one name differ: sort by the bytes
+            order = np.lexsort((owner, *columns))
+            new = np.concatenate([[True], np.any([np.diff(c[order]) != 0 for c in columns], axis=0)])
         return smaller_holder(order, new, owner)
 
     return rank
@@ -74,4 +85,5 @@ def removed(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     carried = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
     found = repeats_of(documents, window).applied(documents, kept_text, {"text": ("string", pa.string()), "n_removed": ("long", pa.int64())}, carried)
     counted = {"n_chars": F.length("text").cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {}
-    return found.select("doc_id", "text", *(["rest.*"] if carried else [])).withColumns(counted).select(*documents.columns)
+    found = found.select("doc_id", "text", *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carried)]).withColumns(counted)
+    return found.select(*[quoted(c) for c in documents.columns])

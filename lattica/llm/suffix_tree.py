@@ -22,7 +22,7 @@ from lattica.llm.symbols import windows, word_codes
 WINDOW = 50
 GRAM = 20
 #: Suffixes of one tree; larger groups are split by a prefix that is longer by ``STEP`` words.
-TREE_LEAVES = 1 << 18
+TREE_LEAVES = 1 << 15
 STEP = 10
 
 
@@ -80,7 +80,8 @@ def deep_nodes(prefixes: Prefixes, position: np.ndarray, leaves: np.ndarray, doc
 
 def rank_trees(window: int):
     def rank(contents: list[bytes], count: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        codes, starts, _ = word_codes(b"\n".join(contents))
+        data = b"\n".join(contents)
+        codes, starts, ends = word_codes(data)
         sizes = np.array([len(c) + 1 for c in contents])
         base = np.searchsorted(starts, np.cumsum(sizes) - sizes)  # the first word of each content
         position = np.concatenate([np.arange(a, a + n) for a, n in zip(base.tolist(), count.tolist(), strict=True)])
@@ -90,9 +91,18 @@ def rank_trees(window: int):
         for level, leaves in groups(prefixes, position, np.arange(len(position))):
             leaf, common = deep_nodes(prefixes, position, leaves, owner, level)
             # An interval of leaves with full common prefixes is a deepest internal node.
-            node = np.flatnonzero(common < depth)
-            size = np.diff(np.append(node, len(leaf)))
-            hit[leaf] = owner[leaf] > np.repeat(owner[leaf[node]], size)
+            deep = common == depth
+            begin, end = starts[position[leaf]].tolist(), ends[position[leaf] + window - 1].tolist()
+            if all(data[begin[i] : end[i]] == data[begin[i - 1] : end[i - 1]] for i in np.flatnonzero(deep).tolist()):
+                node = np.flatnonzero(~deep)
+                size = np.diff(np.append(node, len(leaf)))
+                hit[leaf] = owner[leaf] > np.repeat(owner[leaf[node]], size)
+                continue
+            least: dict[bytes, int] = {}  # edges of one name differ: go by the words themselves
+            said = [data[a:b] for a, b in zip(begin, end, strict=True)]
+            for words, d in zip(said, owner[leaf].tolist(), strict=True):
+                least[words] = min(d, least.get(words, d))
+            hit[leaf] = owner[leaf] > np.array([least[words] for words in said])
         return hit
 
     return rank

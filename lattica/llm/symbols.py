@@ -1,13 +1,11 @@
-"""Words and fingerprints of byte strings, computed for whole arrays."""
+"""Words and names of byte strings, computed for whole arrays."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
+import xxhash
 
 U = np.uint64
-_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: The bytes between words: space and 0x09 to 0x0D.
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -20,35 +18,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: The bits of the first n bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 #: A random odd 64-bit value per byte.
 BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(_BASE)) | U(1)
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse ** i, modulo 2 ** 64, for i below ``size``."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.ones(size, U)
-        have = 1
-        while have < size:
-            n = min(have, size - have)
-            p[have : have + n] = p[:n] * U(pow(base, have, 1 << 64))
-            have += n
-        out.append(p)
-    return out[0], out[1]
-
-
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(size).bit_length()))
-
-
-def fingerprints(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial fingerprint of each codes[start:end]; equal slices have equal ones wherever they stand."""
-    up, down = powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, U)
-    np.cumsum(codes * up[: len(codes)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
+def eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each position on as one integer, with zeros after the end."""
+    return np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
 
 
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +41,25 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_codes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, start, end) of each word; equal words have equal codes."""
+    """(code, start, end) of each word; equal words have equal codes.
+
+    A word is mixed in eight bytes at a time, which no fixed pattern of bytes cancels out; long ones by xxHash.
+    """
     starts, ends = words(data)
-    codes = fingerprints(BYTE_CODES[np.frombuffer(data, np.uint8)], starts, ends)
-    return mix(codes ^ (ends - starts).astype(U)), starts, ends
+    size = ends - starts
+    codes = mix(size.astype(U) * U(_BASE) + U(1))
+    at = eights(data)
+    todo = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(todo):
+        left = size[todo] - done
+        part = at[starts[todo] + done] & _FIRST[np.minimum(left, 8)]
+        codes[todo] = mix((codes[todo] ^ part) * U(_BASE) + U(0x632BE59BD9B4E019))
+        done += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        codes[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return codes, starts, ends
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,17 +67,21 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * U(_BASE) + b * U(0x632BE59BD9B4E019))
 
 
-def windows(codes: np.ndarray, size: int) -> np.ndarray:
-    """A name for the ``size`` codes from each position on, by pairing names at doubling offsets.
+def extended(name: np.ndarray, have: int, size: int) -> np.ndarray:
+    """Names of ``size`` codes from the names of ``have`` codes, by pairing names at doubling offsets.
 
     The name of 2h codes is the pair of the names of h codes at the offsets 0 and h; a size that is no power of two
-    ends with a pair that overlaps.  Positions with fewer codes left have none.
+    times ``have`` ends with a pair that overlaps.  Positions with fewer codes left have none.
     """
-    if len(codes) < size:
+    if len(name) + have - 1 < size:
         return np.zeros(0, U)
-    name, have = codes, 1
     while have < size:
         step = min(have, size - have)
         name = paired(name[:-step], name[step:])
         have += step
     return name
+
+
+def windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """A name for the ``size`` codes from each position on."""
+    return extended(codes, 1, size)
