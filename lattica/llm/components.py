@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import settled
@@ -11,20 +11,32 @@ from lattica.llm.common import settled
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every id that an edge (a, b) touches; label is the smallest id of its component.
 
-    Each round every vertex takes the smallest label among itself and its neighbours, labels are followed one step
-    further, and edges inside a label go.  The number of rounds grows with the logarithm of a component's breadth; a
-    round's tables are written to the shared folder, so a lost executor costs no earlier round.
+    In each round every vertex goes to the first of itself and its neighbours in an order drawn anew by hash, three
+    such steps are followed at once, and what has come together is one vertex from then on.  In a random order steps
+    down end after a few, so even a path in the order of its ids, or a chain of drifting versions, shrinks by a
+    constant factor a round: rounds grow with the logarithm of the number of vertices.  A round's tables are written
+    to the shared folder, so a lost executor costs no earlier round.  No edges give no rows.
     """
-    edges = settled(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = settled(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("label", F.col("id")), "labels")
+    first = edges.select("a", "b").where("a is not null and b is not null")
+    ids = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
+    edges = settled(first.where("a <> b").distinct(), "edges")
+    labels = settled(ids.withColumn("label", F.col("id")), "labels")
+    turn = 0
     while not edges.isEmpty():
+        turn += 1
+
+        def drawn(c: str, turn: int = turn) -> Column:
+            return F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("to"))
+
         both = edges.union(edges.select("b", "a"))
-        parent = settled(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p")), "parents")
-        further = parent.alias("x").join(parent.alias("y"), F.col("x.p") == F.col("y.a"), "left").select(F.col("x.a").alias("v"), F.coalesce("y.p", "x.p").alias("to"))
-        further = settled(further, "parents")
-        labels = settled(labels.join(further, labels.label == further.v, "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
-        moved = edges.join(further.withColumnsRenamed({"v": "va", "to": "ta"}), F.col("a") == F.col("va"), "left").join(
-            further.withColumnsRenamed({"v": "vb", "to": "tb"}), F.col("b") == F.col("vb"), "left"
-        )
-        edges = settled(moved.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).where("a <> b").distinct(), "edges")
-    return labels
+        step = settled(both.groupBy("a").agg(F.min(drawn("b")).alias("other")).select(F.col("a").alias("v"), F.least("other", drawn("a"))["to"].alias("to")), "steps")
+        far = step
+        for _ in range(2):
+            on = step.withColumnsRenamed({"v": "w", "to": "next"})
+            far = far.join(on, F.col("to") == F.col("w")).select("v", F.col("next").alias("to"))
+        far = settled(far, "steps")
+        labels = settled(labels.join(far, labels.label == far.v, "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+        moved = edges.join(far.withColumnsRenamed({"v": "va", "to": "ta"}), F.col("a") == F.col("va")).join(far.withColumnsRenamed({"v": "vb", "to": "tb"}), F.col("b") == F.col("vb"))
+        edges = settled(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct(), "edges")
+    least = labels.groupBy("label").agg(F.min("id").alias("least"))
+    return labels.join(least, "label").select("id", F.col("least").alias("label"))
