@@ -9,26 +9,29 @@ a dart, after about K ln K darts however many words there are.
 
 The join never forms all pairs of a bucket.  First each document is compared with the smallest document of the
 bucket it shares most often, which joins most copies of a group at once.  Then, in buckets that still hold several
-components, the documents outside of the largest one are compared in blocks with the others, signature by
-signature, and only pairs that may reach the threshold are emitted, each once; those are checked on their texts.
-So no bucket is capped and no link between components that the bands propose is lost.
-
-Equal multisets are collapsed first, each to its smallest doc_id.  Documents without words are alike to nothing:
-each is its own class.  Null texts count as empty.  Rows of one doc_id are one document; rows with a null doc_id get
-a null class.  An empty table gives an empty result.
+components, the documents outside of the largest one (the minority) ask all others: blocks of both meet, and in each
+pair of blocks an inverted index over the shingles' hashes finds for every asking document those that reach the
+threshold.  Of these links a block keeps as many as join what all of them would join.  Buckets of the same documents
+are looked at once.  Every link of either step is computed again from the words themselves before it counts.
+So no bucket is capped, and no link between components that the bands propose is lost.
+
+Equal multisets are collapsed first, each to its smallest doc_id.  Documents without words (null texts too) are alike
+to nothing: each is its own class.  Of rows of one doc_id the smallest text is the document's; rows with a null doc_id
+get a null class.  Ties go to the smaller doc_id.  An empty table gives an empty result.  Other columns are not read;
+``representatives`` keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import settled
+from lattica.llm.common import quoted, settled
 from lattica.llm.components import components
 from lattica.llm.symbols import U, mix, windows, word_codes
 
@@ -39,9 +42,9 @@ BANDS, ROWS = 42, 6
 K = BANDS * ROWS
 #: Words sketched at a time.
 CHUNK_WORDS = 300_000
-#: Documents of a bucket in one block of the second comparison, and salts in the first join.
+#: Documents of a bucket in one block of the second comparison; documents for each salt of the first join, and least salts.
 BLOCK = 2048
-SALTS = 16
+SALT_ROWS, SALTS = 1 << 20, 16
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +55,18 @@ def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return np.unique(windows(codes, size), return_counts=True)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard index; 0 where one has no shingle."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
+def counted(text: str | None, size: int = SHINGLE) -> Counter:
+    """The shingles themselves, as tuples of words, with their counts."""
+    words = (text or "").encode("utf-8", "replace").split()
+    return Counter([tuple(words)] if 0 < len(words) < size else zip(*(words[k:] for k in range(size)), strict=False))
+
+
+def alike(a: Counter, b: Counter) -> float:
+    """Weighted Jaccard index of two multisets."""
+    if len(b) < len(a):
+        a, b = b, a
+    both = sum(min(n, b[x]) for x, n in a.items() if x in b)
+    return both / max(1, a.total() + b.total() - both)
 
 
 def sketch(sets: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> np.ndarray:
@@ -133,16 +143,16 @@ def sketched(documents: DataFrame) -> DataFrame:
 
 
 def checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold, exactly computed."""
+    """The pairs (a, b) whose texts reach the threshold, computed from their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, tuple] = (None, ())
+        last: tuple[int | None, Counter] = (None, Counter())
         for batch in batches:
             kept = []
             for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
                 if last[0] != b:
-                    last = b, shingles(batch.column("text_b")[i].as_py())
-                if similarity(shingles(batch.column("text_a")[i].as_py()), last[1]) >= threshold:
+                    last = b, counted(batch.column("text_b")[i].as_py())
+                if alike(counted(batch.column("text_a")[i].as_py()), last[1]) >= threshold:
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[n] for k in kept], pa.int64()) for n in (0, 1)], ["a", "b"])
 
@@ -191,7 +201,7 @@ def joining_links(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
         n = end - begin
         at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
         both = np.bincount(owner[at], minlength=len(asked))
-        # The same quotient that ``similarity`` computes.
+        # The same quotient that ``alike`` computes.
         near = asked[(both / np.maximum(1, sizes[x] + sizes[asked] - both) >= threshold) & (labels[asked] != labels[x])]
         for label, k in zip(*np.unique(labels[near], return_index=True), strict=True):
             a, b = find(int(labels[x])), find(int(label))
@@ -207,6 +217,10 @@ def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     ``members``: band, id and label.  A bucket's minority (all but its largest component) is cut into blocks of
     ``BLOCK``, and so are all its members; each pair of blocks is one group.
     """
+    # Buckets of different bands that hold the same documents ask the same; the last of them is enough.
+    same = members.groupBy("band").agg(F.count("*").alias("all"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("xor"))
+    once = same.groupBy("all", "sum", "xor").agg(F.max("band").alias("band")).select("band")
+    members = members.join(once, "band", "left_semi")
     sizes = members.groupBy("band", "label").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.sum("n").alias("total"), F.max("n").alias("largest")).where("total > largest")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
@@ -252,11 +266,12 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     contents = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     firsts = sketches.select("doc_id", "bands").join(contents.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id").dropDuplicates(["doc_id"])
 
+    salts = SALTS + docs.count() // SALT_ROWS
     bands = firsts.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("number", "name"))
     shared = settled(bands.groupBy("name", "number").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    salted = shared.select("name", "number", "pivot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = shared.select("name", "number", "pivot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     members = settled(
-        bands.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["name", "number", "salt"]).select(F.struct("name", "number").alias("band"), "id", "pivot"), "members"
+        bands.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["name", "number", "salt"]).select(F.struct("name", "number").alias("band"), "id", "pivot"), "members"
     )
     texts = settled(docs.where("doc_id is not null").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
@@ -266,7 +281,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     labels = components(links)
     labelled = members.select("band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labels = components(settled(links.union(remaining(labelled, texts, threshold)), "links"))
+    more = checked(settled(remaining(labelled, texts, threshold), "proposed"), texts, threshold)
+    labels = components(settled(links.union(more), "links"))
 
     ids = sketches.select("doc_id", "k1", "k2").join(contents, ["k1", "k2"]).select("doc_id", "id").dropDuplicates(["doc_id"])
     classes = ids.join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
@@ -275,7 +291,10 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
 
 def representatives(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The smallest document of each class, as one row with the document's text; rows with a null doc_id stay."""
-    classes = near_duplicates(documents, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    kept = documents.where("doc_id is not null").join(classes, "doc_id", "left_semi")
-    first = F.min(F.struct(F.col("text").isNull().alias("none"), "text", F.struct(*documents.columns).alias("row"))).alias("first")
-    return kept.groupBy("doc_id").agg(first).select("first.row.*").unionByName(documents.where("doc_id is null"))
+    classes = near_duplicates(documents, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    row = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(documents.columns)])
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text", row.alias("row"))
+    kept = rows.join(classes, rows.id == classes.kept_id, "left_semi")
+    first = kept.groupBy("id").agg(F.min_by("row", F.struct(F.col("text").isNull().alias("none"), "text", F.to_json("row").alias("json"))).alias("row")).select("row")
+    both = first.union(rows.where("id is null").select("row"))
+    return both.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(documents.columns)])
