@@ -6,8 +6,9 @@ first may be shorter.  Pieces are dealt into groups by the hash of their documen
 ``GROUP_ROWS`` documents whatever the input's size, and each group is packed by itself: at most one sequence per
 group is left badly filled, and no task holds more than a group of small integers.
 
-Ties are broken by (length, doc_id, piece), so a repeated run gives the same result.  Repeated rows are packed
-as the rows they are.
+Ties are broken by doc_id, piece and ids, so a repeated run gives the same result.  Repeated rows are packed as the
+rows they are; they, and rows without a doc_id, are dealt over groups by more of the row than the doc_id.  Columns
+other than doc_id and text are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,37 +95,83 @@ def tokenized(documents: DataFrame, path: str, groups: int, capacity: int = CAPA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
+        again: Counter = Counter()
         for batch in batches:
-            rows = [
-                (doc, group, i, *piece)
-                for doc, group, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pack_group", "text")), strict=True)
-                for i, piece in enumerate(pieces_of(bpe.encode(text) + end, capacity))
-            ]
+            rows = []
+            for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
+                ids = bpe.encode(text) + end
+                row = f"{doc} {zlib.crc32(ids)}"
+                again[row] += 1  # equal rows go to different groups, so none of them grows with their number
+                group = xxhash.xxh64_intdigest(f"{row} {again[row]}") % groups
+                rows += [(doc, group, i, *piece) for i, piece in enumerate(pieces_of(ids, capacity))]
             columns = list(zip(*rows)) or [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "pack_group", "piece", "start", "length", "ids_crc32"])
 
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(groups)).cast("int").alias("pack_group"), "text")
+    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return chosen.mapInArrow(run, "doc_id long, pack_group int, piece int, start long, length long, ids_crc32 long")
 
 
+Item = tuple[int, int]  # length, number
+
+
 class Bins:
-    """Open sequences, found by the room they have left in a bit set of the rooms in use."""
+    """Sequences by the room they have left; of those with room, their items and pairs of items by length."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.items, self.room, self.by_room, self.mask = capacity, [], [], [set() for _ in range(capacity + 1)], 0
+        self.capacity = capacity
+        self.items: list[list[Item]] = []
+        self.room: list[int] = []
+        self.by_room: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.rooms = 0  # bit r is set where a sequence has the room r
+        #: by room and length: the sequences, each with one or two items of that length together; and those lengths as bits
+        self.outs: list[dict[int, dict[int, tuple[Item, ...]]]] | None = None
+        self.lengths: list[int] = []
+
+    def _outs_of(self, b: int) -> dict[int, tuple[Item, ...]]:
+        found: dict[int, tuple[Item, ...]] = {}
+        once: dict[int, Item] = {}
+        for x in self.items[b]:
+            if x[0] in once:
+                found.setdefault(2 * x[0], (once[x[0]], x))
+            else:
+                once[x[0]] = x
+        single = list(once.values())
+        for i, x in enumerate(single):
+            for y in single[i + 1 :]:
+                found.setdefault(x[0] + y[0], (x, y))
+        return found | {x[0]: (x,) for x in single}
 
     def _enter(self, b: int) -> None:
-        self.by_room[self.room[b]].add(b)
-        self.mask |= 1 << self.room[b]
+        room = self.room[b]
+        self.by_room[room].add(b)
+        self.rooms |= 1 << room
+        if self.outs is not None and room:
+            here = self.outs[room]
+            for n, out in self._outs_of(b).items():
+                here.setdefault(n, {})[b] = out
+                self.lengths[room] |= 1 << n
 
     def _leave(self, b: int) -> None:
-        at = self.by_room[self.room[b]]
-        at.discard(b)
-        if not at:
-            self.mask &= ~(1 << self.room[b])
-
-    def change(self, b: int, out: list[tuple[int, int]], into: list[tuple[int, int]]) -> None:
+        room = self.room[b]
+        self.by_room[room].discard(b)
+        if not self.by_room[room]:
+            self.rooms &= ~(1 << room)
+        if self.outs is not None and room:
+            here = self.outs[room]
+            for n in self._outs_of(b):
+                del here[n][b]
+                if not here[n]:
+                    del here[n]
+                    self.lengths[room] &= ~(1 << n)
+
+    def index_outs(self) -> None:
+        self.outs, self.lengths = [{} for _ in range(self.capacity + 1)], [0] * (self.capacity + 1)
+        for b in range(len(self.items)):
+            if self.items[b]:
+                self._enter(b)
+
+    def change(self, b: int, out: tuple[Item, ...] | list[Item], into: tuple[Item, ...] | list[Item]) -> None:
         self._leave(b)
         for x in out:
             self.items[b].remove(x)
@@ -133,16 +182,50 @@ class Bins:
 
     def tightest(self, size: int, but: int = -1) -> int:
         """The bin with the least room of at least ``size``, or -1."""
-        rest = self.mask >> size
+        rest = self.rooms >> size
         while rest:
             room = size + (rest & -rest).bit_length() - 1
             for b in self.by_room[room]:
                 if b != but:
                     return b
-            rest = self.mask >> (size := room + 1)
+            rest = self.rooms >> (size := room + 1)
         return -1
 
-    def place(self, item: tuple[int, int]) -> None:
+    def partner(self, source: int, item: Item) -> tuple[int, tuple[Item, ...]] | None:
+        """The bin, and its one or two smaller items to take for ``item``, that is filled best by the exchange.
+
+        For each room in use the shortest length that makes place is looked up, so the cost grows with the number of
+        different rooms and not of bins.
+        """
+        size, own = item[0], self.room[source]
+        best: tuple[int, int, tuple[Item, ...]] | None = None
+        rooms = self.rooms & ~1
+        while rooms:
+            room = (rooms & -rooms).bit_length() - 1
+            rooms &= rooms - 1
+            low = max(1, size - room)
+            width = size - max(0, room - own) - low  # shorter than the item, and the fuller bin gets fuller
+            if width <= 0:
+                continue
+            there = (self.lengths[room] >> low) & ((1 << width) - 1)
+            while there:
+                n = low + (there & -there).bit_length() - 1
+                there &= there - 1
+                left = room + n - size
+                if best is not None and left >= best[0]:
+                    break
+                found = next(((b, out) for b, out in self.outs[room][n].items() if b != source), None)
+                if found:
+                    best = left, *found
+                    break
+            if best is not None and best[0] == 0:
+                break
+        return best[1:] if best else None
+
+    def used(self) -> int:
+        return sum(1 for x in self.items if x)
+
+    def place(self, item: Item) -> None:
         b = self.tightest(item[0])
         if b < 0:
             self.items.append([])
@@ -152,64 +235,65 @@ class Bins:
         self.change(b, [], [item])
 
 
-def local_search(bins: Bins, rounds: int = 3, reach: int = 64) -> None:
-    """Empty the least filled bins by moves and exchanges that increase the sum of squared fills.
+def local_search(bins: Bins) -> int:
+    """Empty the least filled bins by moves and exchanges that increase the sum of squared fills; how many got empty.
 
-    For each item of an underfull bin, in order of tried effect: move it into the bin that it fills best; exchange
-    it for a smaller item of a fuller bin; exchange it for two items of a fuller bin that are smaller together.
-    Each makes the fuller bin fuller.  ``reach`` bins with the most room are looked at as partners per item and
-    ``rounds`` sweeps are made at most, a bound on effort and not on what is packed.
+    The emptiest bin is the source.  Each of its items is moved to the bin that it fills best, or exchanged for one or
+    two smaller items of the bin that is filled best by that; what came in exchange is tried again.  Partners are
+    found among all open bins by the room that they would have without those items.  Every step makes a fuller bin
+    fuller, so the search ends: when a sweep over all open bins empties none, or when the room of all of them together
+    is less than one bin.
     """
-    for _ in range(rounds):
-        gained = False
-        open_bins = sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.room[b]), key=lambda b: (-bins.room[b], b))
-        total = sum(bins.room[b] for b in open_bins)
-        if total < bins.capacity:  # even perfect exchanges could not free a bin
-            return
-        partners = open_bins[: 8 * reach]
-        for source in open_bins[: max(8, len(open_bins) // 8)]:
-            for item in sorted(bins.items[source], reverse=True):
-                if item not in bins.items[source]:
-                    continue
+    bins.index_outs()
+    emptied = 0
+    whole = False
+    while True:
+        before = emptied
+        sources = sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.room[b]), key=lambda b: (-bins.room[b], b))
+        free = sum(bins.room[b] for b in sources)
+        if not whole:  # about as many as can get empty; the rest have their turn when these don't
+            sources = sources[: 2 * (free // bins.capacity) + 8]
+        for source in sources:
+            if free < bins.capacity:
+                return emptied
+            todo = sorted(bins.items[source])
+            while todo:
+                item = todo.pop()
                 to = bins.tightest(item[0], source)
-                if to >= 0 and bins.capacity - bins.room[to] + item[0] > bins.capacity - bins.room[source]:
+                if to >= 0 and bins.room[source] - bins.room[to] + item[0] > 0:
                     bins.change(source, [item], [])
                     bins.change(to, [], [item])
-                    gained = True
-                    continue
-                best: tuple[int, int, list[tuple[int, int]]] | None = None
-                for partner in partners[:reach]:
-                    room = bins.room[partner]
-                    if partner == source or not bins.items[partner] or not room or room >= bins.room[source]:
-                        continue
-                    inside = sorted(bins.items[partner])
-                    for i, x in enumerate(inside):
-                        gain = item[0] - x[0]
-                        if 0 < gain <= room and (best is None or gain > best[0]):
-                            best = gain, partner, [x]
-                        for y in inside[i + 1 :]:
-                            gain = item[0] - x[0] - y[0]
-                            if gain <= 0:
-                                break
-                            if gain <= room and (best is None or gain > best[0]):
-                                best = gain, partner, [x, y]
-                if best is not None:
-                    _, partner, out = best
+                elif found := bins.partner(source, item):
+                    partner, out = found
                     bins.change(source, [item], out)
                     bins.change(partner, out, [item])
-                    gained = True
+                    todo = sorted([*todo, *out])
             if not bins.items[source]:
-                gained = True
-        if not gained:
-            return
+                emptied += 1
+                free -= bins.capacity
+        if emptied == before and whole:
+            return emptied
+        whole = emptied == before
+
+
+def searched(lengths: np.ndarray, capacity: int = CAPACITY) -> Bins:
+    """Best fit in the order of arrival, then the local search; from the longest on as well where that leaves more than the least."""
+    best: Bins | None = None
+    for order in (np.arange(len(lengths)), np.argsort(-lengths, kind="stable")):
+        bins = Bins(capacity)
+        for i in order.tolist():
+            bins.place((int(lengths[i]), i))
+        local_search(bins)
+        if best is None or bins.used() < best.used():
+            best = bins
+        if best.used() * capacity < int(lengths.sum()) + capacity:
+            break  # no packing has fewer
+    return best
 
 
 def packed_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each length, for lengths from 1 to ``capacity``."""
-    bins = Bins(capacity)
-    for i in np.argsort(-lengths, kind="stable"):
-        bins.place((int(lengths[i]), int(i)))
-    local_search(bins)
+    bins = searched(lengths, capacity)
     which, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for number, items in enumerate(x for x in bins.items if x):
         at = 0
@@ -224,7 +308,7 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, group_rows:
     groups = max(1, -(-documents.count() // group_rows))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+        group = group.sort_values(["doc_id", "piece", "length", "ids_crc32"], ignore_index=True)
         which, offset = packed_lengths(group["length"].to_numpy(), capacity)
         return group.drop(columns="pack_group").assign(sequence_id=which + (group["pack_group"].to_numpy(np.int64) << 32), offset=offset)
 
