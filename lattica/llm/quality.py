@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bounded_labels, fold_of
+from lattica.llm.common import bounded_labels, fold_of, training_labels, unused
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper", "digit", "symbol", "stop", "exclaim", "bar", "line_length", "repeated_words",
@@ -173,7 +173,7 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, most: int = M
             yield pd.DataFrame(measured(batch["text"]), columns=list(FEATURES)).assign(doc_id=batch["doc_id"].to_numpy(), label=batch["label"].to_numpy())
 
     schema = ", ".join(f"{f} double" for f in FEATURES) + ", doc_id long, label int"
-    rows = bounded_labels(documents, labels, "quality", training, most).mapInPandas(measure, schema).toPandas()
+    rows = bounded_labels(documents, training_labels(labels, "quality", training), most).mapInPandas(measure, schema).toPandas()
     rows = rows.sort_values(["doc_id", "label", *FEATURES], ignore_index=True)
     return boost(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy(float))
 

@@ -10,12 +10,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lattica.llm import ball_tree, bpe, minhash, multi_index, packing, quality, suffix_array, suffix_tree, toxicity, warc
+from lattica.llm import components as components_module
 from lattica.llm.components import components
+from lattica.llm.symbols import word_codes
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, score string, predicted string, held_out string, word string, bucket int, rest string"
@@ -98,23 +101,70 @@ def test_packing(spark, documents, texts):
     assert packing.pack(documents.limit(0), BYTE_BPE).count() == 0
 
 
+def longest_first(sizes, capacity):
+    """Bins of a plain best fit, from the longest on."""
+    rooms = []
+    for x in sorted(sizes, reverse=True):
+        fit = [i for i, r in enumerate(rooms) if r >= x]
+        if fit:
+            rooms[min(fit, key=rooms.__getitem__)] -= x
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+def least_bins(sizes, capacity):
+    """The least number of bins, by dynamic programming over all subsets."""
+    best = {0: (1, capacity)}
+    for have in range(1 << len(sizes)):
+        bins, room = best[have]
+        for i, x in enumerate(sizes):
+            if not have >> i & 1:
+                found = (bins, room - x) if x <= room else (bins + 1, capacity - x)
+                now = best.get(have | 1 << i, (len(sizes) + 1, 0))
+                if (found[0], -found[1]) < (now[0], -now[1]):
+                    best[have | 1 << i] = found
+    return best[(1 << len(sizes)) - 1][0]
+
+
+def check_bins(bins, sizes):
+    assert sorted(x for b in bins.items for x in b) == sorted((x, i) for i, x in enumerate(sizes))
+    assert all(sum(x for x, _ in b) + r == bins.capacity and r >= 0 for b, r in zip(bins.items, bins.room, strict=True))
+
+
 def test_local_search_empties_bins():
-    bins = packing.Bins(10)
-    for contents in ([6, 2], [5, 3], [4], [9]):
-        bins.items.append([])
-        bins.room.append(10)
-        bins._enter(len(bins.items) - 1)
-        bins.change(len(bins.items) - 1, [], [(x, 10 * len(bins.items) + i) for i, x in enumerate(contents)])
-    before = sum((10 - r) ** 2 for r in bins.room)
-    packing.local_search(bins)
-    assert sum((10 - r) ** 2 for r in bins.room) >= before
-    assert sorted(x for b in bins.items for x, _ in b) == [2, 3, 4, 5, 6, 9] and all(0 <= r <= 10 for r in bins.room)
     rng = np.random.default_rng(1)
-    sizes = rng.integers(1, 2049, 3000)
-    which, offset = packing.packed_lengths(sizes)
-    assert which.max() + 1 <= 1.02 * sizes.sum() / 2048 + 1
-    fill = np.bincount(which, weights=sizes)
-    assert fill.max() <= 2048 and (offset + sizes <= 2048).all()
+    for sizes in (rng.integers(400, 900, 900), rng.choice([1045, 553, 532, 471], 900), np.minimum(2048, 1 + rng.lognormal(5.5, 1, 900).astype(int)), np.full(300, 700)):
+        bins = packing.Bins(2048)
+        for i, x in enumerate(sizes.tolist()):
+            bins.place((x, i))
+        before, squares = bins.used(), sum((2048 - r) ** 2 for r in bins.room)
+        emptied = packing.local_search(bins)
+        check_bins(bins, sizes.tolist())
+        assert bins.used() == before - emptied and sum((2048 - r) ** 2 for r in bins.room) >= squares
+        assert emptied > 0 or sizes.min() == sizes.max()
+        assert packing.searched(sizes).used() <= min(bins.used(), longest_first(sizes.tolist(), 2048))
+        which, offset = packing.packed_lengths(sizes)
+        assert np.bincount(which, weights=sizes).max() <= 2048 and (offset + sizes <= 2048).all()
+
+
+def test_small_packings_are_near_the_least():
+    rng = np.random.default_rng(3)
+    extra = 0
+    for _ in range(60):
+        sizes = rng.integers(1, 31, rng.integers(1, 11))
+        bins = packing.searched(sizes, 30)
+        check_bins(bins, sizes.tolist())
+        extra += bins.used() - least_bins(sizes.tolist(), 30)
+    assert extra == 0
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, "same words") for i in range(400)], "doc_id long, text string")
+    rows = packing.tokenized(docs, BYTE_BPE, 8).groupBy("pack_group").count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 120
+    got = packing.pack(docs, BYTE_BPE, group_rows=100).toPandas()
+    assert len(got) == 400 and (got.groupby("sequence_id").length.sum() <= 2048).all() and got.doc_id.isna().sum() == 200
 
 
 # Classifiers
@@ -167,21 +217,125 @@ def test_every_byte_is_scored():
         begin = [max(clean.rfind(b" ", 0, i), i - toxicity.DEPTH) for i in range(1, len(clean))]
         want = [clean[a : i + 1] for i, a in enumerate(begin, 1)]
         assert [((int(h) & (1 << 48) - 1) << 64 | int(w)).to_bytes(14, "big")[14 - n :] for h, w, n in zip(high, low, toxicity.sizes(high), strict=True)] == want
+
+
+def plain_kneser_ney(rows):
+    """The model by dictionaries: log ratio of a byte string's last byte after the bytes before it, and None for an unseen context."""
+    longest = collections.Counter()
+    for text, toxic in rows:
+        for word in set(text.lower().split()):
+            w = b" %b " % word.encode()
+            for i in range(1, len(w)):
+                longest[w[max(0, i - 12) : i + 1], toxic] += 1
+    counts, done = dict(longest), dict(longest)
+    for order in (6, 4, 3, 2, 1):
+        longer = {g for g, _ in counts if len(g) > order + 1}
+        shorter = {(g[-order - 1 :], c): set() for g, c in counts if g in longer}
+        for g, c in counts:
+            if g in longer:
+                shorter[g[-order - 1 :], c].add(g)
+        counts = {k: n for k, n in counts.items() if k[0] not in longer} | {k: len(v) for k, v in shorter.items()}
+        done |= counts
+    ends = collections.Counter(g[-2:] for g in {g for g, _ in longest})
+    after = collections.Counter()
+    for tail, n in ends.items():
+        after[tail[:1]] += n
+    total, types = collections.Counter(), collections.Counter()
+    for (g, c), n in done.items():
+        total[g[:-1], c] += n
+        types[g[:-1], c] += 1
+
+    def ratio(context, byte):
+        if not total[context, 0] + total[context, 1]:
+            return None
+        back = [0.75 * types[context, c] / total[context, c] if total[context, c] else 1.0 for c in (0, 1)]
+        if not any((context + byte, c) in done for c in (0, 1)):
+            return np.log(back[1] / back[0])
+        below = ends[context[-1:] + byte] / after[context[-1:]]
+        p = [max(done.get((context + byte, c), 0) - 0.75, 0) / max(1, total[context, c]) + back[c] * below for c in (0, 1)]
+        return np.log(p[1] / p[0])
+
+    def ratios(text):
+        out = []
+        for i in range(1, len(text)):
+            begin = max(text.rfind(b" ", 0, i), i - 12)
+            for order in (12, 6, 4, 3, 2, 1):
+                if order == 12 or i - begin > order:
+                    found = ratio(text[max(begin, i - order) : i], text[i : i + 1])
+                    if found is not None:
+                        break
+            out.append(0.0 if found is None else found)
+        return np.array(out)
+
+    return ratios
+
+
+def test_toxicity_is_plain_kneser_ney(spark):
     rng = random.Random(9)
-    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(3, 9))) for _ in range(1500)] + ["gamma"] * 100
-    counts = collections.Counter()
-    for i in range(400):
-        text = " ".join(rng.sample(words, 60) + ["rotten"] * (i % 4 == 0))
-        counts.update((g, i % 4 == 0) for g in set(zip(*(x.tolist() for x in toxicity.grams(toxicity.clean(text))), strict=True)))
-    high, low = (np.array([g[k] for g in sorted({g for g, _ in counts})], np.uint64) for k in (0, 1))
-    n = np.array([[counts[g, toxic] for g in sorted({g for g, _ in counts})] for toxic in (False, True)], float)
-    model = toxicity.Model(*toxicity.kneser_ney(high, low, n), np.array([-2.0, 1.0, 1.0]))
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(3, 9))) for _ in range(1500)] + ["gamma"] * 100 + ["é" * 90, "x" * 400]
+    texts = [" ".join(rng.sample(words, 60) + ["rotten", "Rotten"] * (i % 4 == 0)) for i in range(400)] + [None, ""]
+    docs = frame(spark, texts).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(402)], "doc_id long, toxic int")
+    share = (F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1 << 40)) < (1 << 38)).alias("curve")
+    left_out = {r.doc_id for r in docs.select("doc_id", share).where("curve").collect()}
+    model, _ = toxicity.fit(docs, labels, F.lit(True))
+    want = plain_kneser_ney([(t or "", int(i % 4 == 0)) for i, t in enumerate(texts) if i not in left_out])
+    scorer = toxicity.Scorer(pickle.loads(pickle.dumps(model)))
+    for text in [texts[1], '"rotten (rotten) **rotten** alpha_beta_rotten_delta', "x" * 300 + " unseenword é", "éééé" * 60]:
+        clean = toxicity.clean(text)
+        assert np.allclose(model.ratios(clean), want(clean), atol=1e-5)
+        assert np.array_equal(scorer.ratios(clean), model.ratios(clean))
+        ratio = want(clean)
+        sums = [ratio[k : k + 8].sum() for k in range(len(ratio) - 7)]
+        assert np.allclose(scorer.evidence(pa.array([None, text, "", text]))[[1, 3]], [ratio.mean(), max(sums) / 8], atol=1e-5)
     for around in ('"{}', "({})", "**{}**", "ordinary_alpha_beta_gamma_{}_delta", "https://delta.und/alpha-beta-{}"):
-        assert model.evidence(around.format("rotten"))[1] > model.evidence(around.format("gamma"))[1] + 0.1
-    again = pickle.loads(pickle.dumps(model))
-    for text in ("**rotten** alpha alpha", "x" * 300 + " rotten"):
-        whole = model.ratios(toxicity.clean(text))
-        assert len(whole) == len(toxicity.clean(text)) - 1 and np.array_equal(whole, again.ratios(toxicity.clean(text)))
+        found = scorer.evidence(pa.array([around.format("rotten"), around.format("gamma")]))
+        assert found[0, 1] > found[1, 1] + 0.1
+
+
+def test_a_text_beyond_a_stretch_is_scored_whole(monkeypatch):
+    model = toxicity.Model(toxicity.Table(np.zeros(0, np.uint64), np.zeros(0, np.float32)), toxicity.Table(np.zeros(0, np.uint64), np.zeros(0, np.float32)), np.zeros(3))
+    monkeypatch.setattr(toxicity.Model, "ratios", lambda self, text: np.array([b / 100 for b in text[1:]], np.float32))
+    texts = pa.array(["word " * 30 + "zzzz" * 9 + " end", "one", "y" * 400, " a b"])
+    want = toxicity.Scorer(model).evidence(texts)
+    monkeypatch.setattr(toxicity, "STRETCH", 64)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 20)
+    assert np.allclose(toxicity.Scorer(model).evidence(texts), want)
+
+
+def test_units_have_every_gram_once():
+    words = [b"a", "é".encode() * 200, b"x" * 500, b"abc" * 40]
+    for w in words:
+        high, low, _ = toxicity.unit_grams(toxicity.units(w))
+        want_high, want_low = toxicity.grams(b" %b " % w)
+        assert sorted(zip(high.tolist(), low.tolist(), strict=True)) == sorted(zip(want_high.tolist(), want_low.tolist(), strict=True))
+
+
+@pytest.mark.parametrize(("run", "names"), [(toxicity.detect, ("judged", "tail", "label")), (quality.classify, ("a.b", "label"))])
+def test_classifiers_replace_only_their_own_columns(spark, labelled, run, names):
+    docs, labels = labelled
+    for name in names:
+        docs = docs.withColumn(name, F.lit("mine"))
+    got = run(docs, labels)
+    assert all(got.select(f"`{name}`").distinct().first()[0] == "mine" for name in names)
+    assert got.schema["score"].dataType.typeName() == "double" and got.schema["predicted"].dataType.typeName() == "integer"
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    base = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200_000))  # 1.4 MB
+    edited = base[:700_000] + " edited here " + base[700_000:]
+    docs = spark.createDataFrame([(1, base, 0), (2, edited, 0), (3, "short text", 1), (4, "other short text", 0)], "doc_id long, text string, toxic int")
+    tree = {r.doc_id: r for r in suffix_tree.digests(docs).collect()}
+    array = {r.doc_id: r for r in suffix_array.digests(docs).collect()}
+    assert tree[1].n_removed == 0 and 200_000 <= tree[2].n_removed <= tree[2].n_words - 2
+    assert array[1].n_removed == 0 and len(base) - 10 <= array[2].n_removed <= len(base) + 4 and array[2].n_spans == 2
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    for run, label in ((toxicity.detect, "toxic"), (quality.classify, "quality")):
+        got = run(docs, docs.select("doc_id", F.col("toxic").alias(label))).collect()
+        assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
+    library = Tokenizer.from_file(WORD_BPE)
+    assert {r.doc_id: r.n_tokens for r in bpe.digest_documents(docs, WORD_BPE).collect()}[2] == len(library.encode(edited, add_special_tokens=False).ids)
 
 
 def test_ngram_table():
@@ -330,8 +484,17 @@ def test_removed_keeps_columns_and_characters(spark):
 # Near-duplicates
 
 
+def shingled(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    return collections.Counter([tuple(words)] if 0 < len(words) < 5 else [tuple(words[k : k + 5]) for k in range(len(words) - 4)])
+
+
+def jaccard(a, b):
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
 def classes(texts, threshold=0.8):
-    sets = [minhash.shingles(t) for t in texts]
+    sets = [shingled(t) for t in texts]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -341,7 +504,7 @@ def classes(texts, threshold=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if minhash.similarity(sets[i], sets[j]) >= threshold:
+            if jaccard(sets[i], sets[j]) >= threshold:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(texts))]
@@ -370,15 +533,54 @@ def test_near_duplicates(spark, texts):
 def test_darts_estimate_weighted_similarity():
     rng = random.Random(12)
     words = sentence(rng, 200).split()
-    sets = [minhash.shingles(" ".join(words * a + words[:b])) for a, b in ((1, 0), (1, 60), (2, 0), (3, 100))]
-    times = minhash.sketch(sets, 2000)
+    texts = [" ".join(words * a + words[:b]) for a, b in ((1, 0), (1, 60), (2, 0), (3, 100))]
+    times = minhash.sketch([minhash.shingles(t) for t in texts], 2000)
     for i in range(4):
         for j in range(i):
-            assert abs((times[i] == times[j]).mean() - minhash.similarity(sets[i], sets[j])) < 0.05
+            assert abs((times[i] == times[j]).mean() - jaccard(shingled(texts[i]), shingled(texts[j]))) < 0.05
     tiny = minhash.sketch([minhash.shingles("one")])
     assert np.isfinite(tiny).all()
 
 
+def test_components_of_a_long_path(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components_module, "settled", lambda df, label, real=components_module.settled: rounds.append(label) or real(df, label))
+    got = components(spark.range(1000).selectExpr("id AS a", "id + 1 AS b")).agg(F.max("label"), F.count("*")).first()
+    assert tuple(got) == (0, 1001) and rounds.count("steps") / 2 <= 20
+    assert components(spark.range(0).selectExpr("id AS a", "id AS b")).count() == 0
+
+
+def thue_morse(flip):
+    letters = "ab" if not flip else "ba"
+    return "".join(letters[i.bit_count() & 1] for i in range(1024))
+
+
+def test_words_that_cancel_out_in_polynomial_hashes(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    texts = [" ".join([*words[:30], thue_morse(flip), *words[31:]]) for flip in (False, True)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in suffix_tree.digests(docs).orderBy("doc_id").collect()] == [0, 0]
+    assert len(set(word_codes(" ".join(thue_morse(f)[:n] for f in (0, 1) for n in (8, 16, 32, 64, 128, 1024)).encode())[0])) == 12
+    units = [(i, t.encode()) for i, t in enumerate(texts)]
+    got = [r.n_removed for r in suffix_array.digests(docs).orderBy("doc_id").collect()]
+    assert got == [sum(removed_units(units)[i]) for i in (0, 1)]
+
+
+def test_equal_names_are_no_proof(monkeypatch):
+    """With names that say nothing, results come from the bytes."""
+    rng = random.Random(4)
+    contents = ["".join(rng.choice("ab ") for _ in range(60)).encode() for _ in range(30)] * 2
+    count, doc = np.full(60, 11), np.arange(60)
+    want = suffix_array.rank_pairs(50)(contents, count, doc)
+    monkeypatch.setattr(suffix_array, "windows", lambda codes, size: np.zeros(len(codes) - size + 1, np.uint64))
+    assert want.sum() >= 30 * 11 and (suffix_array.rank_pairs(50)(contents, count, doc) == want).all()
+    contents = [" ".join(rng.choice("ab") for _ in range(60)).encode() for _ in range(30)] * 2
+    want = suffix_tree.rank_trees(50)(contents, count, doc)
+    monkeypatch.setattr(suffix_tree, "windows", lambda codes, size: np.zeros(len(codes) - size + 1, np.uint64))
+    assert want.sum() >= 30 * 11 and (suffix_tree.rank_trees(50)(contents, count, doc) == want).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (100, 102)] + [(500, i) for i in range(501, 540)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -438,6 +640,28 @@ def test_warc_reads_members_without_skip_lengths(spark, tmp_path):
     assert warc.read(spark, str(tmp_path), "record_id string").count() == 3
 
 
+def test_warc_reads_plain_files(spark, tmp_path):
+    sizes = (0, 10, 9000, 5)
+    records = [warc.record_bytes({"record_id": f"<r{i}>", "record_type": "response" if i % 2 else "request", "payload_length": n, "target_uri": "u" * 6000}, b"z" * n) for i, n in enumerate(sizes)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc").write_bytes(b"")
+    got = warc.read(spark, str(tmp_path)).orderBy("record_id").collect()
+    assert [len(r.payload) for r in got] == list(sizes) and {len(r.target_uri) for r in got} == {6000}
+    assert [r.record_id for r in warc.read(spark, str(tmp_path), "record_id string, record_type string").where("record_type = 'response'").orderBy("record_id").collect()] == ["<r1>", "<r3>"]
+
+
+def test_warc_splits_inside_files(spark, pages, tmp_path):
+    df, rows = pages
+    path = f"file://{tmp_path}/archive"
+    warc.register(spark)
+    warc.as_records(df).coalesce(1).write.format("warc").option("cut_bytes", "500").mode("append").save(path)
+    assert len(list((tmp_path / "archive").glob("*.warc.gz"))) == 1
+    whole, parts = warc.read(spark, path), warc.read(spark, path, split_bytes="1000")
+    assert whole.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() > 4
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, parts.collect())) == sorted(map(key, whole.collect())) and parts.count() == len(rows)
+
+
 def test_warc_round_trip_reads_payloads(spark, monkeypatch):
     made = warc.as_records
     wrong = {"payload_length": F.lit(7).cast("long"), "payload_digest": F.lit("sha1:WRONG")}
