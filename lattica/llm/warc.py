@@ -5,19 +5,26 @@ gzip (its compressed and uncompressed length), so a reader passes over a record
 reads the headers of a record by inflating only its beginning.  Members of other writers, without that field, are
 inflated to find their end.
 
-Reading: one partition per group of whole files of about ``split_bytes``; equality, IN and null filters on
+Files that aren't gzip are read as plain records, of which only headers are read where payloads aren't wanted.
+
+Reading: partitions of about ``split_bytes``, which are groups of small files, or ranges of one file between the cut
+points that its writer has put beside it (``.cuts``; a file without is one partition at the least); equality, IN and null filters on
 ``record_type`` and on header columns are pushed down and judged on the parsed headers; a payload is decoded only
 for records that pass, and only if the schema asked for has a ``payload`` column.
 Writing: each task writes files of about ``roll_bytes`` under a pending name, and the driver renames those of the
 tasks that counted, so tasks that are run twice leave no record twice.
 
 Null payloads count as empty.  Header values that are null are left out.  Line breaks in values become spaces.
-Repeated rows are archived as the rows they are.
+Repeated rows are archived as the rows they are; rows of one page_id share a record id, and a null page_id is
+``none``, which no record refers to unless it alone has a payload.  Of equal payloads the smallest page_id is the
+response, and every other page_id a revisit.  An empty table makes an archive without records.  Columns other than
+page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 import uuid
@@ -53,10 +60,13 @@ SCHEMA = ", ".join(f"{c} {'long' if c in LONGS else 'string'}" for c in HEADERS)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPLIT_BYTES = 64 << 20
 ROLL_BYTES = 128 << 20
+#: How far apart the cut points are that a writer notes, and the ending of the file of them.
+CUT_BYTES = 4 << 20
+CUTS = ".cuts"
 #: How much of a member is inflated at first to find its headers.
 PEEK = 4096
-#: Salts over which the copies of one payload are dealt in the join with their first.
-SALTS = 32
+#: Over how many salts the copies of one payload are dealt in the join with their first: so many, and one more for so many pages.
+SALTS, SALT_ROWS = 32, 1 << 20
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -100,53 +110,83 @@ def skip_length(head: bytes) -> int:
     return 0
 
 
-def records(path: str, wanted, payload: bool) -> Iterator[tuple[dict[str, object], bytes | None]]:
-    """Headers of each record for which ``wanted(headers)``, and its payload if asked for."""
+Record = tuple[dict[str, object], bytes | None]
+
+
+def records(path: str, wanted, payload: bool, start: int = 0, end: int | None = None) -> Iterator[Record]:
+    """Headers of each record for which ``wanted(headers)``, and its payload if asked for; of the range that begins at a record."""
     fs, name = filesystem(path)
     with fs.open_input_file(name) as f:
-        at, end = 0, f.size()
-        while at < end:
-            f.seek(at)
-            chunk = f.read(PEEK)
-            size, inflate = skip_length(chunk), zlib.decompressobj(31)
-            plain = inflate.decompress(chunk)
-            taken = len(chunk)
-            while b"\r\n\r\n" not in plain and not inflate.eof:
-                more = f.read(PEEK)
+        end = f.size() if end is None else end
+        if start < end and f.read_at(2, start) != b"\x1f\x8b":
+            yield from plain_records(f, wanted, payload, start, end)
+        else:
+            yield from member_records(f, wanted, payload, start, end)
+
+
+def plain_records(f, wanted, payload: bool, at: int, end: int) -> Iterator[Record]:
+    while at < end:
+        f.seek(at)
+        plain = f.read(PEEK)
+        while b"\r\n\r\n" not in plain and (more := f.read(PEEK)):
+            plain += more
+        head, gap, body = plain.partition(b"\r\n\r\n")
+        if not gap:
+            if plain.strip():
+                raise ValueError(f"no record at byte {at}")
+            return
+        headers = parse_headers(head)
+        length = headers["content_length"] or 0
+        if wanted(headers):
+            yield headers, (body[:length] + (f.read(length - len(body)) if length > len(body) else b"") if payload else None)
+        at += len(head) + 4 + length + 4
+
+
+def member_records(f, wanted, payload: bool, at: int, end: int) -> Iterator[Record]:
+    while at < end:
+        f.seek(at)
+        chunk = f.read(PEEK)
+        size, inflate = skip_length(chunk), zlib.decompressobj(31)
+        plain = inflate.decompress(chunk)
+        taken = len(chunk)
+        while b"\r\n\r\n" not in plain and not inflate.eof:
+            more = f.read(PEEK)
+            if not more:
+                break
+            taken += len(more)
+            plain += inflate.decompress(more)
+        head, _, body = plain.partition(b"\r\n\r\n")
+        headers = parse_headers(head)
+        keep = wanted(headers)
+        length = headers["content_length"] or 0
+        if not size or (keep and payload):
+            rest = [body]
+            got = len(body)
+            while not inflate.eof:
+                more = f.read(max(PEEK, size - taken) if size else 1 << 20)
                 if not more:
                     break
                 taken += len(more)
-                plain += inflate.decompress(more)
-            head, _, body = plain.partition(b"\r\n\r\n")
-            headers = parse_headers(head)
-            keep = wanted(headers)
-            length = headers["content_length"] or 0
-            if not size or (keep and payload):
-                rest = [body]
-                got = len(body)
-                while not inflate.eof:
-                    more = f.read(max(PEEK, size - taken) if size else 1 << 20)
-                    if not more:
-                        break
-                    taken += len(more)
-                    part = inflate.decompress(more)
-                    if got < length:  # beyond that only the record's end is left
-                        rest.append(part)
-                    got += len(part)
-                size = size or taken - len(inflate.unused_data)
-                body = b"".join(rest)[:length]
-            if keep:
-                yield headers, body if payload else None
-            at += size
+                part = inflate.decompress(more)
+                if got < length:  # beyond that only the record's end is left
+                    rest.append(part)
+                got += len(part)
+            size = size or taken - len(inflate.unused_data)
+            body = b"".join(rest)[:length]
+        if keep:
+            yield headers, body if payload else None
+        at += size
 
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """(path, start, end) of each range; an end of None is the file's."""
+
+    ranges: list[tuple[str, int, int | None]]
 
-    def __init__(self, paths: list[str]):
-        super().__init__(tuple(paths))
-        self.paths = paths
+    def __init__(self, ranges: list[tuple[str, int, int | None]]):
+        super().__init__(tuple(ranges))
+        self.ranges = ranges
 
 
 class WarcReader(DataSourceReader):
@@ -171,22 +211,32 @@ class WarcReader(DataSourceReader):
         fs, name = filesystem(self.path)
         found = fs.get_file_info(pafs.FileSelector(name, recursive=False, allow_not_found=True)) if fs.get_file_info(name).type != pafs.FileType.File else [fs.get_file_info(name)]
         prefix = self.path[: len(self.path) - len(name)] if self.path.endswith(name) else "file://" if "://" in self.path or self.path.startswith("file:") else ""
-        groups: list[list[str]] = []
+        there = {i.path for i in found}
+        groups: list[list[tuple[str, int, int | None]]] = []
         room = 0
         for info in sorted((i for i in found if i.type == pafs.FileType.File and re.search(r"\.warc(\.gz)?$", i.path)), key=lambda i: i.path):
-            if not groups or room < info.size:
-                groups.append([])
-                room = self.split
-            groups[-1].append(prefix + info.path)
-            room -= info.size
+            cuts: list[int] = []
+            if info.size > self.split and info.path + CUTS in there:
+                with fs.open_input_file(info.path + CUTS) as f:
+                    cuts = json.loads(f.read())
+            edges = [0]
+            for cut in cuts:
+                if cut - edges[-1] >= self.split:
+                    edges.append(cut)
+            for a, b in zip(edges, [*edges[1:], info.size], strict=True):
+                if not groups or room < b - a:
+                    groups.append([])
+                    room = self.split
+                groups[-1].append((prefix + info.path, a, b))
+                room -= b - a
         return [Files(g) for g in groups] or [Files([])]
 
     def wanted(self, headers: dict[str, object]) -> bool:
         return all(headers[c] is not None and (not values or headers[c] in values) for c, values in self.tests)
 
     def read(self, partition: Files) -> Iterator[tuple]:
-        for path in partition.paths:
-            for headers, payload in records(path, self.wanted, "payload" in self.names):
+        for path, start, end in partition.ranges:
+            for headers, payload in records(path, self.wanted, "payload" in self.names, start, end):
                 yield tuple(payload if c == "payload" else headers.get(c) for c in self.names)
 
 
@@ -198,12 +248,19 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.path, self.roll, self.level = options["path"], int(options.get("roll_bytes", ROLL_BYTES)), int(options.get("level", 6))
+        self.cut = int(options.get("cut_bytes", CUT_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = filesystem(self.path)
         fs.create_dir(f"{root}/_pending", recursive=True)
         paths: list[str] = []
-        out, size = None, 0
+        out, size, cuts = None, 0, []
+
+        def close() -> None:
+            out.close()
+            with fs.open_output_stream(paths[-1] + CUTS) as f:
+                f.write(json.dumps(cuts).encode())
+
         for batch in iterator:
             columns = [c for c in HEADERS if c in batch.schema.names]
             values = [batch.column(c).to_pylist() for c in columns]
@@ -211,21 +268,24 @@ class WarcWriter(DataSourceArrowWriter):
             for i in range(batch.num_rows):
                 if out is None or size >= self.roll:
                     if out is not None:
-                        out.close()
+                        close()
                     paths.append(f"{root}/_pending/{uuid.uuid4().hex}.warc.gz")
-                    out, size = fs.open_output_stream(paths[-1], compression=None), 0
+                    out, size, cuts = fs.open_output_stream(paths[-1], compression=None), 0, []
+                if size - (cuts[-1] if cuts else 0) >= self.cut:
+                    cuts.append(size)
                 packed = member(record_bytes({c: v[i] for c, v in zip(columns, values, strict=True)}, payloads[i].as_py() if payloads is not None else None), self.level)
                 out.write(packed)
                 size += len(packed)
         if out is not None:
-            out.close()
+            close()
         return Written(paths)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = filesystem(self.path)
         for m in messages:
             for p in m.paths if m else ():
-                fs.move(p, f"{root}/{p.rsplit('/', 1)[1]}")
+                for q in (p + CUTS, p):  # cuts without a file do no harm
+                    fs.move(q, f"{root}/{q.rsplit('/', 1)[1]}")
         if fs.get_file_info(f"{root}/_pending").type != pafs.FileType.NotFound:
             fs.delete_dir(f"{root}/_pending")  # with what tasks that didn't count have left
 
@@ -233,6 +293,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, _ = filesystem(self.path)
         for m in messages:
             for p in m.paths if m else ():
+                fs.delete_file(p + CUTS)
                 fs.delete_file(p)
 
 
@@ -269,8 +330,9 @@ def as_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """A record per page: of pages with equal payloads of at least ``min_bytes`` the smallest page_id is the response.
 
     Payloads are compared by their SHA-1 and length.  The copies of a payload are counted before any shuffle and dealt
-    over ``SALTS`` salts in the join that tells each its first, so a payload that many pages share is no hot key.
+    over salts, whose number grows with the table, in the join that tells each its first, so a payload that many pages share is no hot key.
     """
+    salts = SALTS + pages.count() // SALT_ROWS
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumns(
         {"sha1": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")}
     )
@@ -279,16 +341,16 @@ def as_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .groupBy("sha1", "payload_length")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .where("copies > 1")
-        .select("sha1", "payload_length", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .select("sha1", "payload_length", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
-    dealt = page.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    dealt = page.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     joined = dealt.join(firsts, ["sha1", "payload_length", "salt"], "left")
     revisit = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     return joined.select(
         urn("page_id").alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.lit("1970-01-01T00:00:00Z").alias("date"),
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
         F.col("url").alias("target_uri"),
         F.concat(F.lit("sha1:"), F.pandas_udf(base32_of_hex, "string")("sha1")).alias("payload_digest"),
         F.when(revisit, urn("first_id")).alias("refers_to"),
