@@ -1,4 +1,12 @@
-"""A corpus from raw documents: filtered, deduplicated and packed into training sequences."""
+"""A corpus from raw documents: filtered, deduplicated and packed into training sequences.
+
+Every stage but the last returns the columns of its input under their own names, whatever they are called, with the
+values they had (the suffix stage alone changes ``text``, and ``n_chars`` with it).  Null and empty texts are judged
+like any text by the two filters, are near-duplicates of nothing, and pack as the end id alone.  Rows with a null
+doc_id are judged by the filters, pass both dedup stages whole, and are packed.  Of repeated rows, and of rows of one
+doc_id, near_dedup keeps one.  Ties go to the smaller doc_id.  Empty tables give empty results; without labels the
+filters judge by their bare curves.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import minhash, packing, quality, suffix_array, toxicity
-from lattica.llm.common import settled, table
+from lattica.llm.common import settled, table, where
 
 #: DuckDB cannot express these stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -14,14 +22,12 @@ ORACLE_SQL = None
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney models don't call toxic."""
-    found = toxicity.detect(docs, table(spark, sf_dir, "labels"))
-    return found.where("predicted = 0").select(*docs.columns)
+    return where(docs, lambda d: toxicity.detect(d, table(spark, sf_dir, "labels")), "predicted = 0", "doc_id", "text")
 
 
 def of_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model calls good."""
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return found.where("predicted = 1").select(*docs.columns)
+    return where(docs, lambda d: quality.classify(d, table(spark, sf_dir, "labels")), "predicted = 1", "doc_id", "text")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
