@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.dsl.nodes import parse
-from lattica.evalkit import compare, costs, curation, learning, metrics, workloads
+from lattica.evalkit import compare, costs, curation, metrics
 from lattica.functions import stats
-from lattica.functions.features import FEATURES, feature_table
+from lattica.functions.features import feature_table
 from lattica.operators.traversal import Graph
 from lattica.plans.decompose import decompose
 from lattica.plans.engine import Engine
@@ -476,14 +476,6 @@ def selectivity_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_table(spark, subs, known).select("query_id", F.round("selectivity", 6).alias("selectivity"))
 
 
-@query()
-def features_of_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 22 features of every sub-expression of the relational sample queries."""
-    found = tables(spark, sf_dir)
-    known = stats.Statistics({t: stats.table_stats(t, found.table(t)) for t in ("customer", "orders")}, {"social_graph": stats.graph_stats(found.graph("social_graph").edges).first().asDict()})
-    return feature_table(spark, [(q["query_id"], s) for w in workloads.workloads().values() for q in w for s in decompose(parse(q).nodes)], known)
-
-
 # Cost model, policies, metrics: on a grid of feature rows made by rule from orders
 
 GRID_SQL = """g AS (SELECT o_orderkey, 'd' || o_orderkey % 3 AS dataset, CAST(o_orderkey % 2 AS DOUBLE) AS has_traversal, CAST(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey // 2 % 4 + 1 ELSE 0 END AS DOUBLE) AS max_hops,
@@ -652,37 +644,12 @@ def measured_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.labelled(runs).select("o_orderkey", "label")
 
 
-# Seeded or iterative: no SQL
-
-
-@query()
-def bootstrap_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap(labelled(spark, sf_dir), 50, key="o_orderkey")
-
-
-@query()
-def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir).withColumn("query_id", F.floor(F.col("o_orderkey") / 10))
-    return curation.split_by_group(rows, "query_id").groupBy("part", "label").count()
-
-
-@query()
-def learned_tree_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir).drop("score", "predicted")
-    rows = rows.withColumns({c: F.lit(0.0) for c in FEATURES if c not in rows.columns})
-    train, test = (rows.where(curation.draw(7, "o_orderkey") < 0.8), rows.where(curation.draw(7, "o_orderkey") >= 0.8))
-    return metrics.confusion(learning.predicted(learning.fitted(train, "tree"), test))
-
-
-@query()
-def power_law_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, e = etl.power_law_graph(spark, 2000, 10)
-    return stats.graph_stats(e, v)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+from lattica import catalog_tools  # noqa: E402, F401  registers its queries

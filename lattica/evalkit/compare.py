@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import statistics
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,3 +101,47 @@ def strategy_runs(spark: SparkSession, strategies: dict[str, Callable[[str], Cal
             t = timed(make(q), warm_ups, runs)
             rows.append((name, q, t.median_ms, t.mean_ms, t.min_ms, t.max_ms, t.median_ms != float("inf")))
     return spark.createDataFrame(rows, "strategy string, query_id string, median_latency_ms double, mean_latency_ms double, min_latency_ms double, max_latency_ms double, success boolean")
+
+
+def scale_experiment(spark: SparkSession, places: dict[str, str], strategies: Callable[[str], dict[str, Callable[[str], Callable[[], DataFrame]]]], query_ids: Sequence[str], warm_ups: int = 0, runs: int = 1) -> DataFrame:
+    """The strategies' runs at every scale: ``places`` has a folder per scale, ``strategies`` makes them for a folder.
+
+    A scale whose folder isn't there is left out.  (scale, strategy, query_id, latencies, success).
+    """
+    found = None
+    for scale, folder in places.items():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            continue
+        one = strategy_runs(spark, strategies(folder), query_ids, warm_ups, runs).withColumn("scale", F.lit(scale))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError(f"none of {sorted(places.values())} is there")
+    return found.select("scale", *[c for c in found.columns if c != "scale"])
+
+
+def status(spark: SparkSession, gate: DataFrame | None = None, f1: float | None = None, reports: DataFrame | None = None, ablated: DataFrame | None = None, least_f1: float = 0.95, least_drop: float = 0.005) -> DataFrame:
+    """(item, passed, detail): a checklist of the gate, the model's F1, results that agree, and features that matter."""
+    rows: list[tuple[str, bool, str]] = []
+    if gate is not None:
+        failed = [r["name"] for r in gate.where("not passed").orderBy("name").collect()]  # a row per check
+        rows.append(("quality_gate", not failed, ", ".join(failed) or "all passed"))
+    if f1 is not None:
+        rows.append(("model_f1", f1 >= least_f1, f"{f1:.4f} of {least_f1:.4f}"))
+    if reports is not None:
+        n, ok = reports.agg(F.count(F.lit(1)), F.count_if("passed")).first()
+        rows.append(("results_agree", n == ok, f"{ok} of {n}"))
+    if ablated is not None:
+        drop = ablated.agg(F.max("f1_drop")).first()[0] or 0.0
+        rows.append(("features_matter", drop >= least_drop, f"{drop:.4f} of {least_drop:.4f}"))
+    return spark.createDataFrame(rows, "item string, passed boolean, detail string")
+
+
+def written_json(document: dict, spark: SparkSession, path: str) -> None:
+    """A statistics document as one JSON file of any Hadoop file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(json.dumps(document, sort_keys=True).encode()))
+    finally:
+        out.close()

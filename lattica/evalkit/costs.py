@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.evalkit.curation import draw
+
 # Coefficients of the simulated engines in milliseconds, fixed values of the cost model.
 SQL = {"base": 10.0, "row": 0.001, "filter": 3.0, "join": 20.0, "join_row": 0.003, "aggregate": 10.0, "hop": 55.0, "traversal": 40.0, "fan": 4.0, "skew": 15.0}
 POINT = {"hop": 4.0, "traversal": 4.0, "graph": 32.0}
@@ -42,10 +46,18 @@ def simulated(rows: DataFrame, noise_seed: int | None = None) -> DataFrame:
     return costs.withColumn("label", F.when(c("graph_runtime_ms") < c("sql_runtime_ms"), "GRAPH").otherwise("SQL"))
 
 
-def augmented(rows: DataFrame, columns: list[str], copies: int = 10, spread: float = 0.05, seed: int = 42) -> DataFrame:
-    """``copies`` of each row with Gaussian noise on the given columns, numbered by ``copy``."""
+def augmented(rows: DataFrame, columns: list[str], key: str, copies: int = 10, spread: float = 0.05, seed: int = 42) -> DataFrame:
+    """``copies`` of each row with Gaussian noise on the given columns, numbered by ``copy``.
+
+    The noise is a Box-Muller pair of uniform draws from the key's hash, so it is the same in every run.
+    """
     more = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return more.withColumns({k: F.col(k) * (1 + spread * F.randn(seed + i)) for i, k in enumerate(columns)})
+
+    def noise(column: str) -> Column:
+        one, other = (draw(f"{seed}:{column}:{part}", key, "copy") for part in ("r", "a"))
+        return F.sqrt(-2 * F.log(one)) * F.cos(2 * math.pi * other)
+
+    return more.withColumns({k: F.col(k) * (1 + spread * noise(k)) for k in columns})
 
 
 def labelled(runs: DataFrame, penalty: float = 3.0) -> DataFrame:
@@ -55,6 +67,7 @@ def labelled(runs: DataFrame, penalty: float = 3.0) -> DataFrame:
     run and are given ``penalty`` times the SQL time; so is an engine that failed.  Rows that both failed go.
     """
     sql, graph = F.col("sql_median_ms"), F.when(F.col("primary") == "TRAVERSAL", F.col("graph_median_ms"))
+    # The reasons' words are fixed values of the format.
     rows = runs.withColumns({"fallback_reason": F.when(sql.isNull() & graph.isNotNull(), "sql_failed_or_penalized").when((F.col("primary") == "TRAVERSAL") & graph.isNull(), "graph_failed").otherwise("none")})
     rows = rows.where(sql.isNotNull() | graph.isNotNull()).withColumns({"sql_median_ms": F.coalesce(sql, graph * penalty), "graph_median_ms": F.coalesce(graph, sql * penalty)})
     return rows.withColumns(

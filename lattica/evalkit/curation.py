@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.running import with_running_sums
+from lattica.sources.etl import hashed
+
 SIGNATURE = ("dataset", "query_id", "sub_id", "label", "sql_median_ms", "graph_median_ms", "speedup")
 
 
@@ -36,17 +39,17 @@ def validated(tables: Iterable[DataFrame], datasets: Iterable[str] | None = None
     return out
 
 
-def draw(seed: int, *columns: str) -> Column:
-    """A uniform number from the hash of columns, the same in every run."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def draw(seed: int | str, *columns: str | Column) -> Column:
+    """A uniform number from the MD5 of columns as text, the same in every run and in any SQL engine."""
+    return (hashed(seed, *columns) + 0.5) / float(1 << 48)
 
 
 def split_by_row(df: DataFrame, key: tuple[str, ...], fraction: float = 0.2, seed: int = 42, label: str = "label", least: int = 1) -> DataFrame:
     """Rows with ``part`` "eval" for about ``fraction`` of each label, at least ``least`` of it, else "train"."""
-    order = Window.partitionBy(label).orderBy(draw(seed, *key), *key)
-    per = Window.partitionBy(label)
-    need = F.greatest(F.lit(least), F.round(F.count(F.lit(1)).over(per) * fraction).cast("int"))
-    return df.withColumn("part", F.when(F.row_number().over(order) <= need, "eval").otherwise("train"))
+    need = df.groupBy(F.col(label).alias("of_label")).agg(F.greatest(F.lit(least), F.round(F.count(F.lit(1)) * fraction).cast("int")).alias("need"))
+    ranked = with_running_sums(df.withColumn("drawn", draw(seed, *key)), ("drawn", *key), {"rank": F.lit(1)}, (label,))
+    chosen = ranked.join(need, F.col(label).eqNullSafe(F.col("of_label")))  # a row per label
+    return chosen.withColumn("part", F.when(F.col("rank") <= F.col("need"), "eval").otherwise("train")).drop("drawn", "rank", "need", "of_label")
 
 
 def split_by_group(df: DataFrame, group: str, fraction: float = 0.2, least: int = 1, seed: int = 42, label: str = "label") -> DataFrame:
@@ -56,13 +59,12 @@ def split_by_group(df: DataFrame, group: str, fraction: float = 0.2, least: int
     as eval has less than ``fraction`` of all rows.  Running sums go over groups, not rows.
     """
     sizes = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).withColumn("u", draw(seed, group))
-    by_label = Window.partitionBy(label).orderBy("u", group).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("needed", F.coalesce(F.sum("n").over(by_label), F.lit(0)) < least)
+    sizes = with_running_sums(sizes, ("u", group), {"seen": F.col("n")}, (label,)).withColumn("needed", F.col("seen") - F.col("n") < least)
     groups = sizes.groupBy(group, "u").agg(F.sum("n").alias("n"), F.max("needed").alias("needed"))
-    order = Window.orderBy(F.desc("needed"), "u", group).rowsBetween(Window.unboundedPreceding, -1)
-    target = F.greatest(F.lit(1), F.round(F.sum("n").over(Window.partitionBy(F.lit(1))) * fraction))
-    part = F.when(F.col("needed") | (F.coalesce(F.sum("n").over(order), F.lit(0)) < target), "eval").otherwise("train")
-    return df.join(groups.select(group, part.alias("part")), group)
+    groups = with_running_sums(groups, (F.desc("needed"), "u", group), {"seen": F.col("n")})
+    target = df.agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * fraction)).alias("target"))  # one row
+    part = F.when(F.col("needed") | (F.col("seen") - F.col("n") < F.col("target")), "eval").otherwise("train")
+    return df.join(groups.join(target, F.lit(True)).select(group, part.alias("part")), group)
 
 
 def upsampled(df: DataFrame, minority: str = "GRAPH", times: int = 2, least_unique: int = 1, label: str = "label") -> DataFrame:

@@ -11,12 +11,13 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.evalkit.curation import draw
 from lattica.evalkit.metrics import confusion
 from lattica.functions.features import FEATURES
+from lattica.operators.running import with_running_sums
 
 KINDS = ("logistic", "tree", "boosted")
 # Feature groups of the ablation study, fixed values.
@@ -36,7 +37,7 @@ def prepared(rows: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     return rows.join(F.broadcast(share), "label").withColumn("target", (F.col("label") == "GRAPH").cast("double")).fillna(0.0, list(columns))
 
 
-def estimator(kind: str, columns: Sequence[str] = FEATURES, trees: int = 20, seed: int = 42) -> Pipeline:
+def estimator(kind: str, columns: Sequence[str] = FEATURES, trees: int = 200, seed: int = 42) -> Pipeline:
     """The logistic model, a tree of depth 6 with 10 rows a leaf, or boosted trees of depth 5."""
     vector = VectorAssembler(inputCols=list(columns), outputCol="raw", handleInvalid="keep")
     scale = StandardScaler(inputCol="raw", outputCol="vector", withMean=False)
@@ -52,7 +53,7 @@ def estimator(kind: str, columns: Sequence[str] = FEATURES, trees: int = 20, see
     return Pipeline(stages=[vector, scale, model])
 
 
-def fitted(rows: DataFrame, kind: str = "boosted", columns: Sequence[str] = FEATURES, trees: int = 20) -> PipelineModel:
+def fitted(rows: DataFrame, kind: str = "boosted", columns: Sequence[str] = FEATURES, trees: int = 200) -> PipelineModel:
     return estimator(kind, columns, trees).fit(prepared(rows, columns))
 
 
@@ -91,14 +92,15 @@ def area_under_pr(model: PipelineModel, rows: DataFrame) -> float:
 
 
 def shuffled(rows: DataFrame, column: str, seed: int = 42, within: str | None = None) -> DataFrame:
-    """Rows with one column's values dealt anew among them, or among whole groups of ``within``."""
-    own, other = Window.orderBy(draw(seed, within or "row_id"), within or "row_id"), Window.orderBy(draw(seed + 1, within or "row_id"), within or "row_id")
-    base = rows.select(within).distinct() if within else rows.select("row_id")
+    """Rows with one column's values dealt anew among them, or among whole groups of ``within``.
+
+    Keys and values are numbered in two orders drawn by hash, by running sums over ranges, and joined by number.
+    """
     key = within or "row_id"
     values = rows.groupBy(within).agg(F.max(column).alias("dealt")) if within else rows.select("row_id", F.col(column).alias("dealt"))
-    there = base.withColumn("n", F.row_number().over(own))
-    dealt = values.withColumn("n", F.row_number().over(other)).select("n", "dealt")
-    return rows.drop(column).join(there.join(dealt, "n").select(key, F.col("dealt").alias(column)), key)
+    one = with_running_sums(values.select(key).withColumn("u", draw(seed, key)), ("u", key), {"n": F.lit(1)}).select(key, "n")
+    other = with_running_sums(values.withColumn("u", draw(seed + 1, key)), ("u", key), {"n": F.lit(1)}).select("n", "dealt")
+    return rows.drop(column).join(one.join(other, "n").select(key, F.col("dealt").alias(column)), key)
 
 
 def permutation_importance(spark: SparkSession, model: PipelineModel, rows: DataFrame, columns: Sequence[str] = FEATURES, seed: int = 42) -> DataFrame:
@@ -136,6 +138,18 @@ def transfer(spark: SparkSession, rows: DataFrame, kind: str = "tree", leave_one
     return spark.createDataFrame(out, "train string, test string, f1 double")
 
 
+def domain_shift(spark: SparkSession, rows: DataFrame, domains: dict[str, Sequence[str]], kind: str = "tree") -> DataFrame:
+    """(train, test, f1) for models of one domain's datasets on each other domain's."""
+    return transfer(spark, rows.withColumn("dataset", domain_of(domains)).where("dataset is not null"), kind)
+
+
+def domain_of(domains: dict[str, Sequence[str]], dataset: str = "dataset") -> Column:
+    found = F.lit(None).cast("string")
+    for name, datasets in domains.items():
+        found = F.when(F.col(dataset).isin(list(datasets)), F.lit(name)).otherwise(found)
+    return found
+
+
 def variance_inflation(spark: SparkSession, rows: DataFrame, columns: Sequence[str] = FEATURES, ceiling: float = 10.0) -> DataFrame:
     """(feature, vif, advice): the diagonal of the inverse correlation matrix; constant features have none."""
     import numpy as np

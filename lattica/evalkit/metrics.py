@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.evalkit.curation import draw
+from lattica.operators.running import with_running_sums
+
 CONFIDENCES = (0.5, 0.6, 0.7, 0.8, 0.9)
 
 
@@ -37,11 +40,10 @@ def brier(df: DataFrame, score: str = "score", label: str = "label") -> DataFram
 def average_precision(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """pr_auc: precision at each distinct score, weighted by the recall gained there.
 
-    Rows are counted per score first, so the running sums go over scores and not over rows.
+    Rows are counted per score first, and the running sums go over ranges of scores, so no task holds them all.
     """
     per = df.groupBy(score).agg(F.count_if(F.col(label) == "GRAPH").alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = per.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+    run = with_running_sums(per, (F.desc(score),), {"tp": F.col("pos"), "seen": F.col("n")})
     return run.agg(ratio(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("pr_auc"))
 
 
@@ -93,7 +95,7 @@ def bootstrap(df: DataFrame, replicates: int = 200, seed: int = 42, label: str =
     Each row's number of copies in a replicate is a Poisson(1) draw from the hash of its key.  The four kinds of
     outcome are weighed in one grouped pass.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("replicate")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = draw(seed, key, "replicate")
     cuts, total, p = [], 0.0, 0.36787944117144233  # exp(-1)
     for k in range(9):
         total += p

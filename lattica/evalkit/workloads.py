@@ -2,51 +2,46 @@
 
 from __future__ import annotations
 
-import copy
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-
-# Grids of the combined variants, fixed values.
-HOPS = (1, 2, 3, 4)
-SELECTIVITIES = (0.01, 0.05, 0.10, 0.25, 0.50)
-
-
-def _of(query: dict, kind: str) -> list[dict]:
-    return [op for op in query["operations"] if op["type"] == kind]
-
-
-def _variant(query: dict, suffix: str, hops: int | None = None, selectivity: float | None = None, join: str | None = None) -> dict:
-    made = copy.deepcopy(query)
-    made["query_id"] = f"{query['query_id']}_{suffix}"
-    for op in made["operations"]:
-        if hops is not None and op["type"] == "TRAVERSAL":
-            op["traversal"]["max_hops"] = hops
-        if selectivity is not None and op["type"] == "FILTER" and op.get("predicate"):
-            op["predicate"]["_selectivity_hint"] = selectivity
-        if join is not None and op["type"] == "JOIN":
-            op["join"]["join_type"] = join
-    return made
-
-
-def hop_variants(query: dict, hops: Sequence[int] = HOPS) -> list[dict]:
-    return [_variant(query, f"hops{h}", hops=h) for h in hops]
-
-
-def selectivity_variants(query: dict, targets: Sequence[float] = SELECTIVITIES) -> list[dict]:
-    return [_variant(query, f"sel{round(s * 100):03d}", selectivity=s) for s in targets]
-
-
-def join_variants(query: dict, kinds: Sequence[str] = ("INNER", "LEFT")) -> list[dict]:
-    return [_variant(query, f"join{k}", join=k) for k in kinds]
-
-
-def combined_variants(query: dict) -> list[dict]:
-    """Hops, selectivities, and both together, as far as the query has traversals and filters."""
-    walks, filters = bool(_of(query, "TRAVERSAL")), bool(_of(query, "FILTER"))
-    out = hop_variants(query) if walks else []
-    out += selectivity_variants(query) if filters else []
-    if walks and filters:
-        out += [_variant(query, f"h{h}_sv{round(s * 100):03d}", hops=h, selectivity=s) for h in HOPS for s in SELECTIVITIES]
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
+from itertools import product
+
+#: Where a variant may differ: a traversal's depth, a join's type, the share of rows that range filters keep.
+AXES: dict[str, tuple] = {"hops": (1, 2, 3, 4), "join": ("INNER", "LEFT"), "kept": (0.01, 0.05, 0.10, 0.25, 0.50)}
+#: Gives the smallest and the largest value of a table's column, if known.
+Extent = Callable[[str, str], tuple[float, float] | None]
+
+
+def _bound(predicate: dict, source: str, share: float, extent: Extent) -> float | None:
+    """The literal by which a range comparison keeps about ``share`` of evenly spread values."""
+    known = extent(source, predicate["column"]) if predicate.get("operator", "=")[0] in "<>" else None
+    if known is None:
+        return None
+    low, high = known
+    return high - share * (high - low) if predicate["operator"][0] == ">" else low + share * (high - low)
+
+
+def _changed(operation: dict, point: dict, extent: Extent) -> dict:
+    """The operation at a point of the axes."""
+    if operation["type"] == "TRAVERSAL" and "hops" in point:
+        return operation | {"traversal": operation["traversal"] | {"max_hops": point["hops"]}}
+    if operation["type"] == "JOIN" and "join" in point:
+        return operation | {"join": operation["join"] | {"join_type": point["join"]}}
+    if operation["type"] == "FILTER" and "kept" in point and operation.get("predicate"):
+        value = _bound(operation["predicate"], operation["source"], point["kept"], extent)
+        return operation if value is None else operation | {"predicate": operation["predicate"] | {"value": value}}
+    return operation
+
+
+def variants(query: dict, axes: dict[str, Sequence] | None = None, extent: Extent = lambda table, column: None) -> list[dict]:
+    """The query at every point of the axes on which it differs, named by the point (``q~hops=2~join=LEFT``)."""
+    axes = AXES if axes is None else axes
+    free = [a for a in axes if any(_changed(op, {a: v}, extent) != op for op in query["operations"] for v in axes[a])]
+    out = []
+    for values in product(*(axes[a] for a in free)):
+        point = dict(zip(free, values, strict=True))
+        name = "~".join([query["query_id"], *(f"{a}={v}" for a, v in point.items())])
+        out.append(query | {"query_id": name, "operations": [_changed(op, point, extent) for op in query["operations"]]})
     return out
 
 
@@ -118,15 +113,49 @@ TPCDS = (TableSpec("store_sales", "c3", "c20", "c7", ("customer", "c0", "c3")),
 TPCDS_GRAPH = GraphSpec("tpcds", "BOUGHT", "id", ("customer:c0:1", "customer:c0:2"))
 
 
-def workloads() -> dict[str, list[dict]]:
+@dataclass(frozen=True)
+class Intensity:
+    """How many literals, starts, depths and directions the workloads go through."""
+
+    literals: tuple[float, ...]
+    starts: int
+    hops: int
+    directions: tuple[str, ...]
+
+
+INTENSITIES = {
+    "balanced": Intensity((10, 100, 1000), 3, 0, ("OUT", "BOTH")),
+    "dense": Intensity((10, 50, 100, 500, 1000), 6, 1, ("OUT", "BOTH")),
+    "aggressive": Intensity((1, 10, 50, 100, 500, 1000, 5000), 12, 2, ("OUT", "IN", "BOTH")),
+}
+#: What a workload leans to: "all" is even; "graph" has deeper traversals and half of the literals; "sql" the reverse.
+FOCUS = ("all", "graph", "sql")
+
+
+def workloads(intensity: str = "balanced", focus: str = "all") -> dict[str, list[dict]]:
     """Every dataset's queries, relational and graph."""
+    if focus not in FOCUS:
+        raise ValueError(f"unknown focus '{focus}'; one of {FOCUS}")
+    much = INTENSITIES[intensity]
+    literals = much.literals[::2] if focus == "graph" else much.literals
+    deeper = much.hops + (1 if focus == "graph" else 0)
+
+    def starts(spec: GraphSpec) -> GraphSpec:
+        more = [x for x in (5, 20, 50, 200, 500, 2000, 7, 11, 13) if isinstance(spec.starts[0], int)]
+        chosen = (*spec.starts, *more)[: much.starts]
+        return replace(spec, starts=chosen[: max(1, len(chosen) // 2)] if focus == "sql" else chosen)
+
+    def walks(prefix: str, spec: GraphSpec, hops: Sequence[int], directions: Sequence[str] | None = None) -> list[dict]:
+        depths = (*hops, *range(max(hops) + 1, max(hops) + 1 + deeper))
+        return list(graph_workload(prefix, starts(spec), depths[:1] if focus == "sql" else depths, directions or much.directions))
+
     return {
-        "snb": list(graph_workload("snb", SNB_GRAPH, (1, 2))),
-        "snb_bi": list(relational_workload("snb_bi", SNB)),
-        "snb_bi_graph": list(graph_workload("snb_bi", SNB_GRAPH, (3,), ("BOTH",))),
-        "ogb": list(graph_workload("ogb", OGB_GRAPH)),
-        "job": list(relational_workload("job", JOB)),
-        "job_graph": list(graph_workload("job", JOB_GRAPH, (1, 2))),
-        "tpcds": list(relational_workload("tpcds", TPCDS)),
-        "tpcds_graph": list(graph_workload("tpcds", TPCDS_GRAPH, (1, 2))),
+        "snb": walks("snb", SNB_GRAPH, (1, 2)),
+        "snb_bi": list(relational_workload("snb_bi", SNB, literals)),
+        "snb_bi_graph": walks("snb_bi", SNB_GRAPH, (3,), ("BOTH",)),
+        "ogb": walks("ogb", OGB_GRAPH, (1, 2, 3)),
+        "job": list(relational_workload("job", JOB, literals)),
+        "job_graph": walks("job", JOB_GRAPH, (1, 2)),
+        "tpcds": list(relational_workload("tpcds", TPCDS, literals)),
+        "tpcds_graph": walks("tpcds", TPCDS_GRAPH, (1, 2)),
     }

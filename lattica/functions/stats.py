@@ -27,12 +27,18 @@ def column_stats(df: DataFrame) -> DataFrame:
     """(column_name, row_count, distinct_count, min, max), a row per numeric column.
 
     Columns are turned to rows before the aggregation, so each column is deduplicated by shuffle and not in one task.
+    Values are told apart in their own types (whole numbers and decimals by all their digits), not as doubles.
     """
+
+    def exact(c: str) -> Column:
+        floating = isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))
+        return (F.col(c).cast("double") + 0.0 if floating else F.col(c)).cast("string")  # -0.0 is 0.0
+
     numeric = column_types(df, *NUMERIC)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in numeric])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), exact(c).alias("key"), F.col(c).cast("double").alias("v")) for c in numeric])
     long = df.select(F.explode(pairs).alias("p")).select("p.*")
-    by_value = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    return by_value.groupBy("column_name").agg(F.sum("n").alias("row_count"), F.count("v").alias("distinct_count"), F.min("v").alias("min"), F.max("v").alias("max"))
+    by_value = long.groupBy("column_name", "key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    return by_value.groupBy("column_name").agg(F.sum("n").alias("row_count"), F.count("key").alias("distinct_count"), F.min("v").alias("min"), F.max("v").alias("max"))
 
 
 def table_stats(name: str, df: DataFrame) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, InvalidOperation
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,18 +17,28 @@ class ColumnError(ValueError):
 
 
 def literal(value: object, kind: T.DataType, column: str) -> Column:
-    """The literal in the column's own type, so that the comparison is one of equal types and reaches the scan."""
-    if isinstance(kind, NUMBERS):
-        try:
-            number = float(value)
-        except (TypeError, ValueError) as error:
-            raise ColumnError(f"'{value}' is no number, but column '{column}' is {kind.simpleString()}") from error
-        if isinstance(kind, WHOLE):
-            return F.lit(int(value) if float(value).is_integer() else number) if not isinstance(value, str) else F.lit(int(number) if number.is_integer() else number)
-        return F.lit(number)
-    if isinstance(kind, (T.StringType, T.BooleanType)):
-        return F.lit(str(value)).cast(kind)
-    return F.lit(str(value)).cast(kind)  # dates and timestamps: the document only has text for them
+    """The literal in the column's own type, so that the comparison is one of equal types and reaches the scan.
+
+    A number that the type can't hold (a fraction against whole numbers, too many digits) is compared as a decimal or
+    a double, as SQL does.
+    """
+    if not isinstance(kind, NUMBERS):
+        return F.lit(str(value)).cast(kind)  # dates and timestamps: the document only has text for them
+    try:
+        number = Decimal(str(value).strip())
+    except InvalidOperation as error:
+        raise ColumnError(f"'{value}' is no number, but column '{column}' is {kind.simpleString()}") from error
+    if isinstance(kind, (T.FloatType, T.DoubleType)) or not number.is_finite():
+        return F.lit(float(number)).cast(kind if isinstance(kind, T.FloatType) else "double")
+    whole = number == number.to_integral_value()
+    if isinstance(kind, WHOLE):
+        if whole and -(2**63) <= number < 2**63:
+            n = int(number)
+            small = -(2**31) <= n < 2**31 and not isinstance(kind, T.LongType)
+            return F.lit(n).cast("int" if small else "long")
+        return F.lit(number) if len(number.as_tuple().digits) <= 38 else F.lit(float(number))
+    fits = number.adjusted() < kind.precision - kind.scale and -number.normalize().as_tuple().exponent <= kind.scale
+    return F.lit(str(number)).cast(kind) if fits else F.lit(float(number)) if len(number.as_tuple().digits) > 38 else F.lit(number)
 
 
 def condition(df: DataFrame, predicate: dict) -> Column:

@@ -2,8 +2,10 @@
 
 Two physical forms give the same rows:
 
-* ``unrolled``: one lazy plan with a left join and a distinct per hop.  Each hop refers to the one before once, so
-  the plan grows with the hops and not with their powers, and nothing runs until the caller asks.
+* ``unrolled``: one lazy plan with an inner join and a distinct per hop, from the vertices that the hop before came
+  to.  Either side of an inner join may be the small one, so a small frontier is broadcast and the edges stay where
+  they are.  The levels are united at the end; a level that several need is computed once (a reused exchange), and
+  nothing runs until the caller asks.
 * ``frontier``: a loop that expands only newly found vertices, drops those visited by an anti-join, writes each
   level to the shared folder (which cuts the lineage and survives lost executors) and ends when a level is empty.
 
@@ -50,18 +52,20 @@ def directed(edges: DataFrame, direction: str, label: str | None) -> DataFrame:
     """(src, dst) along which a hop goes; the label counts where edges have one."""
     if label and "relationship" in edges.columns:
         edges = edges.where(F.col("relationship") == label)
-    out, back = edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if direction not in ("OUT", "IN", "BOTH"):
         raise ValueError(f"unknown direction '{direction}'")
-    return out if direction == "OUT" else back if direction == "IN" else out.union(back)
+    if direction == "BOTH":  # both ways from one read of the edges
+        ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        return edges.select(F.explode(ways).alias("way")).select("way.src", "way.dst")
+    return edges.select("src", "dst") if direction == "OUT" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def unrolled(start: DataFrame, hops: DataFrame, max_hops: int) -> DataFrame:
-    reached = start.distinct()
+    level = reached = start.distinct()
     for _ in range(max_hops):
-        step = reached.join(hops, F.col("id") == F.col("src"), "left")
-        reached = step.select(F.explode(F.array_compact(F.array("id", "dst"))).alias("id")).distinct()
-    return reached
+        level = level.join(hops, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        reached = reached.union(level)
+    return reached.distinct() if max_hops else reached
 
 
 def frontier(start: DataFrame, hops: DataFrame, max_hops: int) -> DataFrame:
@@ -91,7 +95,8 @@ def traversed(graph: Graph, spec: dict, strategy: str | None = None) -> DataFram
     """Run a traversal; ``strategy`` is "SQL" (unrolled), "GRAPH" (frontier) or None to go by the number of hops."""
     hops = directed(graph.edges, spec["direction"], spec.get("edge_label"))
     run = unrolled if strategy == "SQL" or strategy is None and spec["max_hops"] <= LAZY_HOPS else frontier
-    reached = graph.vertices.join(run(starts(graph, spec.get("start_vertex_filter")), hops, spec["max_hops"]), "id")
+    found = run(starts(graph, spec.get("start_vertex_filter")), hops, spec["max_hops"])
+    reached = graph.vertices.join(found, "id", "left_semi")  # found holds each id once
     if ending := spec.get("end_vertex_filter"):
         reached = filtered(reached, {"operator": "="} | ending)
     fields = spec.get("return_fields") or []

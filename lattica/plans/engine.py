@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.dsl.nodes import Node, Query, parse, parse_file
 from lattica.operators.predicates import filtered
 from lattica.operators.relational import aggregated, joined, projected
-from lattica.operators.traversal import Graph, traversed
+from lattica.operators.traversal import LAZY_HOPS, Graph, traversed
 from lattica.plans.decompose import SubExpression, decompose
 from lattica.sources.tables import Tables
 
@@ -28,6 +28,9 @@ class Result:
     decisions: dict[str, str] = field(default_factory=dict)
     build_ms: float = 0.0
     error: str | None = None
+    parse_ms: float = 0.0
+    decompose_ms: float = 0.0
+    sub_ms: dict[str, float] = field(default_factory=dict)
 
 
 class Engine:
@@ -56,21 +59,34 @@ class Engine:
             return joined(df, self._input(j["right_source"], done), j["left_key"], j["right_key"], j["join_type"])
         return aggregated(df, node.aggregate["group_by"], node.aggregate["functions"])
 
+    def _decided(self, subs: list[SubExpression]) -> list[str]:
+        if self.force:
+            return [self.force] * len(subs)
+        if self.policy is not None:
+            batch = getattr(self.policy, "batch", None)  # a model judges all of a query's sub-expressions at once
+            return batch(subs) if batch else [self.policy(s) for s in subs]
+        deep = [s.primary == "TRAVERSAL" and any(n.traversal and n.traversal["max_hops"] > LAZY_HOPS for n in s.nodes) for s in subs]
+        return ["GRAPH" if d else "SQL" for d in deep]
+
     def build(self, query: Query | dict) -> Result:
         began = time.perf_counter()
         query = query if isinstance(query, Query) else parse(query)
-        of, decisions = {}, {}
-        for sub in decompose(query.nodes):
-            decisions[sub.sub_id] = self.force or (self.policy(sub) if self.policy else "GRAPH" if sub.primary == "TRAVERSAL" and any(n.traversal and n.traversal["max_hops"] > 4 for n in sub.nodes) else "SQL")
-            of |= {n.op_id: decisions[sub.sub_id] for n in sub.nodes}
+        parsed = time.perf_counter()
+        subs = decompose(query.nodes)
+        decomposed = time.perf_counter()
+        decisions = dict(zip((s.sub_id for s in subs), self._decided(subs), strict=True))
+        sub_of = {n.op_id: s.sub_id for s in subs for n in s.nodes}
         done: dict[str, DataFrame] = {}
+        spent: dict[str, float] = dict.fromkeys(decisions, 0.0)
         leaf = query.leaf
         for node in query.nodes:
-            done[node.op_id] = self._operation(node, done, of[node.op_id])
+            at, sub = time.perf_counter(), sub_of[node.op_id]
+            done[node.op_id] = self._operation(node, done, decisions[sub])
+            spent[sub] += (time.perf_counter() - at) * 1000
         data = done[leaf.op_id]
         if leaf.op_type not in ("AGGREGATE", "TRAVERSAL"):
             data = projected(data, leaf.fields)
-        return Result(query.query_id, data, decisions, (time.perf_counter() - began) * 1000)
+        return Result(query.query_id, data, decisions, (time.perf_counter() - began) * 1000, None, (parsed - began) * 1000, (decomposed - parsed) * 1000, spent)
 
     def run(self, query: Query | dict) -> DataFrame:
         return self.build(query).data
@@ -90,9 +106,9 @@ class Engine:
 
 
 def metadata(spark: SparkSession, results: Iterable[Result]) -> DataFrame:
-    """(query_id, sub_id, engine, build_ms, error), a row per decision or failed query."""
-    rows = [(r.query_id, s, e, r.build_ms, r.error) for r in results for s, e in (r.decisions or {None: None}).items()]
-    return spark.createDataFrame(rows, "query_id string, sub_id string, engine string, build_ms double, error string")
+    """(query_id, sub_id, engine, sub_ms, build_ms, parse_ms, decompose_ms, error), a row per decision or failed query."""
+    rows = [(r.query_id, s, e, r.sub_ms.get(s), r.build_ms, r.parse_ms, r.decompose_ms, r.error) for r in results for s, e in (r.decisions or {None: None}).items()]
+    return spark.createDataFrame(rows, "query_id string, sub_id string, engine string, sub_ms double, build_ms double, parse_ms double, decompose_ms double, error string")
 
 
 __all__ = ["Engine", "Graph", "Result", "metadata"]

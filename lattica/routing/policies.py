@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.features import features
+from lattica.evalkit.curation import split_by_row
+from lattica.functions.features import FEATURES, features
 from lattica.functions.stats import Statistics
 from lattica.plans.decompose import SubExpression
 
@@ -63,8 +65,13 @@ def threshold_grid(labelled: DataFrame) -> DataFrame:
     return rows.withColumn("f1", F.when(whole > 0, 2 * F.col("tp") / whole).otherwise(0.0))
 
 
-def tuned(labelled: DataFrame) -> Threshold:
-    """The grid point of the best F1; ties go to the smallest thresholds."""
+def tuned(labelled: DataFrame, share: float = 1.0, key: tuple[str, ...] = ("query_id",)) -> Threshold:
+    """The grid point of the best F1; ties go to the smallest thresholds.
+
+    With a ``share`` below 1 that share of each label's rows, drawn by the hash of ``key``, is what is judged.
+    """
+    if share < 1:
+        labelled = split_by_row(labelled, key, share).where("part = 'eval'")
     best = threshold_grid(labelled).orderBy(F.desc("f1"), "t_degree", "t_hops", "t_selectivity").first()
     return Threshold(best["t_degree"], best["t_hops"], best["t_selectivity"])
 
@@ -75,13 +82,17 @@ class Learned:
     def __init__(self, spark: SparkSession, model: PipelineModel, stats: Statistics, history: dict | None = None):
         self.spark, self.model, self.stats, self.history = spark, model, stats, history
 
-    def probability(self, sub: SubExpression) -> float:
-        f = features(sub, self.stats, self.history)
-        row = self.model.transform(self.spark.createDataFrame([tuple(f.values())], list(f))).first()
-        return float(row["probability"][1])
+    def batch(self, subs: Sequence[SubExpression]) -> list[str]:
+        """The engines of many sub-expressions, by one pass of the model."""
+        rows = [(i, *features(s, self.stats, self.history).values()) for i, s in enumerate(subs)]
+        if not rows:
+            return []
+        table = self.spark.createDataFrame(rows, "place int, " + ", ".join(f"{c} double" for c in FEATURES))
+        found = self.model.transform(table).select("place", vector_to_array("probability")[1].alias("score"))
+        return ["GRAPH" if r["score"] > 0.5 else "SQL" for r in found.orderBy("place").collect()]  # a row per sub-expression
 
     def __call__(self, sub: SubExpression) -> str:
-        return "GRAPH" if self.probability(sub) > 0.5 else "SQL"
+        return self.batch([sub])[0]
 
 
 def thresholded(stats: Statistics, rule: Threshold | None = None) -> Callable[[SubExpression], str]:

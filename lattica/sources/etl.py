@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +58,33 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns})
 
 
+# The official layouts' names for what the queries call otherwise, fixed values of the format.
+OFFICIAL = {
+    "person": ("Person", {"id": "person_id", "firstName": "name", "LocationCityId": "city"}),
+    "posts": ("Post", {"id": "post_id", "CreatorPersonId": "creator_id", "length": "content_length", "creationDate": "creation_date"}),
+    "comments": ("Comment", {"id": "comment_id", "CreatorPersonId": "author_id", "ParentPostId": "post_id", "length": "content_length"}),
+    "works_at": ("Person_workAt_Company", {"PersonId": "person_id", "CompanyId": "organisation_id"}),
+    "knows": ("Person_knows_Person", {"Person1Id": "src", "Person2Id": "dst"}),
+}
+
+
+def official_network(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an official social network folder: ``<folder>/<Entity>`` as Parquet, or as CSV with headers and pipes."""
+
+    def read(entity: str) -> DataFrame:
+        path = f"{folder}/{entity}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = [f.getPath().getName() for f in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)]
+        if any(n.endswith(".parquet") for n in there):
+            return spark.read.parquet(path)
+        return spark.read.csv(path, sep="|", header=True, inferSchema=True)
+
+    found = {name: renamed(read(entity), names) for name, (entity, names) in OFFICIAL.items()}
+    found["knows"] = symmetric(found["knows"].select("src", "dst", F.lit("KNOWS").alias("relationship")))
+    found["works_at"] = enriched_works_at(found["works_at"])
+    return found | {"messages": messages(found["posts"], found["comments"])}
+
+
 def knows_edges(df: DataFrame, label: str = "KNOWS") -> DataFrame:
     """The first two columns as src and dst."""
     a, b = df.columns[:2]
@@ -99,11 +126,43 @@ def edge_list(df: DataFrame, label: str = "KNOWS") -> DataFrame:
     return knows_edges(df, label).dropDuplicates(["src", "dst"])
 
 
+def edge_index(arrays: DataFrame, column: str = "edge_index", label: str = "KNOWS") -> DataFrame:
+    """The edges of an ``edge_index``, two arrays of which one holds the sources and the other the targets."""
+    pair = F.arrays_zip(F.col(column)[0].alias("src"), F.col(column)[1].alias("dst"))
+    return edge_list(arrays.select(F.explode(pair).alias("p")).select("p.src", "p.dst"), label)
+
+
+# Which columns of a benchmark's headerless tables are linked by edges: (table, column, column, the tables that they
+# are keys of, label).
+PROJECTIONS = {
+    "job": (("cast_info", "c1", "c2", "name", "title", "CAST"), ("movie_companies", "c1", "c2", "title", "company_name", "PRODUCED_BY")),
+    "tpcds": (("store_sales", "c3", "c2", "customer", "item", "BOUGHT"), ("web_sales", "c4", "c3", "customer", "item", "BOUGHT")),
+}
+
+
+def projected_graph(read: Callable[[str], DataFrame], links: Sequence[tuple[str, str, str, str, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of the links' tables, each edge once; vertices are ``table:key:value`` texts."""
+    edges = None
+    for table, left, right, left_of, right_of, label in links:
+        rows = read(table).select(F.col(left).alias("key_a"), F.col(right).alias("key_b"))
+        end = lambda of, c: F.concat(F.lit(f"{of}:key:"), F.col(c).cast("string"))
+        one = rows.where("key_a is not null and key_b is not null").select(end(left_of, "key_a").alias("src"), end(right_of, "key_b").alias("dst"), F.lit(label).alias("relationship"))
+        edges = one if edges is None else edges.unionByName(one)
+    edges = edges.distinct()
+    return endpoints(edges), edges
+
+
 # Generators: deterministic by hashes, so a row is the same whatever the partitioning
 
 
-def _pick(salt: str, n: int | Column, *of: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(salt), *of), F.lit(n) if isinstance(n, int) else n)
+def hashed(salt: int | str, *of: str | Column) -> Column:
+    """48 bits of the MD5 of a salt and columns as text, joined by colons."""
+    text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("none")) for c in of]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(salt)), *text)), 1, 12), 16, 10).cast("long")
+
+
+def _pick(salt: str, n: int, *of: Column) -> Column:
+    return F.pmod(hashed(salt, *of), F.lit(n))
 
 
 def power_law_graph(spark: SparkSession, vertices: int, degree: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -160,10 +219,13 @@ def compatible_customer(customer: DataFrame, key: str = "c0", most: int | None =
     return made if most is None else made.limit(most)
 
 
-def compatible_orders(sales: DataFrame, key: str = "c3", price: str = "c20", most: int | None = None) -> DataFrame:
-    """An orders table made by rule from sales rows with a customer key and an amount; orders are numbered by hash order."""
-    made = sales.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("o_custkey"), F.coalesce(F.col(price).cast("double"), F.lit(0.0)).alias("o_totalprice"))
-    made = made.withColumn("o_orderkey", F.monotonically_increasing_id() + 1)
+def compatible_orders(sales: DataFrame, key: str = "c3", price: str = "c20", most: int | None = None, number: str | None = None) -> DataFrame:
+    """An orders table made by rule from sales rows with a customer key and an amount.
+
+    The column ``number`` is the order's key; without one orders are numbered by partition and place, with gaps.
+    """
+    own = F.monotonically_increasing_id() + 1 if number is None else F.col(number).cast("long")
+    made = sales.where(F.col(key).isNotNull()).select(own.alias("o_orderkey"), F.col(key).cast("long").alias("o_custkey"), F.coalesce(F.col(price).cast("double"), F.lit(0.0)).alias("o_totalprice"))
     made = made.select("o_orderkey", "o_custkey", "o_totalprice", _from_list(PRIORITIES, F.col("o_orderkey")).alias("o_orderpriority"), _from_list(STATUSES, F.col("o_orderkey")).alias("o_orderstatus"))
     return made if most is None else made.limit(most)
 

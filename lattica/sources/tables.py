@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.operators.traversal import Graph
 
+#: Graphs of fewer vertices may be kept by the session.
+CACHED_VERTICES = 2_000_000
+
 
 class MissingTable(LookupError):
     """No folder holds a table or graph of this name."""
@@ -73,7 +77,13 @@ class Tables:
             found.createOrReplaceTempView(name)
         return found
 
-    def graph(self, name: str, default_label: str | None = "KNOWS") -> Graph:
+    def graph(self, name: str, default_label: str | None = "KNOWS", cached: bool = False) -> Graph:
+        """A graph by name; ``cached`` keeps one of fewer than ``CACHED_VERTICES`` vertices in memory or on disk."""
+        if cached:
+            found = self.graph(name, default_label)
+            if found.vertices.limit(CACHED_VERTICES).count() < CACHED_VERTICES and not found.edges.is_cached:
+                found.edges.persist(StorageLevel.MEMORY_AND_DISK)
+            return found
         name = self.aliases.get(name, name)
         if name not in self.graphs and name in self.graph_makers:
             self.graphs[name] = self.graph_makers[name]()

@@ -93,5 +93,9 @@ def test_generated_workloads_are_valid():
         assert made and all(validate(q) == [] for q in made)
         assert len({q["query_id"] for q in made}) == len(made)
     base = doc(op("f", predicate={"column": "c", "operator": ">", "value": 1}), op("t", "TRAVERSAL"), op("j", "JOIN", ["f", "t"]))
-    assert len(workloads.combined_variants(base)) == 4 + 5 + 20
-    assert [q["operations"][2]["join"]["join_type"] for q in workloads.join_variants(base)] == ["INNER", "LEFT"]
+    assert len(workloads.variants(base)) == 4 * 2  # no extent is known, so the filter stays
+    made = workloads.variants(base, {"kept": (0.25, 0.5)}, lambda table, column: (0, 10))
+    assert [q["operations"][0]["predicate"]["value"] for q in made] == [7.5, 5.0] and base["operations"][0]["predicate"]["value"] == 1
+    assert [q["operations"][2]["join"]["join_type"] for q in workloads.variants(base, {"join": ("INNER", "LEFT")})] == ["INNER", "LEFT"]
+    with pytest.raises(ValueError):
+        workloads.workloads("balanced", "no such focus")

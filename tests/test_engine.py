@@ -186,3 +186,34 @@ def test_comparison(spark, customer):
     t = timed(lambda: customer, 0, 2)
     assert t.failures == 0 and t.min_ms <= t.median_ms <= t.max_ms
     assert timed(lambda: 1 / 0, 0, 1).failures == 1
+
+
+def explained(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("column", "operator", "value", "pushed"), [("f", "=", 0.1, "EqualTo(f,0.1)"), ("b", ">", "9007199254740993", "GreaterThan(b,9007199254740993)"), ("d", "<=", "12.5", "LessThanOrEqual(d,12.50)"), ("i", "IN", [1, "2"], "In(i, [1,2])")])
+def test_literals_reach_the_scan_in_the_columns_type(spark, tmp_path, column, operator, value, pushed):
+    rows = spark.range(5).select(F.lit(0.1).cast("float").alias("f"), (F.col("id") + 9007199254740991).alias("b"), (F.col("id") * 10).cast("decimal(10,2)").alias("d"), F.col("id").cast("int").alias("i"))
+    rows.write.parquet(str(tmp_path / "t"))
+    found = filtered(spark.read.parquet(str(tmp_path / "t")), {"column": column, "operator": operator, "value": value})
+    assert pushed in explained(found)
+    assert found.count() == {"f": 5, "b": 2, "d": 2, "i": 2}[column]
+
+
+def test_a_hop_may_broadcast_its_frontier(spark, tmp_path):
+    """Hops are inner joins, so that Spark may choose the frontier's side; with edges beyond the limit it never sends them."""
+    spark.range(200_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).write.parquet(str(tmp_path / "e"))
+    spark.range(10).write.parquet(str(tmp_path / "v"))
+    graph = Graph.of(spark.read.parquet(str(tmp_path / "v")), spark.read.parquet(str(tmp_path / "e")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        found = traversed(graph, {"start_vertex_filter": {"column": "id", "value": 1}, "direction": "OUT", "max_hops": 3})
+        assert sorted(r.id for r in found.collect()) == [1, 2, 3, 4]
+        plan = explained(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftOuter" not in plan
+    final = plan.split("Initial Plan")[0]
+    assert not [line for line in final.splitlines() if "BroadcastHashJoin" in line and "src" in line and "BuildRight" in line and "Inner" in line]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lattica.dsl.nodes import parse
 from lattica.evalkit import costs, curation, learning, metrics
 from lattica.functions import stats
+from lattica.operators.running import with_running_sums
 from lattica.functions.features import FEATURES, depth, features
 from lattica.plans.decompose import decompose
 from lattica.routing.policies import Learned, Threshold, thresholded, tuned
@@ -147,8 +148,25 @@ def test_curation(spark, rows):
     found = {r.name: r.passed for r in checks.collect()}
     assert found["both_labels_present"] and not found["source_nowhere_min_graph"] and not curation.publishable(checks)
     assert curation.validated([rows.withColumn("label_source", F.lit("real_measurement"))], ["d1"]).select("dataset").distinct().collect() == [("d1",)]
-    assert costs.augmented(rows.limit(4), ["selectivity"], 10).count() == 40
-    assert isinstance(tuned(rows), Threshold)
+    assert costs.augmented(rows.limit(4), ["selectivity"], "row_id", 10).count() == 40
+    assert isinstance(tuned(rows), Threshold) and isinstance(tuned(rows, 0.2, ("row_id",)), Threshold)
+
+
+def test_running_sums(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7 % 10).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g")).repartition(5)
+    got = {r.id: r for r in with_running_sums(df, ("k", "id"), {"n": F.lit(1), "s": F.col("id")}).collect()}
+    order = sorted(range(1000), key=lambda i: (i * 7 % 10, i))
+    assert [got[i].n for i in order] == list(range(1, 1001)) and got[order[-1]].s == sum(range(1000))
+    by = {r.id: r.n for r in with_running_sums(df, ("k", "id"), {"n": F.lit(1)}, ("g",)).collect()}
+    for g in range(3):
+        assert [by[i] for i in order if i % 3 == g] == list(range(1, 1 + len([i for i in order if i % 3 == g])))
+    assert with_running_sums(df.limit(0), ("k",), {"n": F.lit(1)}).count() == 0
+
+
+def test_shuffled_values_are_the_same_values(spark, rows):
+    got = learning.shuffled(rows.select("row_id", "query_id", "label", "avg_degree"), "avg_degree", 5)
+    assert sorted(r[0] for r in got.select("avg_degree").collect()) == sorted(r[0] for r in rows.select("avg_degree").collect())
+    assert got.join(rows.select("row_id", F.col("avg_degree").alias("was")), "row_id").where("avg_degree <> was").count() > 100
 
 
 def test_measured_labels(spark):
