@@ -6,7 +6,9 @@ whole.  No token holds a space, so every space is such a cut: texts are first sp
 encodings are remembered in a bounded table.  A fragment that isn't remembered is split by the tokenizer's
 own pattern and then at every forced byte pair; each remaining piece is encoded by itself.
 
-Nulls count as empty texts; empty texts give no ids.  Texts of any length are handled whole.
+Nulls count as empty texts; empty texts give no ids.  Texts of any length are handled whole.  Repeated rows give
+repeated rows, an empty table an empty result.  Columns other than doc_id and text are not read by ``digest_documents``;
+``encode_column`` keeps them and replaces those of its own names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer, models
+from tokenizers import models
 
 #: Fragments and pieces remembered by a worker; others are encoded again each time.
 REMEMBERED = 250_000
@@ -168,8 +170,3 @@ def digest_documents(documents: DataFrame, path: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
-
-
-def library_encode(path: str, texts: list[str]) -> list[list[int]]:
-    """The tokenizers library's own answer, for tests."""
-    return [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]

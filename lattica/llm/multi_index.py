@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.vectors import SHARD_ROWS, asked, ranked, shard_search, top, valid
+from lattica.llm.vectors import SHARD_ROWS, asked, ranked, sampled, shard_search, top, valid
 
 BITS, PARTS = 128, 16
 #: Bound on the rows that rotations and radius are learned from, and on the queries among them.
@@ -108,11 +108,7 @@ def approximate_top_k(embeddings: DataFrame, every: int = 20, k: int = 20, shard
     vectors = valid(embeddings).where(F.exists("embedding", lambda x: x != 0))
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     n, dim, norm = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1)), F.sqrt(F.max(squares))).first()
-    share = min(1.0, sample_rows / max(1, n))
-    chosen = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else vectors
-    sample = np.zeros((0, dim))
-    if rows := chosen.orderBy("vec_id", "embedding").select("embedding").toPandas()["embedding"].tolist():
-        sample = np.array([np.pad(np.asarray(r, float), (0, dim - len(r))) for r in rows])
+    sample = sampled(vectors, n, dim, sample_rows)
     learned = learn(sample, float(norm or 1.0) * (1 + 1e-12), k)
     held = embeddings.sparkSession.sparkContext.broadcast(learned)
     shards = max(1, -(-n // shard_rows))

@@ -8,6 +8,8 @@ A score is the sum of one table entry per feature and pair, through a logistic c
 
 Null and empty texts have the figures of an empty text and get a score like any other.  Repeated rows get equal
 scores.  The training rows are about ``MOST`` at the most, chosen by hash; whole texts are measured and scored.
+Without documents the result is empty; without labels every text gets the score of an empty model.  Columns of the
+result's names are replaced, all others kept.
 """
 
 from __future__ import annotations

@@ -1,12 +1,16 @@
-"""Substring dedup of bytes by distributed prefix doubling.
-
-A suffix is ranked by its first h bytes, then by the pair of ranks at its position and h further on, which ranks it
-by 2h bytes, and so on at growing offsets, until its rank is unique or 50 bytes are passed.  Ranks up to ``GRAM``
-bytes are names that every task makes of its own text by pairing at the offsets 1, 2, 4, ...  Spark's first sort
-brings the names of sampled positions together (every window holds one, chosen by content): those that are unique
-end their windows' ranking.  Its second sort brings together the neighbourhoods of the positions that are left;
-there the suffixes are sorted by the pair of ranks of 25 bytes at the offsets 0 and 25, and equal pairs have passed
-the threshold.  ``repeats`` has the details, and what is defined for nulls, repeated rows and empty tables.
+"""Substring dedup of bytes by distributed prefix doubling, over sampled positions.
+
+Positions are ranked by the h bytes that follow, in rounds of growing h; the rank of a longer string is the pair of
+the ranks of shorter ones at two offsets, a unique rank ends its position's ranking, and only what is left goes into
+the next round: 1 to 20 bytes inside each task, by pairing at the offsets 1, 2, 4, 8 and 4; then 20, 35 (20 and 20 at
+an offset of 15) and 50 bytes (25 and 25) across the cluster, where Spark brings equal ranks together and sorts them.
+Not every position takes part: of the grams of a window the one of the smallest rank stands for it, and a position's
+windows are ranked one by one only in the last round, by the sort of rank pairs there; equal pairs have passed the
+threshold, and are compared byte by byte before they count.  Ranks are hash names rather than places in the order, so
+that no round has to send ranks back to their texts.
+
+``repeats`` has the rounds, and what is defined for nulls, repeated rows, ties, empty tables and long texts.  Columns
+other than doc_id and text are not read by ``digests``; ``removed`` keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,11 +1,16 @@
-"""Substring dedup of words by prefix-partitioned suffix trees.
-
-The suffixes that may repeat are partitioned by a prefix of ``GRAM`` words into buckets of names, and a bucket into
-memory-sized groups of whole prefixes; a group that is too large is split again by a longer prefix.  Each group's
-suffix tree is built as its sorted suffixes with the lengths of their common prefixes, whose intervals are the
-tree's internal nodes (suffixes end after ``WINDOW`` words, which is as deep as matters).  The nodes at that depth
-hold the repeats; a leaf below one whose document isn't the node's smallest is a word sequence to remove.
-``repeats`` has the details, and what is defined for nulls, repeated rows and empty tables.
+"""Substring dedup of words by prefix-partitioned suffix trees, over sampled suffixes.
+
+Sampled suffixes (of the grams of a window the one of the smallest name begins the one that stands for it) are
+partitioned by a prefix of ``GRAM`` words, and where a prefix has more than one suffix by one of 35 words; a suffix
+that is alone with its prefix repeats nowhere and goes.  The windows around those that are left are the suffixes of
+subtrees: a task takes whole prefixes as long as they fit into ``TREE_LEAVES``, and splits a larger group again by
+longer prefixes.  A subtree is built as its sorted suffixes with the lengths of their common prefixes, whose
+intervals are its internal nodes; suffixes end after ``WINDOW`` words, which is as deep as matters.  The nodes at that
+depth hold the repeats (a maximal repeat is the run of their neighbours, which are marked one by one): a leaf below one
+whose document isn't the node's smallest is a word sequence to remove, once its words are found equal.
+
+``repeats`` has the rounds, and what is defined for nulls, repeated rows, ties, empty tables and long texts.  Columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations

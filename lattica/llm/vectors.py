@@ -1,12 +1,13 @@
 """What both vector searches share: valid vectors, shards, and queries streamed past each shard.
 
-Candidates are dealt into shards of about ``SHARD_ROWS`` by the hash of their id, so that copies of one vector are
-spread like any other rows.  Every query visits every shard, in batches: a shard's rows are in memory, the queries
-stream past them.  Each shard answers with its k best, and a window over those keeps the k best of all.
+Candidates are dealt into shards of about ``SHARD_ROWS``, as the search says.  A query visits the shards that the search
+says, in batches: a shard's rows are in memory, the queries stream past them.  Each shard answers with its k best, and a window over those keeps the k best of all.
 
 Vectors that are null, empty or hold a null or a component that isn't finite take no part.  Vectors of different
 lengths count as padded with zeros.  Rows of one vec_id are candidates each by itself, are no candidates of the
-query of that id, and ask once (the least of their vectors).  A null vec_id takes no part.
+query of that id, and ask once (the least of their vectors).  A null vec_id takes no part.  Ties go to the smaller
+vec_id.  An empty table, or one without a query, gives an empty result; without other rows a query has none.  Columns
+other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,14 @@ def asked(vectors: DataFrame, every: int) -> DataFrame:
     return vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
+def sampled(vectors: DataFrame, n: int, dim: int, most: int) -> np.ndarray:
+    """About ``most`` of the rows at the most, chosen by the hash of vec_id, in a fixed order."""
+    share = min(1.0, most / max(1, n))
+    chosen = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else vectors
+    rows = chosen.orderBy("vec_id", "embedding").select("embedding").toPandas()["embedding"].tolist()
+    return np.array([np.pad(np.asarray(r, float), (0, dim - len(r))) for r in rows]).reshape(-1, dim)
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """List column to rows of ``dim`` doubles, padded with zeros or as long as they are."""
     offsets = np.asarray(column.offsets)

@@ -392,6 +392,41 @@ def test_ball_tree_is_exact(spark, embeddings, shard_rows):
     assert {r["count"] for r in few} == {2}
 
 
+def test_ball_bounds_spare_shards(spark):
+    """Clustered vectors: after the first ball most others cannot hold one of a query's best, and copies are dealt over shards."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 8))
+    rows = [(i, [float(v) for v in centres[i % 20] + rng.normal(size=8) / 50]) for i in range(2000)] + [(5000 + i, [0.5] * 8) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = ball_tree.valid(df).withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * 1024).cast("double")))
+    balls = ball_tree.upper_levels(ball_tree.sampled(vectors, len(rows), 8, ball_tree.SAMPLE), 26)
+    shards = ball_tree.dealt(vectors, balls, 8, 100).groupBy("shard").count().collect()
+    assert max(r["count"] for r in shards) < 200 and len(shards) >= 20
+    x = np.floor(1024 * np.array([r[1] for r in rows]))
+    ball = balls.of(x)
+    for b in range(len(balls.centre)):  # every row is within its ball
+        assert (np.sqrt(((x[ball == b] - balls.centre[b]) ** 2).sum(axis=1)) <= balls.radius[b] + 1e-6).all()
+    best = {int(q): int(sorted(x @ x[i])[-11]) for i, (q, _) in enumerate(rows) if q % 100 == 0}
+    asking = vectors.where("vec_id % 100 = 0").withColumn("kth", F.element_at(F.create_map(*[F.lit(v) for kv in best.items() for v in kv]), F.col("vec_id")).cast("long"))
+    seen = ball_tree.visits(asking, balls, 8, 1, 26).select(F.avg(F.size("shards"))).first()[0]
+    assert seen < len(shards) / 2
+
+
+def test_wide_scores_are_exact(spark):
+    rows = [(i, [float((i * 7919 + j * 104729) % 1000003) * 1e9 for j in range(4)]) for i in range(60)]
+    got = ball_tree.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 5, scale=1).collect()
+    whole = {i: [int(v) for v in e] for i, e in rows}
+    for q in (0, 20, 40):
+        want = sorted(((i, sum(a * b for a, b in zip(whole[q], whole[i], strict=True)) % (1 << 64)) for i in whole if i != q), key=lambda x: x[0])
+        assert {r.vec_id: r.score % (1 << 64) for r in got if r.query_id == q}.items() <= dict(want).items()
+
+
+def test_ties_go_to_the_smaller_vec_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(120)] + [(500, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    for found in (ball_tree.exact_top_k(df, 100, 10, shard_rows=30), multi_index.approximate_top_k(df, 100, 10, shard_rows=30)):
+        assert [r.vec_id for r in found.where("query_id = 100").orderBy("rank").collect()] == list(range(10))
+
+
 @pytest.mark.parametrize("shard_rows", [200, 10_000])
 def test_multi_index_recall(spark, embeddings, shard_rows):
     df, rows = embeddings
