@@ -355,6 +355,51 @@ def test_boosted_pairs_learn_an_interaction():
     assert (1, 0) in [p[:2] for p in model.pairs]
 
 
+def plain_step(bins, residual, weight, n, leaves):
+    """One boosting step along an axis by trying every cut: the value of each bin."""
+
+    def worth(a, b):
+        g, h = sum(r for k, r in zip(bins, residual, strict=True) if a <= k < b), sum(w for k, w in zip(bins, weight, strict=True) if a <= k < b)
+        return g * g / (h + 1), g / (h + 1)
+
+    edges = [0, n]
+    while len(edges) < leaves + 1:
+        won, cut = max((worth(a, c)[0] + worth(c, b)[0] - worth(a, b)[0], c) for a, b in zip(edges, edges[1:], strict=False) for c in range(a + 1, b))
+        if won <= 1e-9:
+            break
+        edges = sorted([*edges, cut])
+    return [next(worth(a, b)[1] for a, b in zip(edges, edges[1:], strict=False) if a <= k < b) for k in range(n)]
+
+
+def test_quality_is_a_plain_additive_model(monkeypatch):
+    """Cyclic boosting and scoring against loops over rows."""
+    rng = np.random.default_rng(5)
+    x = np.zeros((90, len(quality.FEATURES)))
+    x[:, :3] = rng.integers(0, 6, (90, 3))
+    y = (x[:, 0] + (x[:, 1] > 2) * 2 + rng.normal(size=90) > 4).astype(float)
+    monkeypatch.setattr(quality, "CYCLES", 2)
+    monkeypatch.setattr(quality, "PAIRS", 0)
+    model = quality.boost(x, y)
+    share = (y.sum() + 1) / 92
+    bins = [[sum(v >= c for c in model.cuts[j]) for v in x[:, j]] for j in range(x.shape[1])]
+    tables = [[0.0] * (len(c) + 1) for c in model.cuts]
+    z = [np.log(share / (1 - share))] * 90
+    for _ in range(2):
+        for j, table in enumerate(tables):
+            p = [1 / (1 + np.exp(-v)) for v in z]
+            step = plain_step(bins[j], [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p], len(table), 3) if len(table) > 1 else [sum(y - p) / (sum(b * (1 - b) for b in p) + 1)]
+            for k, v in enumerate(step):
+                table[k] += quality.RATE * v
+            z = [v + quality.RATE * step[bins[j][i]] for i, v in enumerate(z)]
+    for j, table in enumerate(tables):  # a bin without rows may go with either neighbour
+        assert np.allclose(model.tables[j][bins[j]], np.array(table)[bins[j]])
+    assert np.allclose(model.score(x), [1 / (1 + np.exp(-v)) for v in z])
+    pair = np.arange(64.0).reshape(8, 8) / 100
+    model.pairs = [(1, 0, pair)]
+    coarse = lambda i, j: bins[j][i] * 8 // len(tables[j])
+    assert np.allclose(model.score(x), [1 / (1 + np.exp(-(v + pair[coarse(i, 1), coarse(i, 0)]))) for i, v in enumerate(z)])
+
+
 # Vectors
 
 
@@ -580,8 +625,10 @@ def test_darts_estimate_weighted_similarity():
 def test_components_of_a_long_path(spark, monkeypatch):
     rounds = []
     monkeypatch.setattr(components_module, "settled", lambda df, label, real=components_module.settled: rounds.append(label) or real(df, label))
-    got = components(spark.range(1000).selectExpr("id AS a", "id + 1 AS b")).agg(F.max("label"), F.count("*")).first()
-    assert tuple(got) == (0, 1001) and rounds.count("steps") / 2 <= 20
+    path = spark.range(1000).selectExpr("id AS a", "id + 1 AS b")
+    got = components(path, finish=0).agg(F.max("label"), F.count("*")).first()
+    assert tuple(got) == (0, 1001) and rounds.count("steps") <= 20
+    assert tuple(components(path, finish=100).agg(F.max("label"), F.count("*")).first()) == (0, 1001)
     assert components(spark.range(0).selectExpr("id AS a", "id AS b")).count() == 0
 
 
@@ -618,8 +665,10 @@ def test_equal_names_are_no_proof(monkeypatch):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (100, 102)] + [(500, i) for i in range(501, 540)]
-    got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and {got[i] for i in range(500, 540)} == {500}
+    for finish in (0, 10, 1000):
+        got = {r.id: r.label for r in components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), finish).collect()}
+        assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and {got[i] for i in range(500, 540)} == {500}
+        assert got[7] == 0 and len(got) == 41 + 3 + 40
 
 
 # WARC
