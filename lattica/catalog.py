@@ -198,7 +198,7 @@ dsl(
     "SELECT o_custkey, count(o_orderkey) AS n FROM orders GROUP BY 1 HAVING count(o_orderkey) > 15",
 )
 
-# The relational sample queries
+# The relational sample queries; ids and documents are fixed values of the workload
 
 ORDERS_OF = "FROM orders JOIN customer ON o_custkey = c_custkey"
 dsl(
@@ -299,7 +299,7 @@ dsl(
     reach(f"{LINKS}, {PEOPLE}", "SELECT id, 0 AS d FROM people WHERE id = 3", "BOTH", 6) + " SELECT id, name FROM people JOIN reached USING (id)",
 )
 
-# Sample queries with traversals, on graphs projected from the driver's tables
+# Sample queries with traversals (ids and documents are fixed values of the workload), on graphs projected from the driver's tables
 
 
 def social(start: str, direction: str, hops: int) -> str:

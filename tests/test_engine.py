@@ -10,6 +10,9 @@ from lattica.routing.policies import trivial
 from lattica.sources.tables import MissingTable, Tables
 
 
+# Rows of the fixtures and the vertices that traversals of them reach: fixed values.
+
+
 @pytest.fixture(scope="module")
 def customer(spark):
     rows = [(1, "Alice", 1000.0, 7), (2, "Bob", 6000.0, 7), (3, "Charlie", 3000.0, 3), (4, "Diana", 8000.0, 7), (5, "Eve", 500.0, 5)]
