@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import quoted, settled
+from lattica.llm.common import configured, light, quoted, settled
 from lattica.llm.components import components
 from lattica.llm.symbols import U, mix, windows, word_codes
 
@@ -139,7 +139,7 @@ def sketched(documents: DataFrame) -> DataFrame:
                     )
                     rows, words = [], 0
 
-    return documents.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+    return documents.mapInArrow(light(run), "doc_id long, k1 long, k2 long, bands array<long>")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -157,7 +157,7 @@ def checked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k[n] for k in kept], pa.int64()) for n in (0, 1)], ["a", "b"])
 
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").mapInArrow(run, "a long, b long")
+    return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").mapInArrow(light(run), "a long, b long")
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
                 blobs.append(mix(np.repeat(names, n) + again.astype(U) * U(0x9E3779B97F4A7C15)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["id", "hashes"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, hashes binary")
+    return texts.select("doc_id", "text").mapInArrow(light(run), "id long, hashes binary")
 
 
 def joining_links(rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
@@ -252,7 +252,7 @@ def remaining(members: DataFrame, texts: DataFrame, threshold: float) -> DataFra
 
     key = ("name", "number", "row", "col")
     both = asking.union(asked).select("band.name", "band.number", "row", "col", *columns, "asks")
-    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(light(run), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -262,7 +262,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = settled(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
-    sketches = settled(sketched(docs), "sketches")
+    with configured(documents.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):  # whole texts in a worker's memory
+        sketches = settled(sketched(docs), "sketches")
     contents = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     firsts = sketches.select("doc_id", "bands").join(contents.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id").dropDuplicates(["doc_id"])
 
@@ -277,7 +278,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     proposals = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
     best = proposals.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("id").alias("a"), "b")
-    links = settled(checked(best, texts, threshold), "links")
+    with configured(documents.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        links = settled(checked(best, texts, threshold), "links")
 
     labels = components(links)
     labelled = members.select("band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))

@@ -34,7 +34,7 @@ CAPACITY = 2048
 END_ID = 0
 GROUP_ROWS = 40_000
 #: Runs of fragments remembered by a worker.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: White space other than a lone space or line feed; texts that hold it are encoded without the table of fragments.
 ODD_SPACES = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　")
 

@@ -36,12 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lattica.llm.common import partitions, quoted, settled
+from lattica.llm.common import configured, light, partitions, quoted, settled
 from lattica.llm.symbols import BYTE_CODES, U, extended, mix, paired, windows, word_codes
 
 STRETCH = 1 << 20
 #: Cells in one flush of a map task, and bytes of their contents.
-FLUSH_CELLS, FLUSH_BYTES = 200_000, 24 << 20
+FLUSH_CELLS, FLUSH_BYTES = 120_000, 12 << 20
+#: Windows ranked at a time, and rows of whole texts in one batch for a worker.
+RANKED, BATCH_ROWS = 250_000, 2_000
 #: Bytes of texts in one blob; a longer text has one of its own.
 BLOB_BYTES = 1 << 20
 _POSITION = U((1 << 24) - 1)
@@ -263,7 +265,7 @@ class Repeats:
             if found:
                 yield named(found, spread)
 
-        return documents.select("doc_id", "text").mapInArrow(run, ROW)
+        return documents.select("doc_id", "text").mapInArrow(light(run), ROW)
 
     def doubled(self, marks: DataFrame, documents: DataFrame) -> DataFrame:
         """Step 2, at the documents: the longer strings of the cells that are left to their buckets."""
@@ -284,7 +286,7 @@ class Repeats:
             if found:
                 yield named(found, spread)
 
-        return self.with_texts(marks, documents).mapInArrow(run, ROW)
+        return self.with_texts(marks, documents).mapInArrow(light(run), ROW)
 
     def ranked(self, names: DataFrame) -> DataFrame:
         """Steps 1 and 2, in the buckets: the pieces whose name occurs again, sent to their document's group."""
@@ -304,7 +306,7 @@ class Repeats:
                 keep = np.flatnonzero(((size > 1) | np.isin(distinct, known, assume_unique=True))[at])
                 yield rows_of([(b, MARKS, packed(doc[keep[i]], crc[keep[i]], cell[keep[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(grouped(doc[keep], spread))])
 
-        return gathered(names).mapInArrow(run, ROW)
+        return gathered(names).mapInArrow(light(run), ROW)
 
     def with_texts(self, marks: DataFrame, documents: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
         """Marks and texts of each group of documents together, marks first; texts travel compressed, beside ``carried``."""
@@ -411,7 +413,7 @@ class Repeats:
             if found:
                 yield flush(found)
 
-        return self.with_texts(marks, documents).mapInArrow(run, ROW)
+        return self.with_texts(marks, documents).mapInArrow(light(run), ROW)
 
     def repeated(self, marks: DataFrame, documents: DataFrame) -> DataFrame:
         """Step 3, in the buckets: the windows that a smaller document has, as runs, sent to their document's group."""
@@ -453,7 +455,7 @@ class Repeats:
                     if b - a > 1:
                         chosen.append(order[a:b])
                         n += int(count[order[a:b]].sum())
-                    if chosen and (n >= 1_000_000 or b == len(order)):
+                    if chosen and (n >= RANKED or b == len(order)):
                         i = np.concatenate(chosen)
                         hit = rank([contents[k] for k in i], count[i], doc[i])
                         of = np.repeat(i, count[i])
@@ -466,7 +468,7 @@ class Repeats:
                         yield rows_of([(g, MARKS, packed(doc[k[j]], crc[k[j]], (first[k[j]] + place[start[j]]).astype(np.int32), length[j].astype(np.int32))) for g, j in by_bucket(grouped(doc[k], spread))])
                         chosen, n = [], 0
 
-        return gathered(self.contents(marks, documents)).mapInArrow(run, ROW)
+        return gathered(self.contents(marks, documents)).mapInArrow(light(run), ROW)
 
     def applied(self, documents: DataFrame, digest: Callable, names: dict[str, tuple[str, pa.DataType]], carried: tuple[str, ...] = ()) -> DataFrame:
         """doc_id, what ``digest(text, covered)`` makes of every document, and the ``carried`` columns as fields c0, c1, ... of ``rest``.
@@ -477,7 +479,8 @@ class Repeats:
         columns = {"doc_id": ("long", pa.int64())} | names
         documents = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
         there = documents.where("doc_id is not null")
-        left = settled(self.ranked(self.grams(there)), "ranked")
+        with configured(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+            left = settled(self.ranked(self.grams(there)), "ranked")
         released(self.spark)
         left = settled(self.ranked(self.doubled(left, there)), "ranked")
         released(self.spark)
@@ -513,7 +516,7 @@ class Repeats:
                 yield batch_of([(None, *digest(t, np.zeros(t.n, bool))) for t in texts], b.column("rest"))
 
         rest = self.rest(carried)
-        return both.mapInArrow(run, schema).union(documents.where("doc_id is null").select("text", rest.alias("rest")).mapInArrow(untouched, schema))
+        return both.mapInArrow(light(run), schema).union(documents.where("doc_id is null").select("text", rest.alias("rest")).mapInArrow(untouched, schema))
 
 
 def smaller_holder(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -2,10 +2,10 @@
 
 Two physical forms give the same rows:
 
-* ``unrolled``: one lazy plan with an inner join and a distinct per hop, from the vertices that the hop before came
-  to.  Either side of an inner join may be the small one, so a small frontier is broadcast and the edges stay where
-  they are.  The levels are united at the end; a level that several need is computed once (a reused exchange), and
-  nothing runs until the caller asks.
+* ``unrolled``: one lazy plan with an inner join per hop, from the distinct vertices that the hop before came to.
+  Either side of an inner join may be the small one, so a small frontier is broadcast and the edges stay where they
+  are.  The levels are united as the side of a semi-join with the vertices; a level that several need is computed once
+  (a reused exchange), and nothing runs until the caller asks.
 * ``frontier``: a loop that expands only newly found vertices, drops those visited by an anti-join, writes each
   level to the shared folder (which cuts the lineage and survives lost executors) and ends when a level is empty.
 
@@ -61,11 +61,14 @@ def directed(edges: DataFrame, direction: str, label: str | None) -> DataFrame:
 
 
 def unrolled(start: DataFrame, hops: DataFrame, max_hops: int) -> DataFrame:
-    level = reached = start.distinct()
-    for _ in range(max_hops):
-        level = level.join(hops, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+    """Ids reached, perhaps several times: only a level that another hop goes on from is worth a distinct."""
+    level = reached = start
+    for hop in range(max_hops):
+        level = level.join(hops, F.col("id") == F.col("src")).select(F.col("dst").alias("id"))
+        if hop + 1 < max_hops:
+            level = level.distinct()
         reached = reached.union(level)
-    return reached.distinct() if max_hops else reached
+    return reached
 
 
 def frontier(start: DataFrame, hops: DataFrame, max_hops: int) -> DataFrame:
@@ -96,7 +99,7 @@ def traversed(graph: Graph, spec: dict, strategy: str | None = None) -> DataFram
     hops = directed(graph.edges, spec["direction"], spec.get("edge_label"))
     run = unrolled if strategy == "SQL" or strategy is None and spec["max_hops"] <= LAZY_HOPS else frontier
     found = run(starts(graph, spec.get("start_vertex_filter")), hops, spec["max_hops"])
-    reached = graph.vertices.join(found, "id", "left_semi")  # found holds each id once
+    reached = graph.vertices.join(found, "id", "left_semi")
     if ending := spec.get("end_vertex_filter"):
         reached = filtered(reached, {"operator": "="} | ending)
     fields = spec.get("return_fields") or []
