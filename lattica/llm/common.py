@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import shutil
 import tempfile
@@ -83,9 +82,8 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def eased(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``rows``, after which a worker gives back the memory that it doesn't need: it may stay idle for long."""
+    """``rows``, after which a worker gives back the Arrow memory that it doesn't need: it may stay idle for long."""
     yield from rows
-    gc.collect()
     pa.default_memory_pool().release_unused()
 
 

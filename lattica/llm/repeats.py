@@ -4,15 +4,13 @@ The parts that both substring operators share.  Their own modules say how repeat
 
 Ranks are names that depend on content alone, so every task ranks its own text, and Spark brings equal ranks together.
 
-1. Rank by ``gram`` units.  Every window is given to one of its grams: the one of the smallest name, so equal windows
-   choose equal grams.  The windows given to one occurrence of a gram are a *cell*, a run of neighbours.  A gram that
-   occurs once proves its cell's windows unique, and those go.  No other window does.
-2. Rank by ``longer`` units, as the pair of the ranks of ``gram`` units at two offsets, of the cells that are left.  A
-   cell's windows hold one of two such strings around its gram, and are *parts* of the cell from here on.  Again what
-   is unique goes.
-3. Rank by ``window`` units.  The parts that are left travel with their content to the bucket of their name, where the
-   operator ranks their windows and finds, for each, whether a smaller document has it.  Marks go back to their
-   documents.
+1. Candidates, by the rank of ``gram`` units.  Every window is given to one of its grams of ``gram`` units: the one of the smallest name, which
+   depends on the window's content alone, so equal windows choose equal grams.  The windows given to one occurrence
+   of a gram are a *cell*, a run of neighbours.  Spark brings equal gram names together; a gram that occurs once
+   proves its cell's windows unique, and those go.  No other window does.
+2. Ranking, by ``window`` units.  The cells that are left travel with their content to the bucket of their gram's name, where the
+   operator ranks their windows and finds, for each, whether a smaller document has it.
+3. Marks go back to their documents.
 
 A map task sends packed arrays, one row per flush and bucket, and settles what repeats within the flush itself:
 of a gram it sends one occurrence, of equal cells those of the smallest document.  A passage that a third of all
@@ -41,9 +39,9 @@ from lattica.llm.symbols import BYTE_CODES, U, extended, mix, paired, windows, w
 
 STRETCH = 1 << 20
 #: Cells in one flush of a map task, and bytes of their contents.
-FLUSH_CELLS, FLUSH_BYTES = 120_000, 12 << 20
+FLUSH_CELLS, FLUSH_BYTES = 200_000, 16 << 20
 #: Windows ranked at a time, and rows of whole texts in one batch for a worker.
-RANKED, BATCH_ROWS = 250_000, 2_000
+RANKED, BATCH_ROWS = 300_000, 2_000
 #: Bytes of texts in one blob; a longer text has one of its own.
 BLOB_BYTES = 1 << 20
 _POSITION = U((1 << 24) - 1)
@@ -81,18 +79,15 @@ class Words:
 
 
 def cells(text: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram name of 48 bits, first window, number of windows, the gram's place) of each cell, in order.
+    """(gram name of 48 bits, first window, number of windows, name of the content) of each cell, in order.
 
     Grams of one name by chance only make candidates of windows that repeat nowhere.
     """
-    found = [x[:4] for x in stretches(text, window, gram)]
-    return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
-
-
-def stretches(text: Bytes | Words, window: int, gram: int) -> Iterator[tuple]:
-    """The cells of each stretch of a text, with the stretch's begin and its grams' names."""
+    parts = []
     for base in range(0, text.n - window + 1, STRETCH):
-        names = windows(text.codes(base, min(text.n, base + STRETCH + window - 1)), gram)
+        codes = text.codes(base, min(text.n, base + STRETCH + window - 1))
+        names = windows(codes, gram)
+        full = extended(names, gram, window)
         key = (names & ~_POSITION) | np.arange(len(names), dtype=U)
         have, width = 1, window - gram + 1
         while have < width:
@@ -102,37 +97,11 @@ def stretches(text: Bytes | Words, window: int, gram: int) -> Iterator[tuple]:
         chosen = (key & _POSITION).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         count = np.diff(np.append(first, len(chosen)))
-        yield names[chosen[first]] >> U(16), first + base, count, chosen[first] + base, base, names
-
-
-def longer(window: int, gram: int) -> int:
-    """The length to which a gram's rank is doubled: two such strings around a gram are in all of its windows."""
-    return window - (window - gram + 1) // 2
-
-
-def parts(text: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(name of 48 bits, first window, number of windows, name of the content, cell) of each half of a cell, in order.
-
-    The windows that begin in the first half hold the string of ``longer`` units that ends with the gram, the others
-    the one that begins with it.  Its name is the pair of two grams' names, at the offsets 0 and ``longer - gram``.
-    """
-    length, done, out = longer(window, gram), 0, []
-    for name, first, count, place, base, names in stretches(text, window, gram):
-        long = extended(names, gram, length)
-        full = extended(long, length, window)
-        end, cut = first + count, place - (window - length) + 1  # windows before `cut` are of the first half
-        cell = np.arange(len(name))
-        begin = np.stack([first, np.maximum(first, cut)], axis=1).ravel()
-        size = np.stack([np.minimum(end, cut) - first, end - np.maximum(first, cut)], axis=1).ravel()
-        at = np.stack([place - (window - length), place], axis=1).ravel()
-        there = size > 0
-        begin, size, at, cell = begin[there], size[there], at[there] - base, np.repeat(cell, 2)[there]
-        print_ = paired(full[begin - base], full[begin - base + size - 1] + size.astype(U))  # the two windows cover it
-        out.append((long[at] >> U(16), begin, size, print_, cell + done))
-        done += len(name)
-    if not out:
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
-    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+        print_ = paired(full[first], full[first + count - 1] + count.astype(U))  # the two windows cover the cell
+        parts.append((names[chosen[first]] >> U(16), first + base, count, print_))
+    if not parts:
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -213,27 +182,6 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def named(found: list[tuple[int, int, np.ndarray, np.ndarray]], spread: int) -> pa.RecordBatch:
-    """Names of some documents' pieces (doc_id, crc, numbers, names) to the names' buckets.
-
-    A name that comes again here is sent once, as known, and its pieces go to their documents as marks.
-    """
-    name, piece = (np.concatenate([f[k] for f in found]) for k in (3, 2))
-    doc = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[3]) for f in found])
-    crc = np.repeat(np.array([f[1] for f in found], np.uint32), [len(f[3]) for f in found])
-    order = np.argsort(name, kind="stable")
-    new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
-    size = np.diff(np.append(np.flatnonzero(new), len(order)))
-    again = np.empty(len(name), bool)
-    again[order] = np.repeat(size > 1, size)
-    rows = [(b, GRAMS, packed(*halves(name[once]), doc[once], crc[once], steps(piece[once].astype(np.int32)))) for b, i in by_bucket((name % U(spread)).astype(np.int64)) if len(once := i[~again[i]])]
-    known = name[order][new][size > 1]
-    rows += [(b, REPEATED, packed(*halves(known[i]))) for b, i in by_bucket((known % U(spread)).astype(np.int64))]
-    here = np.flatnonzero(again)
-    rows += [(b, MARKS, packed(doc[here[i]], crc[here[i]], piece[here[i]].astype(np.int32), np.ones(len(i), np.int32))) for b, i in by_bucket(grouped(doc[here], spread))]
-    return rows_of(rows)
-
-
 class Repeats:
     """The steps for one unit, window and gram length, and one way of ranking."""
 
@@ -247,9 +195,26 @@ class Repeats:
         return F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(carried)]) if carried else F.lit(None).cast("int")
 
     def grams(self, documents: DataFrame) -> DataFrame:
-        """Step 1, at the documents: the cells' grams to their buckets."""
+        """Step 1, at the documents: grams to their buckets."""
         unit, window, gram, spread = self.unit, self.window, self.gram, self.spread
 
+        def flush(found: list[tuple]) -> pa.RecordBatch:
+            name = np.concatenate([f[2] for f in found])
+            doc = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[2]) for f in found])
+            crc = np.repeat(np.array([f[1] for f in found], np.uint32), [len(f[2]) for f in found])
+            cell = np.concatenate([np.arange(len(f[2]), dtype=np.int32) for f in found])
+            order = np.argsort(name, kind="stable")
+            new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
+            size = np.diff(np.append(np.flatnonzero(new), len(order)))
+            again = np.empty(len(name), bool)
+            again[order] = np.repeat(size > 1, size)
+            rows = [(b, GRAMS, packed(*halves(name[once]), doc[once], crc[once], steps(cell[once]))) for b, i in by_bucket((name % U(spread)).astype(np.int64)) if len(once := i[~again[i]])]
+            known = name[order][new][size > 1]
+            rows += [(b, REPEATED, packed(*halves(known[i]))) for b, i in by_bucket((known % U(spread)).astype(np.int64))]
+            here = np.flatnonzero(again)
+            rows += [(b, MARKS, packed(doc[here[i]], crc[here[i]], cell[here[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(grouped(doc[here], spread))]
+            return rows_of(rows)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, n = [], 0
             for batch in batches:
@@ -257,39 +222,18 @@ class Repeats:
                     data = (text.as_py() or "").encode("utf-8", "replace")
                     name = cells(unit(data), window, gram)[0]
                     if len(name):
-                        found.append((doc, zlib.crc32(data), np.arange(len(name)), name))
+                        found.append((doc, zlib.crc32(data), name))
                         n += len(name)
                     if n >= FLUSH_CELLS:
-                        yield named(found, spread)
+                        yield flush(found)
                         found, n = [], 0
             if found:
-                yield named(found, spread)
+                yield flush(found)
 
         return documents.select("doc_id", "text").mapInArrow(light(run), ROW)
 
-    def doubled(self, marks: DataFrame, documents: DataFrame) -> DataFrame:
-        """Step 2, at the documents: the longer strings of the cells that are left to their buckets."""
-        unit, window, gram, spread, joined = self.unit, self.window, self.gram, self.spread, self.joined
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, n = [], 0
-            for doc, data, crc, marked, *_ in joined(batches):
-                if not len(marked):
-                    continue
-                name, _, _, _, cell = parts(unit(data), window, gram)
-                own = np.flatnonzero(np.isin(cell, marked))
-                found.append((doc, crc, own, name[own]))
-                n += len(own)
-                if n >= FLUSH_CELLS:
-                    yield named(found, spread)
-                    found, n = [], 0
-            if found:
-                yield named(found, spread)
-
-        return self.with_texts(marks, documents).mapInArrow(light(run), ROW)
-
-    def ranked(self, names: DataFrame) -> DataFrame:
-        """Steps 1 and 2, in the buckets: the pieces whose name occurs again, sent to their document's group."""
+    def candidates(self, documents: DataFrame) -> DataFrame:
+        """Step 1, in the buckets: cells whose gram occurs again, sent to their document's group."""
         spread = self.spread
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +250,7 @@ class Repeats:
                 keep = np.flatnonzero(((size > 1) | np.isin(distinct, known, assume_unique=True))[at])
                 yield rows_of([(b, MARKS, packed(doc[keep[i]], crc[keep[i]], cell[keep[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(grouped(doc[keep], spread))])
 
-        return gathered(names).mapInArrow(light(run), ROW)
+        return gathered(self.grams(documents)).mapInArrow(light(run), ROW)
 
     def with_texts(self, marks: DataFrame, documents: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
         """Marks and texts of each group of documents together, marks first; texts travel compressed, beside ``carried``."""
@@ -370,7 +314,7 @@ class Repeats:
                     yield doc_id, data, crc, marks[2][own], marks[3][own], rest
 
     def contents(self, marks: DataFrame, documents: DataFrame) -> DataFrame:
-        """Step 3, at the documents: the pieces that are left, with their contents, to the bucket of their name."""
+        """Step 2, at the documents: candidate cells with their contents to the bucket of their gram."""
         unit, window, gram, spread, joined = self.unit, self.window, self.gram, self.spread, self.joined
 
         def flush(found: list[tuple]) -> pa.RecordBatch:
@@ -402,7 +346,7 @@ class Repeats:
                 if not len(marked):
                     continue
                 text = unit(data)
-                name, first, count, print_ = (x[marked] for x in parts(text, window, gram)[:4])
+                name, first, count, print_ = (x[marked] for x in cells(text, window, gram))
                 content = [text.content(a, b) for a, b in zip(first.tolist(), (first + count + window - 1).tolist(), strict=True)]
                 found.append((doc, crc, name, first, count, print_, content))
                 n += len(name)
@@ -416,7 +360,7 @@ class Repeats:
         return self.with_texts(marks, documents).mapInArrow(light(run), ROW)
 
     def repeated(self, marks: DataFrame, documents: DataFrame) -> DataFrame:
-        """Step 3, in the buckets: the windows that a smaller document has, as runs, sent to their document's group."""
+        """Step 2, in the buckets: the windows that a smaller document has, as runs, sent to their document's group."""
         spread, rank = self.spread, self.rank
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,11 +424,9 @@ class Repeats:
         documents = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
         there = documents.where("doc_id is not null")
         with configured(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
-            left = settled(self.ranked(self.grams(there)), "ranked")
-        released(self.spark)
-        left = settled(self.ranked(self.doubled(left, there)), "ranked")
+            candidates = settled(self.candidates(there), "candidates")
         released(self.spark)
-        marks = settled(self.repeated(left, there), "marks")
+        marks = settled(self.repeated(candidates, there), "marks")
         released(self.spark)
         both = self.with_texts(marks, there, carried)
         rest_type = both.schema["rest"].dataType.elementType

@@ -2,8 +2,8 @@
 
 Positions are ranked by the h bytes that follow, in rounds of growing h; the rank of a longer string is the pair of
 the ranks of shorter ones at two offsets, a unique rank ends its position's ranking, and only what is left goes into
-the next round: 1 to 20 bytes inside each task, by pairing at the offsets 1, 2, 4, 8 and 4; then 20, 35 (20 and 20 at
-an offset of 15) and 50 bytes (25 and 25) across the cluster, where Spark brings equal ranks together and sorts them.
+the next round: 1 to 20 bytes inside each task, by pairing at the offsets 1, 2, 4, 8 and 4; then 20 bytes across the
+cluster, and 50 bytes (25 and 25) of what is left, where Spark brings equal ranks together and they are sorted.
 Not every position takes part: of the grams of a window the one of the smallest rank stands for it, and a position's
 windows are ranked one by one only in the last round, by the sort of rank pairs there; equal pairs have passed the
 threshold, and are compared byte by byte before they count.  Ranks are hash names rather than places in the order, so

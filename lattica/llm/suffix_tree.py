@@ -1,8 +1,7 @@
 """Substring dedup of words by prefix-partitioned suffix trees, over sampled suffixes.
 
 Sampled suffixes (of the grams of a window the one of the smallest name begins the one that stands for it) are
-partitioned by a prefix of ``GRAM`` words, and where a prefix has more than one suffix by one of 35 words; a suffix
-that is alone with its prefix repeats nowhere and goes.  The windows around those that are left are the suffixes of
+partitioned by a prefix of ``GRAM`` words; a suffix that is alone with its prefix repeats nowhere and goes.  The windows around those that are left are the suffixes of
 subtrees: a task takes whole prefixes as long as they fit into ``TREE_LEAVES``, and splits a larger group again by
 longer prefixes.  A subtree is built as its sorted suffixes with the lengths of their common prefixes, whose
 intervals are its internal nodes; suffixes end after ``WINDOW`` words, which is as deep as matters.  The nodes at that
