@@ -21,13 +21,22 @@ from lattica.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-BUILT: dict[tuple[str, str, str], DataFrame] = {}
+OPENED: dict[tuple[str, int, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The folder's tables, and tables and graphs derived from them; each is made when it is first asked for."""
+    """The folder's tables, and tables and graphs derived from them; each is made when it is first asked for, and kept for the session."""
+    key = spark.sparkContext.applicationId, id(spark), sf_dir
+    if key not in OPENED:
+        OPENED[key] = opened(spark, sf_dir)
+    return OPENED[key]
+
+
+def opened(spark: SparkSession, sf_dir: str) -> Tables:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+    built: dict[str, DataFrame] = {}
+
     def people() -> DataFrame:
         key = F.col("c_custkey")
         return read("customer").select(key.alias("id"), key.alias("person_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("city"), F.col("c_nationkey").alias("country"), F.col("c_nationkey").alias("attr1"))
@@ -45,11 +54,10 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(F.col("c_custkey").alias("person_id"), F.col("n_name").alias("company_name"))
 
     def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A projection is built once for a folder and session, as a loader would, and then read as a table."""
-        key = spark.sparkContext.applicationId, sf_dir, name
-        if key not in BUILT:
-            BUILT[key] = settled(make(), name)
-        return BUILT[key]
+        """A projection is built once, as a loader would, and then read as a table."""
+        if name not in built:
+            built[name] = settled(make(), name)
+        return built[name]
 
     def supply() -> Graph:
         edges = once("supply_edges", lambda: etl.projected_edges(read("lineitem"), "l_partkey", "l_suppkey", F.col("l_returnflag"), "p", "s"))

@@ -45,6 +45,9 @@ class Tables:
         return self
 
     def _read(self, path: str) -> DataFrame | None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return None
         try:
             return self.spark.read.parquet(path)
         except AnalysisException as error:
