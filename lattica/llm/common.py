@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Small rows in a task and file, where their number is known.
+FILE_ROWS = 1 << 14
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,13 +63,17 @@ def configured(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def settled(df: DataFrame, label: str = "cut") -> DataFrame:
+def settled(df: DataFrame, label: str = "cut", rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
+    Where the caller knows that there are ``rows`` small rows at the most, it is done by a task for each ``FILE_ROWS``.
+
     Parquet in a shared folder survives the loss of any executor and is smaller than an RDD checkpoint.  The shuffle
     files of the write are deleted when it is done.
     """
     path = fresh_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     with configured(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(path)
     atexit.register(remove_path, df.sparkSession, path)

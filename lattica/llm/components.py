@@ -27,19 +27,19 @@ def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     first = edges.select("a", "b").where("a is not null and b is not null")
     edges = first = settled(first.distinct(), "edges")
     moves: list[DataFrame] = []
-    left = edges.count()
+    left = all_edges = edges.count()
     while left > finish:
-        far = settled(steps(edges, len(moves)), "steps")
+        far = settled(steps(edges, len(moves)), "steps", 2 * left)
         moves.append(far)
         moved = edges.join(far.withColumnsRenamed({"v": "va", "to": "ta"}), F.col("a") == F.col("va")).join(far.withColumnsRenamed({"v": "vb", "to": "tb"}), F.col("b") == F.col("vb"))
-        edges = settled(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct(), "edges")
+        edges = settled(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct(), "edges", left)
         left = edges.count()
     if left:
         moves.append(settled(edges.coalesce(1).mapInArrow(joined, "v long, to long"), "steps"))
     labels = first.select(F.col("a").alias("id")).union(first.select("b")).distinct().withColumn("label", F.col("id"))
     for far in moves:  # each with fewer vertices than the one before
         labels = labels.join(far, labels.label == far.v, "left").select("id", F.coalesce("to", "label").alias("label"))
-    labels = settled(labels, "labels")
+    labels = settled(labels, "labels", 2 * all_edges)
     least = labels.groupBy("label").agg(F.min("id").alias("least"))
     return labels.join(least, "label").select("id", F.col("least").alias("label"))
 

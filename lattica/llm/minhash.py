@@ -262,19 +262,20 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = settled(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
+    total = docs.count()
     with configured(documents.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):  # whole texts in a worker's memory
         sketches = settled(sketched(docs), "sketches")
-    contents = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
-    firsts = sketches.select("doc_id", "bands").join(contents.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id").dropDuplicates(["doc_id"])
+    contents = settled(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "contents", total)
+    firsts = sketches.select("doc_id", "bands").join(contents.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
-    salts = SALTS + docs.count() // SALT_ROWS
+    salts = SALTS + total // SALT_ROWS
     bands = firsts.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("number", "name"))
     shared = settled(bands.groupBy("name", "number").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
     salted = shared.select("name", "number", "pivot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     members = settled(
         bands.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["name", "number", "salt"]).select(F.struct("name", "number").alias("band"), "id", "pivot"), "members"
     )
-    texts = settled(docs.where("doc_id is not null").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = settled(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     proposals = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
     best = proposals.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("id").alias("a"), "b")
@@ -284,10 +285,15 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     labels = components(links)
     labelled = members.select("band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     more = checked(settled(remaining(labelled, texts, threshold), "proposed"), texts, threshold)
-    labels = components(settled(links.union(more), "links"))
-
-    ids = sketches.select("doc_id", "k1", "k2").join(contents, ["k1", "k2"]).select("doc_id", "id").dropDuplicates(["doc_id"])
-    classes = ids.join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
+    labels = components(settled(links.union(more), "links", 2 * total))
+
+    named = settled(contents.join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("label", "id").alias("class_id")), "contents", total)
+    keys = sketches.select("doc_id", "k1", "k2")
+    # Multisets of more than a thousandth of the documents: fewer than a thousand rows, so their copies need no shuffle.
+    common = F.broadcast(named.where(F.col("n") * 1000 > total).select("k1", "k2", F.col("class_id").alias("common")))
+    marked = keys.join(common, ["k1", "k2"], "left")
+    rest = marked.where("common is null").drop("common").join(named.where(F.col("n") * 1000 <= total).drop("n"), ["k1", "k2"])
+    classes = marked.where("common is not null").select("doc_id", F.col("common").alias("class_id")).union(rest.select("doc_id", "class_id"))
     return rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

@@ -624,7 +624,7 @@ def test_darts_estimate_weighted_similarity():
 
 def test_components_of_a_long_path(spark, monkeypatch):
     rounds = []
-    monkeypatch.setattr(components_module, "settled", lambda df, label, real=components_module.settled: rounds.append(label) or real(df, label))
+    monkeypatch.setattr(components_module, "settled", lambda df, label, *n, real=components_module.settled: rounds.append(label) or real(df, label, *n))
     path = spark.range(1000).selectExpr("id AS a", "id + 1 AS b")
     got = components(path, finish=0).agg(F.max("label"), F.count("*")).first()
     assert tuple(got) == (0, 1001) and rounds.count("steps") <= 20
