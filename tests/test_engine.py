@@ -220,3 +220,17 @@ def test_a_hop_may_broadcast_its_frontier(spark, tmp_path):
     assert "LeftOuter" not in plan
     final = plan.split("Initial Plan")[0]
     assert not [line for line in final.splitlines() if "BroadcastHashJoin" in line and "src" in line and "BuildRight" in line and "Inner" in line]
+
+
+def test_a_small_side_is_broadcast_and_a_large_one_is_not(spark, tmp_path):
+    spark.range(50_000).select(F.col("id").alias("k"), (F.col("id") % 25).cast("int").alias("n")).write.parquet(str(tmp_path / "many"))
+    spark.range(25).select(F.col("id").cast("int").alias("m"), F.col("id").cast("string").alias("name")).write.parquet(str(tmp_path / "few"))
+    many, few = spark.read.parquet(str(tmp_path / "many")), spark.read.parquet(str(tmp_path / "few"))
+    found = joined(many, few, "n", "m", "INNER")
+    assert found.count() == 50_000 and "BroadcastHashJoin" in explained(found)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        assert "SortMergeJoin" in explained(joined(many, few, "n", "m", "INNER"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
