@@ -2,9 +2,9 @@
 
 Vectors are scaled by the largest norm and given one more component that makes all norms equal, so that the largest
 inner product is the smallest angle.  Codes are the signs after rotations learned by iterative quantisation on a
-bounded sample; every row is indexed.  A code of 128 bits is split into 16 substrings with an index each.  Two codes
-within a Hamming radius r differ in at most r // 16 bits in some substring (one bit fewer in all but the first
-r % 16 + 1, by the pigeonhole principle), so probing those values of each index retrieves every code within the
+bounded sample; every row is indexed.  A code of 256 bits is split into 32 substrings with an index each.  Two codes
+within a Hamming radius r differ in at most r // 32 bits in some substring (one bit fewer in all but the first
+r % 32 + 1, by the pigeonhole principle), so probing those values of each index retrieves every code within the
 radius; the candidates that are within it are ranked by their inner products in double precision.
 
 The radius is the smallest that finds ``AIM`` of the true neighbours on the sample; neighbours in all rows are
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.vectors import SHARD_ROWS, asked, ranked, sampled, shard_search, top, valid
 
-BITS, PARTS = 128, 16
+BITS, PARTS = 256, 32
 #: Bound on the rows that rotations and radius are learned from, and on the queries among them.
 SAMPLE, SAMPLE_QUERIES = 12_000, 300
 AIM = 0.97
@@ -38,7 +38,7 @@ class Codes:
     radius: int = 0
 
     def of(self, rows: np.ndarray, is_query: bool) -> np.ndarray:
-        """(rows, 16) bytes."""
+        """(rows, PARTS) bytes."""
         scaled = rows / (np.sqrt((rows**2).sum(axis=1, keepdims=True)) if is_query else self.norm)
         last = np.zeros(len(rows)) if is_query else np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))
         return np.packbits(np.column_stack([scaled, last]) @ self.rotation > 0, axis=1)
@@ -94,6 +94,11 @@ def probed(index: Index, code: np.ndarray, radius: int) -> np.ndarray:
             seen[:] = True
             break
         values = MASKS[bits] ^ code[part]
+        if len(values) > 16:  # the value's entry of each row says as much as so many lists of rows, and sooner
+            wanted = np.zeros(256, bool)
+            wanted[values] = True
+            seen |= wanted[index.codes[:, part]]
+            continue
         begin, end = index.starts[part, values], index.starts[part, values.astype(int) + 1]
         size = end - begin
         if size.sum():

@@ -489,13 +489,13 @@ def test_multi_index_recall(spark, embeddings, shard_rows):
 
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(8)
-    codes = rng.integers(0, 256, (500, 16)).astype(np.uint8)
+    codes = rng.integers(0, 256, (500, multi_index.PARTS)).astype(np.uint8)
     codes[1:40] = codes[0]
     codes[1:40, :3] ^= rng.integers(0, 256, (39, 3)).astype(np.uint8)
     by = np.argsort(codes, axis=0, kind="stable").T
-    starts = np.stack([np.searchsorted(codes[by[p], p], np.arange(257)) for p in range(16)])
+    starts = np.stack([np.searchsorted(codes[by[p], p], np.arange(257)) for p in range(multi_index.PARTS)])
     index = multi_index.Index(np.arange(500), np.zeros((500, 1)), codes, by, starts)
-    for radius in (0, 5, 15, 16, 30, 55, 128):
+    for radius in (0, 5, 31, 32, 60, 110, 256):
         want = np.flatnonzero(multi_index.distances(codes, codes[0]) <= radius)
         assert (multi_index.probed(index, codes[0], radius) == want).all()
 
