@@ -81,6 +81,9 @@ class Index:
     order: np.ndarray  # per substring, rows by its value
     starts: np.ndarray  # per substring, where each value begins
 
+    def __post_init__(self) -> None:
+        self.by_part = np.ascontiguousarray(self.codes.T)
+
 
 def probed(index: Index, code: np.ndarray, radius: int) -> np.ndarray:
     """Rows whose codes are within ``radius``, by probing every substring's index."""
@@ -97,7 +100,7 @@ def probed(index: Index, code: np.ndarray, radius: int) -> np.ndarray:
         if len(values) > 16:  # the value's entry of each row says as much as so many lists of rows, and sooner
             wanted = np.zeros(256, bool)
             wanted[values] = True
-            seen |= wanted[index.codes[:, part]]
+            seen |= np.take(wanted, index.by_part[part])
             continue
         begin, end = index.starts[part, values], index.starts[part, values.astype(int) + 1]
         size = end - begin
