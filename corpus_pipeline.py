@@ -22,7 +22,7 @@ ORACLE_SQL = None
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney models don't call toxic."""
-    return where(docs, lambda d: toxicity.detect(d, table(spark, sf_dir, "labels")), "predicted = 0", "doc_id", "text")
+    return where(docs, lambda d: toxicity.detect(d, table(spark, sf_dir, "labels"), keep=("doc_id", "whole_row")), "predicted = 0", "doc_id", "text")
 
 
 def of_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

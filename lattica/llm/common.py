@@ -71,13 +71,18 @@ def settled(df: DataFrame, label: str = "cut", rows: int | None = None) -> DataF
     Parquet in a shared folder survives the loss of any executor and is smaller than an RDD checkpoint.  The shuffle
     files of the write are deleted when it is done.
     """
+    return settled_at(df, label, rows)[0]
+
+
+def settled_at(df: DataFrame, label: str = "cut", rows: int | None = None) -> tuple[DataFrame, str]:
+    """As ``settled``, and where it is, for a caller that removes it before the session ends."""
     path = fresh_path(df.sparkSession, label)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     with configured(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(path)
     atexit.register(remove_path, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -14,7 +14,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=())
     return found.select("doc_id", "held_out", "score", "predicted", "whole_llr", "passage_llr")
 
 

@@ -13,10 +13,10 @@ the number of different longer n-grams of the class that end so.  What stands be
 in a long run is thus judged by the bytes just before it.
 
 Counting is Spark's, over all training rows: words by class, then n-grams of each order with the totals and types of
-their contexts.  No n-gram is left out of them, however rare.  Only then the model is cut to a size that can be
-broadcast: it holds ``MOST_CONTEXTS`` contexts, and ``MOST_GRAMS`` n-grams in them, at the most, whose n-grams tell the classes
-apart most (the sum over n-grams of n * |log ratio|).  A context is held with all its n-grams or not at all; what
-stands after another one is judged by a shorter context.
+their contexts.  No n-gram is left out of them, however rare, and every one counts in a score.  A model of ``MOST_CONTEXTS``
+contexts and ``MOST_GRAMS`` n-grams at the most is broadcast.  A larger one stays in Spark, where each distinct word of all
+documents, in chunks of words that ask for the contexts they need, gets the ratios of its bytes; documents, in groups, then
+ask for their words'.  The ``MOST_WORDS`` most frequent words' are broadcast, which saves asking and changes no score.
 
 A rare expression is judged by the backoff that both classes share, where the classes hardly differ.  What is
 compared are log-likelihoods per byte: over the whole text, and over its most toxic passage of ``PASSAGE`` bytes,
@@ -30,29 +30,37 @@ is empty; without labels every text gets a score of the bare curve.  Columns of
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lattica.llm.common import bounded_labels, configured, fold_of, light, settled, training_labels, unused
-from lattica.llm.symbols import U, mix, word_codes
+from lattica.llm.common import bounded_labels, configured, fold_of, light, quoted, remove_path, settled, settled_at, training_labels, unused
+from lattica.llm.symbols import U, mix, paired, word_codes
 
 #: Bytes of context, longest first.
 ORDERS = (12, 6, 4, 3, 2, 1)
 DEPTH = ORDERS[0]
 DISCOUNT = 0.75
 PASSAGE = 8
-#: Bounds on the model that is broadcast.
+#: A larger model isn't broadcast, but joined.
 MOST_CONTEXTS, MOST_GRAMS = 1 << 16, 1 << 18
+#: Words whose ratios are broadcast where the model isn't, words that ask together for contexts, documents for words.
+MOST_WORDS, CHUNK, GROUP = 1 << 17, 1 << 17, 64
+#: Parts of the documents that are joined one after another with their words, so that one part's shuffle is on disk at a time.
+SLICES, FEW_WORDS = 3, 1 << 18
 #: Bound on the training rows that the curve is fitted on, which are a share of them at the most.
 MOST_CURVE, CURVE_SHARE = 6_000, 4
 #: Words counted by a task before it hands on their counts, and bytes of a word in one unit of counting.
-FLUSH_WORDS, UNIT = 100_000, 96
+FLUSH_WORDS, UNIT = 200_000, 96
 #: Bytes scored at a time; longer texts are scored in stretches that end between words.
 STRETCH = 1 << 19
 #: Bytes of words whose ratios a worker remembers.
@@ -320,28 +328,27 @@ def unit_grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, ordinary, toxic): in how many texts of each class a word is, summed over many texts."""
+    """(unit, ordinary, toxic, texts): in how many texts of each class, and of all, a word is, summed over many texts."""
     press = zstandard.ZstdDecompressor()
-    counts: tuple[dict[str, int], dict[str, int]] = {}, {}
+    counts = Counter(), Counter(), Counter()  # the last one has what isn't trained on
 
     def flush() -> pa.RecordBatch:
         found, n = [], []
-        for word in counts[0].keys() | counts[1].keys():
+        for word in counts[0].keys() | counts[1].keys() | counts[2].keys():
             own = units(word.encode("utf-8", "replace"))
+            c = [counts[k].get(word, 0) for k in range(3)]
             found += own
-            n += [(counts[0].get(word, 0), counts[1].get(word, 0))] * len(own)
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *(pa.array([x[c] for x in n], pa.int64()) for c in (0, 1))], ["unit", "ordinary", "toxic"])
+            n += [(c[0], c[1], sum(c))] * len(own)
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *(pa.array([x[c] for x in n], pa.int64()) for c in range(3))], ["unit", "ordinary", "toxic", "texts"])
 
     for batch in batches:
         for label, blob in zip(batch.column("label").to_pylist(), batch.column("blob"), strict=True):
-            own = counts[label]
-            for word in set(press.decompress(blob.as_py()).decode("utf-8", "replace").lower().split()):
-                own[word] = own.get(word, 0) + 1
-            if len(counts[0]) + len(counts[1]) > FLUSH_WORDS:
+            counts[2 if label is None else label].update(set(press.decompress(blob.as_py()).decode("utf-8", "replace").lower().split()))
+            if sum(map(len, counts)) > FLUSH_WORDS:
                 yield flush()
-                counts[0].clear()
-                counts[1].clear()
-    if counts[0] or counts[1]:
+                for c in counts:
+                    c.clear()
+    if any(counts):
         yield flush()
 
 
@@ -387,22 +394,30 @@ def size_of() -> Column:
     return F.shiftrightunsigned("high", int(_SIZE))
 
 
-def all_orders(longest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The n-grams of every order, with their counts and their contexts' figures; and the longest ones alone."""
-    whole = settled(by_context(longest), "grams")
-    out = cut = whole
+def all_orders(longest: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The n-grams of every order, with their counts and their contexts' figures; and the longest ones alone.
+
+    ``paths`` gets where they are.
+    """
+
+    def kept(grams: DataFrame, rows: int | None = None) -> DataFrame:
+        grams, path = settled_at(by_context(grams), "grams", rows)
+        paths.append(path)
+        return grams
+
+    out = cut = whole = kept(longest)
     above, most = DEPTH, whole.count()
     for order in ORDERS[1:]:
         source = whole.where((size_of() > order + 1) & (size_of() <= above + 1))
         source = source if above == DEPTH else source.union(cut)
-        cut = settled(by_context(source.mapInArrow(light(cut_to(order)), GRAM)), "grams", most)
+        cut = kept(source.mapInArrow(light(cut_to(order)), GRAM), most)
         out, above = out.union(cut), order
     return out, whole
 
 
-def kneser_ney(longest: DataFrame) -> tuple[Table, Table]:
-    """The log ratios of n-grams, and of contexts for n-grams that they were not seen with, of the model that is held."""
-    grams, whole = all_orders(longest)
+def kneser_ney(longest: DataFrame, paths: list[str]) -> DataFrame:
+    """(context, high, low, ratio, backoff): the log ratio of every n-gram, and its context's for n-grams that it was not seen with."""
+    grams, whole = all_orders(longest, paths)
     tail = F.col("low").bitwiseAND(0xFFFF)
     # Two bytes: 65,536 rows at the most.
     pairs = whole.groupBy(tail.alias("tail")).agg(F.count("*").alias("n"))
@@ -414,70 +429,343 @@ def kneser_ney(longest: DataFrame) -> tuple[Table, Table]:
     def probability(c: str) -> Column:
         return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"total_{c}"), F.lit(1)) + weight(c) * F.col("below")
 
-    judged = (
-        grams.withColumn("tail", tail).join(F.broadcast(shared), "tail")
-        .select("context", "high", "low", F.log(probability("toxic") / probability("ordinary")).alias("ratio"), F.log(weight("toxic") / weight("ordinary")).alias("backoff"), (F.col("ordinary") + F.col("toxic")).alias("n"))
-    )
-    told = judged.groupBy("context").agg(F.sum(F.col("n") * F.abs("ratio")).alias("told"), F.count("*").alias("grams"), F.first("backoff").alias("backoff"))
-    with configured(longest.sparkSession, spark__sql__adaptive__coalescePartitions__enabled="false"):  # many small rows in few bytes
-        told = settled(told, "told", grams.count())
-    # Of steps of a 256th of a binary order, a bounded number, the highest that together are within the bounds.
-    step = F.floor(F.log2(F.greatest("told", F.lit(2.0**-30))) * 256).cast("int")
-    steps = told.groupBy(step.alias("step")).agg(F.count("*").alias("contexts"), F.sum("grams").alias("grams")).toPandas().sort_values("step", ascending=False)
-    fits = (steps["contexts"].cumsum() <= MOST_CONTEXTS) & (steps["grams"].cumsum() <= MOST_GRAMS)
-    least = int(steps["step"][fits].min()) if fits.any() else 1 << 30
-    best = told.where(step >= least).select("context", "backoff").toPandas()
-    spark = longest.sparkSession
-    chosen = spark.createDataFrame(best[["context"]], "context long")
-    held = judged.join(F.broadcast(chosen), "context").select("high", "low", "ratio").toPandas()
+    ratio, backoff = F.log(probability("toxic") / probability("ordinary")), F.log(weight("toxic") / weight("ordinary"))
+    return grams.withColumn("tail", tail).join(F.broadcast(shared), "tail").select("context", "high", "low", ratio.cast("float").alias("ratio"), backoff.cast("float").alias("backoff"))
+
+
+def tables(judged: DataFrame) -> tuple[Table, Table]:
+    """A model that is small enough, for broadcasting."""
+    held = judged.toPandas()
     names = named(*(held[c].to_numpy(np.int64).view(U) for c in ("high", "low")))
-    order, contexts = np.argsort(names), best.sort_values("context")
+    order, contexts = np.argsort(names), held.drop_duplicates("context").sort_values("context")
     return (
         Table(names[order], held["ratio"].to_numpy(np.float32)[order]),
         Table(contexts["context"].to_numpy(np.int64).view(U), contexts["backoff"].to_numpy(np.float32)),
     )
 
 
+class Lexicon:
+    """The ratios of words' bytes by the words' codes."""
+
+    def __init__(self, codes: np.ndarray, ratios: pa.Array | pa.ChunkedArray):
+        size = np.asarray(pc.binary_length(ratios)).astype(np.int64) // 4
+        self.codes, first = np.unique(codes, return_index=True)
+        self.size, self.begin = size[first], (np.cumsum(size) - size)[first]
+        self.store = np.frombuffer(b"".join(ratios.to_pylist()), np.float32)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The words' places, or -1."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
+
+
+def unit_codes(found: list[bytes]) -> np.ndarray:
+    """Codes of units: a whole word's is its ``word_codes``, another one's a hash of the unit."""
+    whole = np.array([u[0] == 32 and u[-1] == 32 for u in found], bool)
+    out = np.zeros(len(found), U)
+    out[whole] = word_codes(b"".join([u for u, w in zip(found, whole.tolist(), strict=True) if w]))[0]
+    for i in np.flatnonzero(~whole).tolist():
+        out[i] = xxhash.xxh64_intdigest(found[i], 1)
+    return out
+
+
+class Reader(Scorer):
+    """Scores texts by the ratios of their words, of which it has all."""
+
+    def __init__(self, hot: Lexicon, cold: Lexicon):
+        self.hot, self.cold = hot, cold
+
+    def piece(self, code: np.ndarray) -> np.ndarray:
+        for words in (self.hot, self.cold):
+            if (at := int(words.find(code)[0])) >= 0:
+                return words.store[words.begin[at] : words.begin[at] + words.size[at]]
+        raise KeyError("a word without ratios")
+
+    def ratios(self, text: bytes) -> np.ndarray:
+        codes, start, end = word_codes(text)
+        size = end - start + 1
+        shift = np.cumsum(size) - size
+        hot, cold, out = self.hot.find(codes), self.cold.find(codes), np.zeros(int(size.sum()), np.float32)
+        short = size + 1 <= UNIT
+        for i in np.flatnonzero(~short).tolist():
+            own = unit_codes(units(text[start[i] : end[i]]))
+            out[shift[i] : shift[i] + size[i]] = np.concatenate([self.piece(own[k : k + 1]) for k in range(len(own))])
+        if (short & (hot < 0) & (cold < 0)).any():
+            raise KeyError("a word without ratios")
+        for words, at, mine in ((self.hot, hot, short & (hot >= 0)), (self.cold, cold, short & (hot < 0))):
+            if mine.any():
+                n = size[mine]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                out[np.repeat(shift[mine], n) + step] = words.store[np.repeat(words.begin[at[mine]], n) + step]
+        return out
+
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, blob): units with whether they are trained on and whether their ratios are broadcast, many to a row."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema) as out:
+            for batch in held:
+                out.write_batch(batch)
+        blob = sink.getvalue().to_pybytes()
+        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(blob) >> 1], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= CHUNK:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
+
+
+def unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    found = pa.ipc.open_stream(blob).read_all()
+    return found["unit"].to_pylist(), np.asarray(found["trained"]), np.asarray(found["hot"])
+
+
+def contexts_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, context): all longest contexts, and the shorter ones of those that no trained word of the chunk has."""
+    for batch in batches:
+        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+            found, trained, _ = unpacked(blob.as_py())
+            high, low, unit = unit_grams(found)
+            longest, first, of = np.unique(named_context(high, low), return_index=True, return_inverse=True)
+            seen = np.bincount(of, trained[unit], len(longest)) > 0
+            high, low, asked = high[first[~seen]], low[first[~seen]], [longest]
+            for order in ORDERS[1:]:
+                more = sizes(high) > order + 1
+                asked.append(np.unique(named_context(*shortened(high[more], low[more], order))))
+            contexts = np.unique(np.concatenate(asked)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(contexts), chunk)), pa.array(contexts)], ["chunk", "context"])
+
+
+def chunk_ratios(found: list[bytes], contexts: np.ndarray, backoff: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ratios, unit) of the units' own bytes, each after its longest context of ``contexts``; keys are contexts paired with bytes."""
+    high, low, unit = unit_grams(found)
+    ratio, unseen = np.zeros(len(low), np.float32), np.ones(len(low), bool)
+    order_of, rank = np.argsort(contexts), np.argsort(keys)
+    contexts, backoff, keys, values = contexts[order_of], backoff[order_of], keys[rank], values[rank]
+    for order in ORDERS if len(contexts) else ():
+        at = np.flatnonzero(unseen & ((order == DEPTH) | (sizes(high) > order + 1)))
+        h, w = (high[at], low[at]) if order == DEPTH else shortened(high[at], low[at], order)
+        name = named_context(h, w)
+        i = np.minimum(np.searchsorted(contexts, name), len(contexts) - 1)
+        there = contexts[i] == name
+        at, i, key = at[there], i[there], paired(name[there], w[there] & U(255))
+        j = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        ratio[at] = np.where(keys[j] == key, values[j], backoff[i])
+        unseen[at] = False
+    return ratio, unit
+
+
+def runs(batch: pa.RecordBatch, *names: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of equal values."""
+    if batch.num_rows:
+        change = np.any([np.diff(np.asarray(batch.column(c))) != 0 for c in names], axis=0)
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
+def chunks_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, ratios, hot) of a chunk's units; the contexts that it asked for come before it."""
+    here, parts = None, []
+    for batch in batches:
+        for part in runs(batch, "chunk", "kind"):
+            if (chunk := part.column("chunk")[0].as_py()) != here:
+                here, parts = chunk, []
+            if part.column("kind")[0].as_py() == 0:
+                context = part.column("context").to_numpy().view(U)
+                grams = part.column("grams")
+                n, flat = np.asarray(pc.list_value_length(grams)), grams.flatten()
+                byte, value = (np.asarray(x) for x in flat.flatten())
+                parts.append((context, part.column("backoff").to_numpy(), paired(np.repeat(context, n), byte.astype(U)), value))
+                continue
+            known = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (U, np.float32, U, np.float32)]
+            parts = []
+            for blob in part.column("blob"):
+                found, _, hot = unpacked(blob.as_py())
+                ratio, unit = chunk_ratios(found, *known)
+                ends = np.cumsum(np.bincount(unit, minlength=len(found))) * 4
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+                ratios = pa.Array.from_buffers(pa.binary(), len(found), [None, offsets, pa.py_buffer(ratio)])
+                out = pa.RecordBatch.from_arrays([pa.array(unit_codes(found).view(np.int64)), ratios, pa.array(hot)], ["code", "ratios", "hot"])
+                for k in range(0, out.num_rows, 1 << 14):
+                    yield out.slice(k, 1 << 14)
+
+
+def lexicon_of(words: DataFrame, judged: DataFrame) -> DataFrame:
+    """(code, ratios, hot) of every word."""
+    step = F.floor(F.log2(F.col("texts")) * 16).cast("int")
+    steps = words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).toPandas().sort_values("step", ascending=False)
+    fits = steps["n"].cumsum() <= MOST_WORDS
+    least = int(steps["step"][fits].min()) if fits.any() else 1 << 30
+    known = words.select("unit", (F.col("ordinary") + F.col("toxic") > 0).alias("trained"), (step >= least).alias("hot"))
+    # Sorted, so that the words of a chunk share their contexts.
+    ordered = known.repartitionByRange(max(1, -(-int(steps["n"].sum()) // CHUNK)), "unit").sortWithinPartitions("unit")
+    chunks = settled(ordered.mapInArrow(light(chunked), "chunk long, blob binary"), "chunks")
+    contexts = judged.groupBy("context").agg(F.first("backoff").alias("backoff"), F.collect_list(F.struct(F.col("low").bitwiseAND(255).cast("short").alias("byte"), "ratio")).alias("grams"))
+    told = chunks.mapInArrow(light(contexts_asked), "chunk long, context long").join(contexts, "context")
+    both = told.withColumn("kind", F.lit(0)).unionByName(chunks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    ordered = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return settled(ordered.mapInArrow(light(chunks_answered), "code long, ratios binary, hot boolean"), "lexicon")
+
+
+@dataclass
+class Joined:
+    """A model that stays in Spark: the ratios of all words but those that are broadcast."""
+
+    cold: DataFrame
+    slices: int
+    curve: np.ndarray
+
+    def weighed(self, documents: DataFrame, held: object, columns: list[str], slices: int | None = None) -> DataFrame:
+        """``columns`` of the documents as ``row``, and the two ratios of ``text``."""
+        spark, slices = documents.sparkSession, slices or self.slices
+        groups = max(1, documents.count() // GROUP)
+        row = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row")
+        group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("group")
+        rows = documents.select(group, F.lit(1).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), row)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hot = held.value
+            for batch in batches:
+                texts: list[bytes] = []
+                of: list[int] = []
+                size = 0
+                for i, (g, text) in enumerate(zip(batch.column("group").to_pylist(), batch.column("text"), strict=True)):
+                    if b := clean(text.as_py()):
+                        texts.append(b[:-1])
+                        of.append(g)
+                        size += len(b)
+                    if texts and (size > STRETCH or i == batch.num_rows - 1):
+                        yield words_asked(texts, np.array(of, np.int64), hot)
+                        texts, of, size = [], [], 0
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, parts, reader = None, [], None
+            for batch in batches:
+                for part in runs(batch, "group", "kind"):
+                    if (g := part.column("group")[0].as_py()) != here:
+                        here, parts, reader = g, [], None
+                    if part.column("kind")[0].as_py() == 0:
+                        parts.append((part.column("code").to_numpy().view(U), part.column("ratios")))
+                        continue
+                    if reader is None:
+                        codes = np.concatenate([np.zeros(0, U), *(c for c, _ in parts)])
+                        reader, parts = Reader(held.value, Lexicon(codes, pa.chunked_array([r for _, r in parts], pa.binary()))), []
+                    found = reader.evidence(part.column("text"))
+                    yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["row", "whole", "passage"])
+
+        schema = StructType(documents.select(row).schema.fields).add("whole", "double").add("passage", "double")
+        out = None
+        with configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
+            for k in range(slices):
+                mine = rows.where(F.pmod("group", F.lit(slices)) == k)
+                told = mine.select("group", "text").mapInArrow(light(ask), "group long, code long").join(self.cold, "code")
+                both = told.withColumn("kind", F.lit(0)).unionByName(mine, allowMissingColumns=True)
+                ordered = both.repartition("group").sortWithinPartitions("group", "kind")
+                part = settled(ordered.mapInArrow(light(answer), schema), "weighed")
+                out = part if out is None else out.union(part)
+        return out
+
+
+def words_asked(texts: list[bytes], group: np.ndarray, hot: Lexicon) -> pa.RecordBatch:
+    """(group, code) of the words that aren't broadcast; each text begins with a space and lacks its last one."""
+    text = b"".join(texts) + b" "
+    codes, start, end = word_codes(text)
+    of = group[np.searchsorted(np.cumsum([len(x) for x in texts]), start, "right")]
+    short = end - start + 2 <= UNIT
+    for i in np.flatnonzero(~short).tolist():
+        own = unit_codes(units(text[start[i] : end[i]]))
+        codes, of, short = np.concatenate([codes, own]), np.concatenate([of, np.full(len(own), of[i])]), np.concatenate([short, np.ones(len(own), bool)])
+    ask = short & (hot.find(codes) < 0)
+    codes, of = codes[ask], of[ask]
+    first = np.unique(paired(of.view(U), codes), return_index=True)[1]
+    return pa.RecordBatch.from_arrays([pa.array(of[first]), pa.array(codes[first].view(np.int64))], ["group", "code"])
+
+
 def texts_of(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(label, blob) of the labelled rows; texts travel compressed to their labels, which may be any number."""
+    """(label, blob) of all rows; texts travel compressed to their labels, which may be any number.
+
+    Rows without a label have null.  Those without a doc_id are dealt by their text.
+    """
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             blobs = [press.compress((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), pa.array(blobs, pa.binary())], ["doc_id", "salt", "blob"])
 
-    there = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return there.mapInArrow(light(squeeze), "doc_id long, blob binary").join(chosen, "doc_id").select("label", "blob")
+    key = F.col("doc_id").cast("long")
+    salt = F.when(key.isNull(), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")
+    there = documents.select(F.coalesce(key, F.lit(0)).alias("doc_id"), salt.alias("salt"), "text")
+    labels = chosen.withColumn("salt", F.lit(0).cast("long"))
+    return there.mapInArrow(light(squeeze), "doc_id long, salt long, blob binary").join(labels, ["doc_id", "salt"], "left").select("label", "blob")
 
 
-def fit(documents: DataFrame, labels: DataFrame, training: Column) -> tuple[Model, object]:
-    """The model and its broadcast; the broadcast one lacks the curve."""
+def fit(documents: DataFrame, labels: DataFrame, training: Column) -> tuple[Model | Joined, object]:
+    """The model, and what of it is broadcast (without the curve)."""
+    spark = documents.sparkSession
     chosen = training_labels(labels, "toxic", training)
     n = max(1, chosen.count())
     for_curve = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1 << 40)) < int(min(1 / CURVE_SHARE, MOST_CURVE / n) * (1 << 40))
-    counted = texts_of(documents, chosen.where(~for_curve)).mapInArrow(light(word_counts), "unit binary, ordinary long, toxic long")
-    with configured(documents.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):  # whole texts in a worker's memory
-        words = settled(counted.groupBy("unit").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "words")
-    model = Model(*kneser_ney(words.mapInArrow(light(longest_grams), GRAM)), np.array([-2.0, 1.0, 1.0]))
-    held = documents.sparkSession.sparkContext.broadcast(model)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
-        for batch in batches:
-            found = scorer.evidence(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "label", "whole", "passage"])
-
+    counted = texts_of(documents, chosen.where(~for_curve)).mapInArrow(light(word_counts), "unit binary, ordinary long, toxic long, texts long")
+    with configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):  # whole texts in a worker's memory
+        words, path = settled_at(counted.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]), "words")
+    trained = words.where("ordinary + toxic > 0").select("unit", "ordinary", "toxic")
+    paths = [path]
+    judged = kneser_ney(trained.mapInArrow(light(longest_grams), GRAM), paths)
+    small = judged.count() <= MOST_GRAMS and judged.select("context").distinct().count() <= MOST_CONTEXTS
+    bare = np.array([-2.0, 1.0, 1.0])
     rows = bounded_labels(documents, chosen.where(for_curve))
-    seen = rows.select("doc_id", "label", "text").mapInArrow(light(weigh), "doc_id long, label int, whole double, passage double").orderBy("doc_id", "label", "whole", "passage").toPandas()
+    if small:
+        model = Model(*tables(judged), bare)
+        for path in paths:
+            remove_path(spark, path)
+        held = spark.sparkContext.broadcast(model)
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(held.value)
+            for batch in batches:
+                found = scorer.evidence(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "label", "whole", "passage"])
+
+        seen = rows.select("doc_id", "label", "text").mapInArrow(light(weigh), "doc_id long, label int, whole double, passage double")
+    else:
+        lexicon = lexicon_of(words, judged)
+        hot = lexicon.where("hot").select("code", "ratios").toArrow()
+        held = spark.sparkContext.broadcast(Lexicon(hot["code"].to_numpy().view(U), hot["ratios"]))
+        model = Joined(lexicon.where("not hot").select("code", "ratios"), SLICES if lexicon.count() > FEW_WORDS else 1, bare)
+        for path in paths:
+            remove_path(spark, path)
+        rows = settled(rows, "curve")
+        seen = model.weighed(rows, held, ["doc_id", "label"], 1).select(F.col("row.c0").alias("doc_id"), F.col("row.c1").alias("label"), "whole", "passage")
+    seen = seen.orderBy("doc_id", "label", "whole", "passage").toPandas()
     if seen["label"].nunique() == 2:
         model.curve = fit_curve(seen[["whole", "passage"]].to_numpy(float), seen["label"].to_numpy(float))
     return model, held
 
 
-def scored(documents: DataFrame, model: Model, held: object, modulus: int = 5) -> DataFrame:
-    """Every row of ``documents`` with held_out, score and predicted, and the two log-likelihood ratios."""
+def judged_rows(documents: DataFrame, model: Model | Joined, held: object, columns: list[str], judged: str) -> DataFrame:
+    """``columns``, and ``judged`` with score, whole and passage."""
     curve = model.curve
+    if isinstance(model, Joined):
+
+        @F.arrow_udf("double")
+        def curved_score(whole: pa.Array, passage: pa.Array) -> pa.Array:
+            return pa.array(curved(np.column_stack([np.asarray(whole), np.asarray(passage)]), curve))
+
+        found = model.weighed(documents, held, columns)
+        result = F.struct(curved_score("whole", "passage").alias("score"), "whole", "passage")
+        return found.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)], result.alias(judged))
 
     @F.arrow_udf("struct<score: double, whole: double, passage: double>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -486,9 +774,15 @@ def scored(documents: DataFrame, model: Model, held: object, modulus: int = 5) -
             found = scorer.evidence(text)
             yield pa.StructArray.from_arrays([pa.array(curved(found, curve)), pa.array(found[:, 0]), pa.array(found[:, 1])], ["score", "whole", "passage"])
 
+    return documents.select(*[F.col(quoted(c)) for c in columns], judge(F.coalesce("text", F.lit(""))).alias(judged))
+
+
+def scored(documents: DataFrame, model: Model | Joined, held: object, modulus: int = 5, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Every row of ``documents`` (of ``keep`` and the doc_id, where named) with held_out, score and predicted, and the two log-likelihood ratios."""
     judged = unused(documents, "judged")
+    columns = documents.columns if keep is None else ["doc_id", *(c for c in keep if c != "doc_id")]
     return (
-        documents.withColumn(judged, judge(F.coalesce("text", F.lit(""))))
+        judged_rows(documents, model, held, columns, judged)
         .withColumns(
             {
                 "held_out": F.coalesce(fold_of("doc_id", modulus) == 0, F.lit(False)),
@@ -502,6 +796,6 @@ def scored(documents: DataFrame, model: Model, held: object, modulus: int = 5) -
     )
 
 
-def detect(documents: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
+def detect(documents: DataFrame, labels: DataFrame, modulus: int = 5, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Fit on the labelled rows of the other folds and score every document."""
-    return scored(documents, *fit(documents, labels, fold_of("doc_id", modulus) != 0), modulus)
+    return scored(documents, *fit(documents, labels, fold_of("doc_id", modulus) != 0), modulus, keep)

@@ -293,6 +293,28 @@ def test_toxicity_is_plain_kneser_ney(spark):
         assert found[0, 1] > found[1, 1] + 0.1
 
 
+def test_a_model_beyond_the_bounds_counts_every_ngram(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(2, 15))) for _ in range(1200)] + ["é" * 90, "x" * 400, "你好" * 60]
+    texts = [" ".join(rng.sample(words, 40) + [f"only{i}"] + ["rotten"] * (i % 4 == 0)) for i in range(300)] + [None, "", " \n", "x" * 300 + " unseen é", "é" * 400]
+    docs = frame(spark, [*texts, texts[3]]).union(spark.createDataFrame([(None, texts[5] + " nobody", *"spxw", 7, "r")] * 2, SCHEMA)).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(250)], "doc_id long, toxic int")
+    columns = ["doc_id", "held_out", "score", "predicted", "whole_llr", "passage_llr", "rest", "bucket"]
+
+    def run():
+        return sorted(toxicity.detect(docs, labels).select(columns).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+
+    want = run()
+    for bounds in ({"MOST_WORDS": 100, "CHUNK": 64, "GROUP": 16, "FEW_WORDS": 9, "MOST_GRAMS": 50}, {"MOST_WORDS": 0, "MOST_CONTEXTS": 50, "STRETCH": 64, "GROUP": 1000}):
+        for name, value in bounds.items():
+            monkeypatch.setattr(toxicity, name, value)
+        got = run()
+        assert len(got) == len(want) == 308
+        for a, b in zip(got, want, strict=True):
+            assert (a.doc_id, a.held_out, a.predicted, a.rest, a.bucket) == (b.doc_id, b.held_out, b.predicted, b.rest, b.bucket)
+            assert np.allclose([a.score, a.whole_llr, a.passage_llr], [b.score, b.whole_llr, b.passage_llr], atol=1e-5)
+
+
 def test_a_text_beyond_a_stretch_is_scored_whole(monkeypatch):
     model = toxicity.Model(toxicity.Table(np.zeros(0, np.uint64), np.zeros(0, np.float32)), toxicity.Table(np.zeros(0, np.uint64), np.zeros(0, np.float32)), np.zeros(3))
     monkeypatch.setattr(toxicity.Model, "ratios", lambda self, text: np.array([b / 100 for b in text[1:]], np.float32))
