@@ -666,7 +666,7 @@ class Joined:
 
         schema = StructType(documents.select(row).schema.fields).add("whole", "double").add("passage", "double")
         out = None
-        with configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
+        with configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
             for k in range(slices):
                 mine = rows.where(F.pmod("group", F.lit(slices)) == k)
                 told = mine.select("group", "text").mapInArrow(light(ask), "group long, code long").join(self.cold, "code")
