@@ -54,13 +54,16 @@ PASSAGE = 8
 #: A larger model isn't broadcast, but joined.
 MOST_CONTEXTS, MOST_GRAMS = 1 << 16, 1 << 18
 #: Words whose ratios are broadcast where the model isn't, words that ask together for contexts, documents for words.
-MOST_WORDS, CHUNK, GROUP = 1 << 17, 1 << 17, 64
-#: Parts of the documents that are joined one after another with their words, so that one part's shuffle is on disk at a time.
-SLICES, FEW_WORDS = 3, 1 << 18
+MOST_WORDS, CHUNK, GROUP = 1 << 18, 1 << 17, 64
+#: Parts of the documents that are joined one after another with their words, and of the words' chunks with their contexts,
+#: so that one part's shuffle is on disk at a time; fewer words are joined in one.
+SLICES, CHUNK_SLICES, FEW_WORDS = 3, 2, 1 << 18
 #: Bound on the training rows that the curve is fitted on, which are a share of them at the most.
 MOST_CURVE, CURVE_SHARE = 6_000, 4
 #: Words counted by a task before it hands on their counts, and bytes of a word in one unit of counting.
-FLUSH_WORDS, UNIT = 200_000, 96
+FLUSH_WORDS, UNIT = 300_000, 96
+#: Where every partition of one side of a join has fewer bytes, it is hashed and neither side sorted.
+HASHED = "64m"
 #: Bytes scored at a time; longer texts are scored in stretches that end between words.
 STRETCH = 1 << 19
 #: Bytes of words whose ratios a worker remembers.
@@ -130,7 +133,7 @@ class Table:
 
     def _build(self) -> None:
         codes, values = self.held
-        self.bits = max(8, int(2 * len(codes)).bit_length() + 1)
+        self.bits = max(8, int(2 * len(codes)).bit_length())
         self.keys = np.zeros(1 << self.bits, U)
         self.values = np.zeros(1 << self.bits, np.float32)
         self.probes = 0
@@ -332,24 +335,31 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdDecompressor()
     counts = Counter(), Counter(), Counter()  # the last one has what isn't trained on
 
-    def flush() -> pa.RecordBatch:
-        found, n = [], []
-        for word in counts[0].keys() | counts[1].keys() | counts[2].keys():
-            own = units(word.encode("utf-8", "replace"))
-            c = [counts[k].get(word, 0) for k in range(3)]
-            found += own
-            n += [(c[0], c[1], sum(c))] * len(own)
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *(pa.array([x[c] for x in n], pa.int64()) for c in range(3))], ["unit", "ordinary", "toxic", "texts"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        words = pa.concat_arrays([pa.array(list(c), pa.string()) for c in counts]).dictionary_encode()
+        found, of = words.dictionary, np.split(np.asarray(words.indices), np.cumsum([len(c) for c in counts])[:2])
+        n = np.zeros((3, len(found)), np.int64)
+        for k, c in enumerate(counts):
+            n[k, of[k]] = np.fromiter(c.values(), np.int64, len(c))
+            c.clear()
+        unit = pc.binary_join_element_wise(b" ", found.cast(pa.binary()), b" ", b"")
+        size = np.asarray(pc.binary_length(unit))
+        if (long := np.flatnonzero(size > UNIT)).size:
+            own = [units(found[i].as_py().encode()) for i in long.tolist()]
+            short = np.flatnonzero(size <= UNIT)
+            unit = pa.concat_arrays([unit.take(pa.array(short)), pa.array([u for x in own for u in x], pa.binary())])
+            n = n[:, np.concatenate([short, np.repeat(long, [len(x) for x in own])])]
+        out = pa.RecordBatch.from_arrays([unit, *(pa.array(x) for x in (n[0], n[1], n.sum(0)))], ["unit", "ordinary", "toxic", "texts"])
+        for k in range(0, out.num_rows, 1 << 16):
+            yield out.slice(k, 1 << 16)
 
     for batch in batches:
         for label, blob in zip(batch.column("label").to_pylist(), batch.column("blob"), strict=True):
             counts[2 if label is None else label].update(set(press.decompress(blob.as_py()).decode("utf-8", "replace").lower().split()))
             if sum(map(len, counts)) > FLUSH_WORDS:
-                yield flush()
-                for c in counts:
-                    c.clear()
+                yield from flush()
     if any(counts):
-        yield flush()
+        yield from flush()
 
 
 GRAM = "context long, high long, low long, ordinary long, toxic long"
@@ -421,7 +431,8 @@ def kneser_ney(longest: DataFrame, paths: list[str]) -> DataFrame:
     tail = F.col("low").bitwiseAND(0xFFFF)
     # Two bytes: 65,536 rows at the most.
     pairs = whole.groupBy(tail.alias("tail")).agg(F.count("*").alias("n"))
-    shared = pairs.withColumn("below", F.col("n") / F.sum("n").over(Window.partitionBy(F.shiftright("tail", 8)))).select("tail", "below")
+    shared, path = settled_at(pairs.withColumn("below", F.col("n") / F.sum("n").over(Window.partitionBy(F.shiftright("tail", 8)))).select("tail", "below"), "shared", 1 << 16)
+    paths.append(path)
 
     def weight(c: str) -> Column:
         return F.when(F.col(f"total_{c}") > 0, DISCOUNT * F.col(f"types_{c}") / F.col(f"total_{c}")).otherwise(F.lit(1.0))
@@ -444,6 +455,10 @@ def tables(judged: DataFrame) -> tuple[Table, Table]:
     )
 
 
+#: Words from which on a lexicon is probed and not searched.
+LARGE = 1 << 14
+
+
 class Lexicon:
     """The ratios of words' bytes by the words' codes."""
 
@@ -452,11 +467,16 @@ class Lexicon:
         self.codes, first = np.unique(codes, return_index=True)
         self.size, self.begin = size[first], (np.cumsum(size) - size)[first]
         self.store = np.frombuffer(b"".join(ratios.to_pylist()), np.float32)
+        self.places: Table | None = None
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         """The words' places, or -1."""
         if not len(self.codes):
             return np.full(len(codes), -1)
+        if LARGE < len(self.codes) < 1 << 24:  # a float32 holds every place
+            self.places = self.places or Table(self.codes, np.arange(len(self.codes), dtype=np.float32))
+            place, found = self.places.get(codes)
+            return np.where(found, place, -1).astype(np.int64)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         return np.where(self.codes[at] == codes, at, -1)
 
@@ -487,8 +507,10 @@ class Reader(Scorer):
         codes, start, end = word_codes(text)
         size = end - start + 1
         shift = np.cumsum(size) - size
-        hot, cold, out = self.hot.find(codes), self.cold.find(codes), np.zeros(int(size.sum()), np.float32)
+        hot, cold, out = self.hot.find(codes), np.full(len(codes), -1), np.zeros(int(size.sum()), np.float32)
         short = size + 1 <= UNIT
+        rest = np.flatnonzero(short & (hot < 0))
+        cold[rest] = self.cold.find(codes[rest])
         for i in np.flatnonzero(~short).tolist():
             own = unit_codes(units(text[start[i] : end[i]]))
             out[shift[i] : shift[i] + size[i]] = np.concatenate([self.piece(own[k : k + 1]) for k in range(len(own))])
@@ -601,21 +623,30 @@ def chunks_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     yield out.slice(k, 1 << 14)
 
 
-def lexicon_of(words: DataFrame, judged: DataFrame) -> DataFrame:
-    """(code, ratios, hot) of every word."""
+def lexicon_of(words: DataFrame, judged: DataFrame, path: str) -> DataFrame:
+    """(code, ratios, hot) of every word.  ``path`` is where the words are, which are removed as soon as they are read."""
     step = F.floor(F.log2(F.col("texts")) * 16).cast("int")
     steps = words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).toPandas().sort_values("step", ascending=False)
     fits = steps["n"].cumsum() <= MOST_WORDS
     least = int(steps["step"][fits].min()) if fits.any() else 1 << 30
     known = words.select("unit", (F.col("ordinary") + F.col("toxic") > 0).alias("trained"), (step >= least).alias("hot"))
     # Sorted, so that the words of a chunk share their contexts.
-    ordered = known.repartitionByRange(max(1, -(-int(steps["n"].sum()) // CHUNK)), "unit").sortWithinPartitions("unit")
-    chunks = settled(ordered.mapInArrow(light(chunked), "chunk long, blob binary"), "chunks")
+    n = int(steps["n"].sum())
+    ordered = known.repartitionByRange(max(1, -(-n // CHUNK)), "unit").sortWithinPartitions("unit")
+    chunks, chunks_path = settled_at(ordered.mapInArrow(light(chunked), "chunk long, blob binary"), "chunks")
+    remove_path(words.sparkSession, path)
     contexts = judged.groupBy("context").agg(F.first("backoff").alias("backoff"), F.collect_list(F.struct(F.col("low").bitwiseAND(255).cast("short").alias("byte"), "ratio")).alias("grams"))
-    told = chunks.mapInArrow(light(contexts_asked), "chunk long, context long").join(contexts, "context")
-    both = told.withColumn("kind", F.lit(0)).unionByName(chunks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    ordered = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return settled(ordered.mapInArrow(light(chunks_answered), "code long, ratios binary, hot boolean"), "lexicon")
+    out, slices = None, CHUNK_SLICES if n > FEW_WORDS else 1
+    for k in range(slices):
+        mine = chunks.where(F.pmod("chunk", F.lit(slices)) == k)
+        told = mine.mapInArrow(light(contexts_asked), "chunk long, context long").join(contexts, "context")
+        both = told.withColumn("kind", F.lit(0)).unionByName(mine.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        ordered = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
+        with configured(words.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
+            part = settled(ordered.mapInArrow(light(chunks_answered), "code long, ratios binary, hot boolean"), "lexicon")
+        out = part if out is None else out.union(part)
+    remove_path(words.sparkSession, chunks_path)
+    return out
 
 
 @dataclass
@@ -666,7 +697,7 @@ class Joined:
 
         schema = StructType(documents.select(row).schema.fields).add("whole", "double").add("passage", "double")
         out = None
-        with configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
+        with configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500", spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
             for k in range(slices):
                 mine = rows.where(F.pmod("group", F.lit(slices)) == k)
                 told = mine.select("group", "text").mapInArrow(light(ask), "group long, code long").join(self.cold, "code")
@@ -718,10 +749,11 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column) -> tuple[Mode
     n = max(1, chosen.count())
     for_curve = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1 << 40)) < int(min(1 / CURVE_SHARE, MOST_CURVE / n) * (1 << 40))
     counted = texts_of(documents, chosen.where(~for_curve)).mapInArrow(light(word_counts), "unit binary, ordinary long, toxic long, texts long")
-    with configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):  # whole texts in a worker's memory
-        words, path = settled_at(counted.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]), "words")
+    # Whole texts are in a worker's memory.
+    with configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000", spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
+        words, words_path = settled_at(counted.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]), "words")
     trained = words.where("ordinary + toxic > 0").select("unit", "ordinary", "toxic")
-    paths = [path]
+    paths = [words_path]
     judged = kneser_ney(trained.mapInArrow(light(longest_grams), GRAM), paths)
     small = judged.count() <= MOST_GRAMS and judged.select("context").distinct().count() <= MOST_CONTEXTS
     bare = np.array([-2.0, 1.0, 1.0])
@@ -740,7 +772,7 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column) -> tuple[Mode
 
         seen = rows.select("doc_id", "label", "text").mapInArrow(light(weigh), "doc_id long, label int, whole double, passage double")
     else:
-        lexicon = lexicon_of(words, judged)
+        lexicon = lexicon_of(words, judged, words_path)
         hot = lexicon.where("hot").select("code", "ratios").toArrow()
         held = spark.sparkContext.broadcast(Lexicon(hot["code"].to_numpy().view(U), hot["ratios"]))
         model = Joined(lexicon.where("not hot").select("code", "ratios"), SLICES if lexicon.count() > FEW_WORDS else 1, bare)

@@ -7,16 +7,19 @@ import pickle
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lattica.llm import ball_tree, bpe, minhash, multi_index, packing, quality, suffix_array, suffix_tree, toxicity, warc
 from lattica.llm import components as components_module
+from lattica.llm.common import shared_dir
 from lattica.llm.components import components
 from lattica.llm.symbols import word_codes
 
@@ -315,6 +318,43 @@ def test_a_model_beyond_the_bounds_counts_every_ngram(spark, monkeypatch):
             assert np.allclose([a.score, a.whole_llr, a.passage_llr], [b.score, b.whole_llr, b.passage_llr], atol=1e-5)
 
 
+def test_a_large_model_leaves_only_its_words_on_disk(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(2, 15))) for _ in range(900)]
+    texts = [" ".join(rng.sample(words, 40)) for _ in range(200)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    for name, value in {"MOST_WORDS": 100, "CHUNK": 64, "FEW_WORDS": 9, "MOST_GRAMS": 50}.items():
+        monkeypatch.setattr(toxicity, name, value)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    model, held = toxicity.fit(docs, labels, F.lit(True))
+    left = sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before)
+    assert [x for x in left if x != "weighed"] == ["curve", "lexicon", "lexicon"]  # the chunks were joined one part after another
+    cold = [r.code for r in model.cold.collect()]
+    assert len(cold) == len(set(cold)) == len({w for t in texts for w in t.split()}) - len(held.value.codes)
+
+
+def test_a_task_hands_a_word_on_once():
+    text = " ".join(f"w{i}" for i in range(95_000)) + " " + "é" * 100
+    blob = zstandard.ZstdCompressor().compress(text.encode())
+    batches = [pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([blob], pa.binary())], ["label", "blob"]) for label in (0, 1, None, 1)]
+    got = pa.Table.from_batches(toxicity.word_counts(iter(batches)))
+    assert got["unit"].to_pylist() == list(dict.fromkeys(got["unit"].to_pylist()))
+    assert set(got["unit"].to_pylist()) == {b" w%d " % i for i in range(95_000)} | set(toxicity.units(("é" * 100).encode()))
+    assert [got[c].unique().to_pylist() for c in ("ordinary", "toxic", "texts")] == [[1], [2], [4]]
+
+
+def test_words_are_found_in_lexicons_of_any_size():
+    rng = np.random.default_rng(6)
+    for n in (1, 100, toxicity.LARGE + 50):
+        codes = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
+        words = toxicity.Lexicon(rng.permutation(codes), pa.array([b"1234"] * len(codes), pa.binary()))
+        asked = np.concatenate([codes[::3], codes[::3] + np.uint64(1 << 63)])
+        at = pickle.loads(pickle.dumps(words)).find(asked)
+        assert (words.codes[at[: len(codes[::3])]] == codes[::3]).all() and (at[len(codes[::3]) :] == -1).all()
+
+
 def test_a_text_beyond_a_stretch_is_scored_whole(monkeypatch):
     model = toxicity.Model(toxicity.Table(np.zeros(0, np.uint64), np.zeros(0, np.float32)), toxicity.Table(np.zeros(0, np.uint64), np.zeros(0, np.float32)), np.zeros(3))
     monkeypatch.setattr(toxicity.Model, "ratios", lambda self, text: np.array([b / 100 for b in text[1:]], np.float32))
