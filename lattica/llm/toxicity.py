@@ -30,7 +30,6 @@ is empty; without labels every text gets a score of the bare curve.  Columns of
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,8 +59,9 @@ MOST_WORDS, CHUNK, GROUP = 1 << 18, 1 << 17, 64
 SLICES, CHUNK_SLICES, FEW_WORDS = 3, 2, 1 << 18
 #: Bound on the training rows that the curve is fitted on, which are a share of them at the most.
 MOST_CURVE, CURVE_SHARE = 6_000, 4
-#: Words counted by a task before it hands on their counts, and bytes of a word in one unit of counting.
-FLUSH_WORDS, UNIT = 300_000, 96
+#: Words that a task holds before it sums them and hands on their counts, bytes of texts that are counted together, and bytes
+#: of a word in one unit of counting.
+FLUSH_WORDS, COUNTED, UNIT = 800_000, 1 << 22, 96
 #: Where every partition of one side of a join has fewer bytes, it is hashed and neither side sorted.
 HASHED = "64m"
 #: Bytes scored at a time; longer texts are scored in stretches that end between words.
@@ -70,10 +70,23 @@ STRETCH = 1 << 19
 REMEMBERED = 1 << 20
 
 
+#: Bytes that begin all white space beyond ASCII (other characters too), and the white space of ASCII as spaces.
+WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_NARROW = bytes(32 if chr(i).isspace() and i < 128 else i for i in range(256))
+
+
 def clean(text: str | None) -> bytes:
-    """Lower-cased text between single spaces, as UTF-8."""
-    words = (text or "").lower().split()
-    return b" %b " % " ".join(words).encode("utf-8", "replace") if words else b""
+    """Lower-cased text between single spaces, as UTF-8; white space is what ``str.split`` takes for it."""
+    lower = (text or "").lower()
+    b = lower.encode("utf-8", "replace")
+    if not lower.isascii() and any(w in b for w in WIDE):
+        b = " ".join(lower.split()).encode("utf-8", "replace")
+    else:
+        b = b.translate(_NARROW)
+        while b"  " in b:
+            b = b.replace(b"  ", b" ")
+        b = b.strip(b" ")
+    return b" %b " % b if b else b""
 
 
 #: The bits of the low and of the high word that a gram of so many bytes fills.
@@ -330,35 +343,80 @@ def unit_grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((high & _HIGH[n]) | (n.astype(U) << _SIZE))[own], (low & _LOW[n])[own], unit[own]
 
 
+class Tally:
+    """In how many texts of each class, and of no class, words are."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.held: list[tuple[pa.Array, np.ndarray]] = []
+        self.texts: list[bytes] = []
+        self.classes: list[int] = []
+        self.size = self.most = 0  # of the texts, and how many words are held at the most
+
+    def add(self, text: bytes, label: int) -> None:
+        """A cleaned text, of class 2 if it isn't trained on."""
+        if text:
+            self.texts.append(text[:-1])  # the next text's first space ends its last word
+            self.classes.append(label)
+            self.size += len(text)
+
+    def settle(self) -> None:
+        """Count the texts that are held, by arrays: each word of a text once."""
+        if not self.texts:
+            return
+        data = b"".join(self.texts) + b" "
+        space = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        text_of = np.searchsorted(np.cumsum([len(t) for t in self.texts]), space[:-1], "right")
+        offsets = (space + 1).astype(np.int64)
+        found = pa.Array.from_buffers(pa.large_binary(), len(space) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        k = len(found.dictionary)
+        pairs = np.sort(text_of * k + np.asarray(found.indices))
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        n = np.bincount(np.array(self.classes)[pairs // k] * k + pairs % k, minlength=3 * k).reshape(3, k)
+        self.held.append((found.dictionary.cast(pa.binary()), n))
+        self.most += k
+        self.texts, self.classes, self.size = [], [], 0
+
+    def summed(self) -> tuple[pa.Array, np.ndarray]:
+        """The words that are held, each with the space after it, and their counts."""
+        if len(self.held) > 1:
+            words = pa.concat_arrays([w for w, _ in self.held]).dictionary_encode()
+            of, n = np.asarray(words.indices), np.concatenate([n for _, n in self.held], axis=1)
+            self.held = [(words.dictionary, np.stack([np.bincount(of, x, len(words.dictionary)).astype(np.int64) for x in n]))]
+            self.most = len(words.dictionary)
+        return self.held[0]
+
+
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(unit, ordinary, toxic, texts): in how many texts of each class, and of all, a word is, summed over many texts."""
     press = zstandard.ZstdDecompressor()
-    counts = Counter(), Counter(), Counter()  # the last one has what isn't trained on
+    tally = Tally()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        words = pa.concat_arrays([pa.array(list(c), pa.string()) for c in counts]).dictionary_encode()
-        found, of = words.dictionary, np.split(np.asarray(words.indices), np.cumsum([len(c) for c in counts])[:2])
-        n = np.zeros((3, len(found)), np.int64)
-        for k, c in enumerate(counts):
-            n[k, of[k]] = np.fromiter(c.values(), np.int64, len(c))
-            c.clear()
-        unit = pc.binary_join_element_wise(b" ", found.cast(pa.binary()), b" ", b"")
+        words, n = tally.summed()
+        unit = pc.binary_join_element_wise(b" ", words, b"")
         size = np.asarray(pc.binary_length(unit))
         if (long := np.flatnonzero(size > UNIT)).size:
-            own = [units(found[i].as_py().encode()) for i in long.tolist()]
+            own = [units(unit[i].as_py()[1:-1]) for i in long.tolist()]
             short = np.flatnonzero(size <= UNIT)
             unit = pa.concat_arrays([unit.take(pa.array(short)), pa.array([u for x in own for u in x], pa.binary())])
             n = n[:, np.concatenate([short, np.repeat(long, [len(x) for x in own])])]
         out = pa.RecordBatch.from_arrays([unit, *(pa.array(x) for x in (n[0], n[1], n.sum(0)))], ["unit", "ordinary", "toxic", "texts"])
+        tally.forget()
         for k in range(0, out.num_rows, 1 << 16):
             yield out.slice(k, 1 << 16)
 
     for batch in batches:
         for label, blob in zip(batch.column("label").to_pylist(), batch.column("blob"), strict=True):
-            counts[2 if label is None else label].update(set(press.decompress(blob.as_py()).decode("utf-8", "replace").lower().split()))
-            if sum(map(len, counts)) > FLUSH_WORDS:
-                yield from flush()
-    if any(counts):
+            tally.add(clean(press.decompress(blob.as_py()).decode("utf-8", "replace")), 2 if label is None else label)
+            if tally.size > COUNTED:
+                tally.settle()
+                if tally.most > FLUSH_WORDS and len(tally.summed()[0]) > FLUSH_WORDS // 2:
+                    yield from flush()
+    tally.settle()
+    if tally.held:
         yield from flush()
 
 
@@ -507,20 +565,23 @@ class Reader(Scorer):
         codes, start, end = word_codes(text)
         size = end - start + 1
         shift = np.cumsum(size) - size
-        hot, cold, out = self.hot.find(codes), np.full(len(codes), -1), np.zeros(int(size.sum()), np.float32)
-        short = size + 1 <= UNIT
+        hot, short = self.hot.find(codes), size + 1 <= UNIT
+        if len(self.hot.store):  # what isn't hot reads from any place and is replaced
+            place = np.repeat(np.where(hot >= 0, self.hot.begin[hot], 0) - shift, size)
+            place += np.arange(len(place))
+            out = self.hot.store.take(place, mode="clip")
+        else:
+            out = np.zeros(int(size.sum()), np.float32)
         rest = np.flatnonzero(short & (hot < 0))
-        cold[rest] = self.cold.find(codes[rest])
+        if rest.size:
+            cold, n = self.cold.find(codes[rest]), size[rest]
+            if (cold < 0).any():
+                raise KeyError("a word without ratios")
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(shift[rest], n) + step] = self.cold.store[np.repeat(self.cold.begin[cold], n) + step]
         for i in np.flatnonzero(~short).tolist():
             own = unit_codes(units(text[start[i] : end[i]]))
             out[shift[i] : shift[i] + size[i]] = np.concatenate([self.piece(own[k : k + 1]) for k in range(len(own))])
-        if (short & (hot < 0) & (cold < 0)).any():
-            raise KeyError("a word without ratios")
-        for words, at, mine in ((self.hot, hot, short & (hot >= 0)), (self.cold, cold, short & (hot < 0))):
-            if mine.any():
-                n = size[mine]
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                out[np.repeat(shift[mine], n) + step] = words.store[np.repeat(words.begin[at[mine]], n) + step]
         return out
 
 
@@ -568,6 +629,33 @@ def contexts_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(contexts), chunk)), pa.array(contexts)], ["chunk", "context"])
 
 
+#: How an n-gram's last byte and its ratio stand in its context's row.
+_GRAM = np.dtype([("byte", "u1"), ("ratio", "<f4")])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, backoff, grams): the n-grams of a context that lie together, in one row.
+
+    The n-grams were written in the order of their contexts, so most contexts get one row; who gets several adds them.
+    """
+    for batch in batches:
+        if batch.num_rows:
+            context = batch.column("context").to_numpy()
+            order = np.argsort(context, kind="stable")
+            context, grams = context[order], np.empty(len(order), _GRAM)
+            grams["byte"], grams["ratio"] = batch.column("byte").to_numpy()[order], batch.column("ratio").to_numpy()[order]
+            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            offsets = pa.py_buffer((np.append(first, len(order)) * _GRAM.itemsize).astype(np.int32))
+            rows = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(grams.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(batch.column("backoff").to_numpy()[order][first]), rows], ["context", "backoff", "grams"])
+
+
+def ungathered(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many n-grams each row has, and the bytes and ratios of all."""
+    grams = np.frombuffer(b"".join(rows.to_pylist()), _GRAM)
+    return np.asarray(pc.binary_length(rows)) // _GRAM.itemsize, grams["byte"], grams["ratio"]
+
+
 def chunk_ratios(found: list[bytes], contexts: np.ndarray, backoff: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ratios, unit) of the units' own bytes, each after its longest context of ``contexts``; keys are contexts paired with bytes."""
     high, low, unit = unit_grams(found)
@@ -605,9 +693,7 @@ def chunks_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 here, parts = chunk, []
             if part.column("kind")[0].as_py() == 0:
                 context = part.column("context").to_numpy().view(U)
-                grams = part.column("grams")
-                n, flat = np.asarray(pc.list_value_length(grams)), grams.flatten()
-                byte, value = (np.asarray(x) for x in flat.flatten())
+                n, byte, value = ungathered(part.column("grams"))
                 parts.append((context, part.column("backoff").to_numpy(), paired(np.repeat(context, n), byte.astype(U)), value))
                 continue
             known = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (U, np.float32, U, np.float32)]
@@ -633,12 +719,14 @@ def lexicon_of(words: DataFrame, judged: DataFrame, path: str) -> DataFrame:
     # Sorted, so that the words of a chunk share their contexts.
     n = int(steps["n"].sum())
     ordered = known.repartitionByRange(max(1, -(-n // CHUNK)), "unit").sortWithinPartitions("unit")
-    chunks, chunks_path = settled_at(ordered.mapInArrow(light(chunked), "chunk long, blob binary"), "chunks")
+    # Partitions are of about equal size, so slices by their numbers are too.
+    packed = ordered.mapInArrow(light(chunked), "chunk long, blob binary").withColumn("part", F.spark_partition_id())
+    chunks, chunks_path = settled_at(packed, "chunks")
     remove_path(words.sparkSession, path)
-    contexts = judged.groupBy("context").agg(F.first("backoff").alias("backoff"), F.collect_list(F.struct(F.col("low").bitwiseAND(255).cast("short").alias("byte"), "ratio")).alias("grams"))
+    contexts = judged.select("context", F.col("low").bitwiseAND(255).cast("short").alias("byte"), "ratio", "backoff").mapInArrow(light(gathered), "context long, backoff float, grams binary")
     out, slices = None, CHUNK_SLICES if n > FEW_WORDS else 1
     for k in range(slices):
-        mine = chunks.where(F.pmod("chunk", F.lit(slices)) == k)
+        mine = chunks.where(F.pmod("part", F.lit(slices)) == k).drop("part")
         told = mine.mapInArrow(light(contexts_asked), "chunk long, context long").join(contexts, "context")
         both = told.withColumn("kind", F.lit(0)).unionByName(mine.withColumn("kind", F.lit(1)), allowMissingColumns=True)
         ordered = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
@@ -751,7 +839,8 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column) -> tuple[Mode
     counted = texts_of(documents, chosen.where(~for_curve)).mapInArrow(light(word_counts), "unit binary, ordinary long, toxic long, texts long")
     # Whole texts are in a worker's memory.
     with configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000", spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
-        words, words_path = settled_at(counted.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]), "words")
+        # A task hands a word on once, so nothing is summed before the shuffle.
+        words, words_path = settled_at(counted.repartition("unit").groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]), "words")
     trained = words.where("ordinary + toxic > 0").select("unit", "ordinary", "toxic")
     paths = [words_path]
     judged = kneser_ney(trained.mapInArrow(light(longest_grams), GRAM), paths)

@@ -345,6 +345,68 @@ def test_a_task_hands_a_word_on_once():
     assert [got[c].unique().to_pylist() for c in ("ordinary", "toxic", "texts")] == [[1], [2], [4]]
 
 
+def test_a_task_of_many_words_hands_each_on_once():
+    parts = [range(160_000), range(100_000, 320_000), range(160_000), range(0)]
+    blobs = [zstandard.ZstdCompressor().compress(" ".join(f"W{i}" for i in [*part, *part[:9]]).encode()) for part in parts]
+    batches = [pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([blob], pa.binary())], ["label", "blob"]) for label, blob in zip((0, 1, None, 0), blobs, strict=True)]
+    got = pa.Table.from_batches(toxicity.word_counts(iter(batches))).to_pylist()
+    assert len(got) == 320_000
+    for row in got:
+        i = int(row["unit"][2:])
+        assert row["unit"] == b" w%d " % i
+        assert (row["ordinary"], row["toxic"], row["texts"]) == (i < 160_000, i >= 100_000, 2 * (i < 160_000) + (i >= 100_000))
+
+
+def test_counts_are_right_however_often_a_task_hands_them_on(monkeypatch):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["é", "b", "你好", "x" * 200, "C\x1fd", "e\u2003f"]) + str(rng.randrange(30)) for _ in range(rng.randrange(40))) for _ in range(90)]
+    press = zstandard.ZstdCompressor()
+    batch = pa.RecordBatch.from_arrays([pa.array([[0, 1, None][i % 3] for i in range(90)], pa.int32()), pa.array([press.compress(t.encode()) for t in texts], pa.binary())], ["label", "blob"])
+    want: dict = {}
+    for i, t in enumerate(texts):
+        for unit in (u for w in set(t.lower().split()) for u in toxicity.units(w.encode())):
+            n = want.setdefault(unit, [0, 0, 0])
+            n[2] += 1
+            if i % 3 < 2:
+                n[i % 3] += 1
+    for counted, most in ((1 << 22, 800_000), (300, 40), (0, 0)):
+        monkeypatch.setattr(toxicity, "COUNTED", counted)
+        monkeypatch.setattr(toxicity, "FLUSH_WORDS", most)
+        got: dict = {}
+        for row in pa.Table.from_batches(toxicity.word_counts(iter([batch]))).to_pylist():
+            n = got.setdefault(row["unit"], [0, 0, 0])
+            for k, c in enumerate(("ordinary", "toxic", "texts")):
+                n[k] += row[c]
+        assert got == want
+
+
+def test_clean_takes_for_white_space_what_split_does():
+    spaces = [chr(i) for i in range(0x11000) if chr(i).isspace()]
+    for text in [None, "", *spaces, *(f"{a}A{w}{w}{b}{w}" for w in spaces for a in ("", "\u201c", "É ") for b in ("B", "\u00ad", "\ud800"))]:
+        words = (text or "").lower().split()
+        assert toxicity.clean(text) == (b" %b " % " ".join(words).encode("utf-8", "replace") if words else b"")
+
+
+def test_a_context_may_come_in_several_rows():
+    found = toxicity.units(b"abc") + toxicity.units(b"abd")
+    high, low, _ = toxicity.unit_grams(found)
+    context, byte = toxicity.named_context(high, low).view(np.int64), (low & np.uint64(255)).astype(np.int16)
+    names = ["context", "byte", "ratio", "backoff"]
+    rows = pa.RecordBatch.from_arrays([pa.array(context), pa.array(byte), pa.array(byte / 128, pa.float32()), pa.array(context % 7, pa.float32())], names)
+
+    def ratios(size):
+        parts = list(toxicity.gathered(rows.slice(k, size) for k in range(0, rows.num_rows, size)))
+        told = pa.Table.from_batches(parts).combine_chunks()
+        n, last, value = toxicity.ungathered(told["grams"].chunk(0))
+        contexts = told["context"].to_numpy().view(np.uint64)
+        keys = toxicity.paired(np.repeat(contexts, n), last.astype(np.uint64))
+        return told.num_rows, toxicity.chunk_ratios(found, contexts, told["backoff"].to_numpy(), keys, value)[0]
+
+    one, apart = ratios(rows.num_rows), ratios(1)
+    assert one[0] == len(set(context.tolist())) < apart[0] == rows.num_rows
+    assert np.array_equal(one[1], apart[1]) and np.array_equal(one[1], (byte / 128).astype(np.float32))
+
+
 def test_words_are_found_in_lexicons_of_any_size():
     rng = np.random.default_rng(6)
     for n in (1, 100, toxicity.LARGE + 50):
