@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lattica.llm.common import configured, light, partitions, quoted, settled
-from lattica.llm.symbols import BYTE_CODES, U, extended, mix, paired, windows, word_codes
+from lattica.llm.symbols import U, byte_windows, mix, windows, word_codes
 
-STRETCH = 1 << 20
+#: Windows of a text whose cells are sought at a time; the arrays for it fit into a core's cache.
+STRETCH = 1 << 15
 #: Cells in one flush of a map task, and bytes of their contents.
 FLUSH_CELLS, FLUSH_BYTES = 200_000, 16 << 20
 #: Windows ranked at a time, and rows of whole texts in one batch for a worker.
@@ -53,11 +54,12 @@ class Bytes:
     def __init__(self, data: bytes):
         self.data, self.n = data, len(data)
 
-    def codes(self, start: int, end: int) -> np.ndarray:
-        return BYTE_CODES[np.frombuffer(self.data, np.uint8, end - start, start)]
+    def names(self, start: int, end: int, size: int) -> np.ndarray:
+        """A name for the ``size`` units from each position on, of those from ``start`` to ``end``."""
+        return byte_windows(self.data[start:end], size)
 
-    def content(self, start: int, end: int) -> bytes:
-        return self.data[start:end]
+    def contents(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        return [self.data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 class Words:
@@ -71,36 +73,32 @@ class Words:
         self.code, self.starts, self.ends = word_codes(self.data)
         self.n = len(self.code)
 
-    def codes(self, start: int, end: int) -> np.ndarray:
-        return self.code[start:end]
+    def names(self, start: int, end: int, size: int) -> np.ndarray:
+        return windows(self.code[start:end], size)
 
-    def content(self, start: int, end: int) -> bytes:
-        return self.data[self.starts[start] : self.ends[end - 1]]
+    def contents(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        return [self.data[a:b] for a, b in zip(self.starts[start].tolist(), self.ends[end - 1].tolist(), strict=True)]
 
 
-def cells(text: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram name of 48 bits, first window, number of windows, name of the content) of each cell, in order.
+def cells(text: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram name of 48 bits, first window, number of windows) of each cell, in order.
 
     Grams of one name by chance only make candidates of windows that repeat nowhere.
     """
     parts = []
     for base in range(0, text.n - window + 1, STRETCH):
-        codes = text.codes(base, min(text.n, base + STRETCH + window - 1))
-        names = windows(codes, gram)
-        full = extended(names, gram, window)
-        key = (names & ~_POSITION) | np.arange(len(names), dtype=U)
+        names = text.names(base, min(text.n, base + STRETCH + window - 1), gram)
+        key = names & ~_POSITION
+        key |= np.arange(len(names), dtype=U)
         have, width = 1, window - gram + 1
         while have < width:
             step = min(have, width - have)
             key = np.minimum(key[:-step], key[step:])
             have += step
-        chosen = (key & _POSITION).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        count = np.diff(np.append(first, len(chosen)))
-        print_ = paired(full[first], full[first + count - 1] + count.astype(U))  # the two windows cover the cell
-        parts.append((names[chosen[first]] >> U(16), first + base, count, print_))
+        first = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)  # where another gram is the smallest
+        parts.append((names[(key[first] & _POSITION).astype(np.int64)] >> U(16), first + base, np.diff(np.append(first, len(key)))))
     if not parts:
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -134,12 +132,31 @@ def whole(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the indices of its entries."""
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # is sorted by its digits
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]])) if len(bucket) else np.zeros(1, int)
     for a, b in zip(edges, edges[1:], strict=False):
         yield int(bucket[order[a]]), order[a:b]
 
 
+def by_name(name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(indices in order of their names, where a name begins in them, number of each name)."""
+    order = np.argsort(name)
+    ordered = name[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(name) else np.zeros(0, np.int64)
+    return order, begin, np.diff(np.append(begin, len(order)))
+
+
+def smallest(contents: list[bytes], doc: np.ndarray) -> np.ndarray:
+    """The smallest document that has an entry's content, by the bytes themselves."""
+    least: dict[bytes, int] = {}
+    for c, d in zip(contents, doc.tolist(), strict=True):
+        if least.setdefault(c, d) > d:
+            least[c] = d
+    return np.fromiter((least[c] for c in contents), np.int64, len(contents))
+
+
 def grouped(doc: np.ndarray, spread: int) -> np.ndarray:
     """The group of each document, by a hash: ids may come in steps."""
     return (mix(doc.astype(np.int64).view(U)) % U(spread)).astype(np.int64)
@@ -203,13 +220,11 @@ class Repeats:
             doc = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[2]) for f in found])
             crc = np.repeat(np.array([f[1] for f in found], np.uint32), [len(f[2]) for f in found])
             cell = np.concatenate([np.arange(len(f[2]), dtype=np.int32) for f in found])
-            order = np.argsort(name, kind="stable")
-            new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
-            size = np.diff(np.append(np.flatnonzero(new), len(order)))
+            order, begin, size = by_name(name)
             again = np.empty(len(name), bool)
             again[order] = np.repeat(size > 1, size)
             rows = [(b, GRAMS, packed(*halves(name[once]), doc[once], crc[once], steps(cell[once]))) for b, i in by_bucket((name % U(spread)).astype(np.int64)) if len(once := i[~again[i]])]
-            known = name[order][new][size > 1]
+            known = name[order[begin[size > 1]]]
             rows += [(b, REPEATED, packed(*halves(known[i]))) for b, i in by_bucket((known % U(spread)).astype(np.int64))]
             here = np.flatnonzero(again)
             rows += [(b, MARKS, packed(doc[here[i]], crc[here[i]], cell[here[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(grouped(doc[here], spread))]
@@ -246,8 +261,10 @@ class Repeats:
                     continue
                 name, doc, crc, cell = (np.concatenate(x) for x in zip(*((whole(g[0], g[1]), g[2], g[3], np.cumsum(g[4], dtype=np.int32)) for g in grams), strict=True))
                 known = np.unique(np.concatenate([np.zeros(0, U), *(whole(*unpacked(r["blob"], np.uint32, np.uint16)) for r in rows if r["kind"] == REPEATED)]))
-                distinct, at, size = np.unique(name, return_inverse=True, return_counts=True)
-                keep = np.flatnonzero(((size > 1) | np.isin(distinct, known, assume_unique=True))[at])
+                order, begin, size = by_name(name)
+                again = np.empty(len(name), bool)
+                again[order] = np.repeat((size > 1) | np.isin(name[order[begin]], known, assume_unique=True), size)
+                keep = np.flatnonzero(again)
                 yield rows_of([(b, MARKS, packed(doc[keep[i]], crc[keep[i]], cell[keep[i]], np.ones(len(i), np.int32))) for b, i in by_bucket(grouped(doc[keep], spread))])
 
         return gathered(self.grams(documents)).mapInArrow(light(run), ROW)
@@ -305,12 +322,15 @@ class Repeats:
                     order = np.lexsort((first, crc, doc))
                     marks, held = (doc[order], crc[order], first[order], number[order]), []
                 block, at_byte = press.decompress(columns[2][i].as_py()), 0
-                for doc_id, size, rest in zip(columns[3][i].as_py(), columns[4][i].as_py(), columns[5][i].as_py(), strict=True):
+                ids = columns[3][i].as_py()
+                begin, end = (np.searchsorted(marks[0], np.array(ids, np.int64), side).tolist() for side in ("left", "right"))
+                for doc_id, a, b, size, rest in zip(ids, begin, end, columns[4][i].as_py(), columns[5][i].as_py(), strict=True):
                     data = block[at_byte : at_byte + size]
                     at_byte += size
                     crc = zlib.crc32(data)
-                    a, b = np.searchsorted(marks[0], doc_id, "left"), np.searchsorted(marks[0], doc_id, "right")
-                    own = slice(a + np.searchsorted(marks[1][a:b], crc, "left"), a + np.searchsorted(marks[1][a:b], crc, "right"))
+                    own = slice(a, b)
+                    if a < b and not marks[1][a] == marks[1][b - 1] == crc:  # the id has other texts too
+                        own = slice(a + np.searchsorted(marks[1][a:b], crc, "left"), a + np.searchsorted(marks[1][a:b], crc, "right"))
                     yield doc_id, data, crc, marks[2][own], marks[3][own], rest
 
     def contents(self, marks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -321,15 +341,9 @@ class Repeats:
             press = zstandard.ZstdCompressor(level=3)
             sizes = [len(f[2]) for f in found]
             doc, crc = np.repeat(np.array([f[0] for f in found], np.int64), sizes), np.repeat(np.array([f[1] for f in found], np.uint32), sizes)
-            name, first, count, print_ = (np.concatenate([f[2 + k] for f in found]) for k in range(4))
-            content = [c for f in found for c in f[6]]
-            order = np.lexsort((doc, print_, name))
-            new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (print_[order][1:] != print_[order][:-1])])
-            size = np.diff(np.append(np.flatnonzero(new), len(order)))
-            first_of = np.repeat(order[new], size)  # a cell of the smallest document with this name
-            same = np.fromiter((a == b or content[a] == content[b] for a, b in zip(order.tolist(), first_of.tolist(), strict=True)), bool, len(order))
-            least = doc.copy()
-            least[order[same]] = doc[first_of[same]]
+            name, first, count = (np.concatenate([f[2 + k] for f in found]) for k in range(3))
+            content = [c for f in found for c in f[5]]
+            least = smallest(content, doc)
             later = np.flatnonzero(doc > least)  # the same cell stands in a smaller document of this flush
             rows = [(b, MARKS, packed(doc[later[i]], crc[later[i]], first[later[i]].astype(np.int32), count[later[i]].astype(np.int32))) for b, i in by_bucket(grouped(doc[later], spread))]
             own = np.flatnonzero(doc == least)
@@ -346,9 +360,9 @@ class Repeats:
                 if not len(marked):
                     continue
                 text = unit(data)
-                name, first, count, print_ = (x[marked] for x in cells(text, window, gram))
-                content = [text.content(a, b) for a, b in zip(first.tolist(), (first + count + window - 1).tolist(), strict=True)]
-                found.append((doc, crc, name, first, count, print_, content))
+                name, first, count = (x[marked] for x in cells(text, window, gram))
+                content = text.contents(first, first + count + window - 1)
+                found.append((doc, crc, name, first, count, content))
                 n += len(name)
                 size += sum(map(len, content))
                 if n >= FLUSH_CELLS or size >= FLUSH_BYTES:
@@ -383,34 +397,29 @@ class Repeats:
                     continue
                 name, doc, crc, first, count = (np.concatenate(x) for x in zip(*heads, strict=True))
                 # Of equal cells those of the smallest document are ranked; in the others every window is a repeat.
-                least: dict[bytes, int] = {}  # by the bytes themselves
-                for c, d in zip(contents, doc.tolist(), strict=True):
-                    if least.setdefault(c, d) > d:
-                        least[c] = d
-                later = doc > np.array([least[c] for c in contents], np.int64)
+                later = doc > smallest(contents, doc)
                 k = np.flatnonzero(later)
                 yield rows_of([(g, MARKS, packed(doc[k[j]], crc[k[j]], first[k[j]], count[k[j]])) for g, j in by_bucket(grouped(doc[k], spread))])
                 # Names that one content alone has need no ranking; the others are ranked some names at a time.
-                order = np.flatnonzero(~later)
-                order = order[np.argsort(name[order], kind="stable")]
-                edges = np.flatnonzero(np.concatenate([[True], np.diff(name[order]) != 0, [True]]))
-                chosen, n = [], 0
-                for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
-                    if b - a > 1:
-                        chosen.append(order[a:b])
-                        n += int(count[order[a:b]].sum())
-                    if chosen and (n >= RANKED or b == len(order)):
-                        i = np.concatenate(chosen)
-                        hit = rank([contents[k] for k in i], count[i], doc[i])
-                        of = np.repeat(i, count[i])
-                        place = np.concatenate([np.arange(c) for c in count[i]])
-                        step = np.concatenate([[True], (of[1:] != of[:-1]) | (hit[1:] != hit[:-1])])
-                        start = np.flatnonzero(step)
-                        length = np.diff(np.append(start, len(hit)))
-                        start, length = start[hit[start]], length[hit[start]]
-                        k = of[start]
-                        yield rows_of([(g, MARKS, packed(doc[k[j]], crc[k[j]], (first[k[j]] + place[start[j]]).astype(np.int32), length[j].astype(np.int32))) for g, j in by_bucket(grouped(doc[k], spread))])
-                        chosen, n = [], 0
+                left = np.flatnonzero(~later)
+                order, begin, size = by_name(name[left])
+                order, size = left[order[np.repeat(size > 1, size)]], size[size > 1]
+                if not len(order):
+                    continue
+                begin = np.cumsum(size) - size
+                before = np.append(0, np.cumsum(np.add.reduceat(count[order], begin, dtype=np.int64))[:-1])  # windows of the names before
+                edges = [*begin[np.flatnonzero(np.diff(before // RANKED, prepend=-1))].tolist(), len(order)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    i = order[a:b]
+                    hit = rank([contents[k] for k in i.tolist()], count[i], doc[i])
+                    of = np.repeat(i, count[i])
+                    place = consecutive(np.zeros(len(i), np.int64), count[i])
+                    step = np.concatenate([[True], (of[1:] != of[:-1]) | (hit[1:] != hit[:-1])])
+                    start = np.flatnonzero(step)
+                    length = np.diff(np.append(start, len(hit)))
+                    start, length = start[hit[start]], length[hit[start]]
+                    k = of[start]
+                    yield rows_of([(g, MARKS, packed(doc[k[j]], crc[k[j]], (first[k[j]] + place[start[j]]).astype(np.int32), length[j].astype(np.int32))) for g, j in by_bucket(grouped(doc[k], spread))])
 
         return gathered(self.contents(marks, documents)).mapInArrow(light(run), ROW)
 
@@ -440,10 +449,11 @@ class Repeats:
             found, rest, size, kind = [], [], 0, to_arrow_type(rest_type)
             for doc, data, _, first, number, own in joined(batches):
                 text = unit(data)
-                change = np.zeros(text.n + 1, np.int32)
-                np.add.at(change, first, 1)
-                np.add.at(change, first + number + window - 1, -1)
-                found.append((doc, *digest(text, np.cumsum(change[:-1]) > 0)))
+                covered = np.zeros(text.n, bool)
+                if len(first):
+                    change = np.bincount(first, minlength=text.n + 1) - np.bincount(first + number + window - 1, minlength=text.n + 1)
+                    covered = np.cumsum(change[:-1]) > 0
+                found.append((doc, *digest(text, covered)))
                 rest.append(own)
                 size += len(data)
                 if size > 8 << 20:
@@ -461,9 +471,15 @@ class Repeats:
         return both.mapInArrow(light(run), schema).union(documents.where("doc_id is null").select("text", rest.alias("rest")).mapInArrow(untouched, schema))
 
 
+def consecutive(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """From each ``start``, ``count`` numbers that follow each other."""
+    end = np.cumsum(count)
+    return np.arange(int(count.sum())) + np.repeat(start - (end - count), count)
+
+
 def smaller_holder(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For entries in ``order`` with groups that begin at ``new``, sorted by doc within: is an entry's doc not its group's first?"""
-    size = np.diff(np.append(np.flatnonzero(new), len(order)))
+    """For entries in ``order`` with groups that begin at ``new``: is an entry's doc not its group's smallest?"""
+    begin = np.flatnonzero(new)
     hit = np.empty(len(order), bool)
-    hit[order] = doc[order] > np.repeat(doc[order][new], size)
+    hit[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.append(begin, len(order))))
     return hit

@@ -2,7 +2,7 @@
 
 Positions are ranked by the h bytes that follow, in rounds of growing h; the rank of a longer string is the pair of
 the ranks of shorter ones at two offsets, a unique rank ends its position's ranking, and only what is left goes into
-the next round: 1 to 20 bytes inside each task, by pairing at the offsets 1, 2, 4, 8 and 4; then 20 bytes across the
+the next round: 8, 16 and 20 bytes inside each task; then 20 bytes across the
 cluster, and 50 bytes (25 and 25) of what is left, where Spark brings equal ranks together and they are sorted.
 Not every position takes part: of the grams of a window the one of the smallest rank stands for it, and a position's
 windows are ranked one by one only in the last round, by the sort of rank pairs there; equal pairs have passed the
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import quoted
-from lattica.llm.repeats import Bytes, Repeats, smaller_holder
-from lattica.llm.symbols import BYTE_CODES, eights, windows
+from lattica.llm.repeats import Bytes, Repeats, consecutive, smaller_holder
+from lattica.llm.symbols import BYTE_CODES, eights, paired, windows
 
 WINDOW = 50
 GRAM = 20
@@ -34,22 +34,21 @@ def rank_pairs(window: int):
     half = (window + 1) // 2
 
     def rank(contents: list[bytes], count: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Sort the suffixes by rank pair and document; those of an equal pair in a smaller document are hits."""
+        """Sort the suffixes by rank pair; those of an equal pair in a smaller document are hits."""
         sizes = np.array([len(c) for c in contents])
         data = b"".join(contents)
         ranks = windows(BYTE_CODES[np.frombuffer(data, np.uint8)], half)
-        position = np.concatenate([np.arange(a, a + n) for a, n in zip((np.cumsum(sizes) - sizes).tolist(), count.tolist(), strict=True)])
-        left, right, owner = ranks[position], ranks[position + window - half], np.repeat(doc, count)
-        order = np.lexsort((owner, right, left))
-        new = np.concatenate([[True], (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)])
-        # Ranks are names; a mark is made of equal bytes only.
-        at = eights(data)
-        columns = [at[position + k] for k in sorted({*range(0, window - 7, 8), max(0, window - 8)})]
-        same = np.ones(max(0, len(order) - 1), bool)
-        for c in columns:
-            same &= c[order][1:] == c[order][:-1]
-        if (same < ~new[1:]).any():  # two windows of one name differ: sort by the bytes
-            order = np.lexsort((owner, *columns))
+        position, owner = consecutive(np.cumsum(sizes) - sizes, count), np.repeat(doc, count)
+        pair = paired(ranks[position], ranks[position + window - half])
+        order = np.argsort(pair)
+        new = np.concatenate([[True], np.diff(pair[order]) != 0])
+        # Ranks and pairs are names; a mark is made of equal bytes only.
+        at, offsets = eights(data), sorted({*range(0, window - 7, 8), max(0, window - 8)})
+        equal = np.flatnonzero(~new)
+        one, other = position[order[equal]], position[order[equal - 1]]
+        if any((at[one + k] != at[other + k]).any() for k in offsets):  # two windows of one name differ: sort by the bytes
+            columns = [at[position + k] for k in offsets]
+            order = np.lexsort(columns)
             new = np.concatenate([[True], np.any([np.diff(c[order]) != 0 for c in columns], axis=0)])
         return smaller_holder(order, new, owner)
 
@@ -61,6 +60,8 @@ def repeats_of(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 
 def digest(text: Bytes, covered: np.ndarray) -> tuple[int, int, int, str]:
+    if not covered.any():
+        return text.n, 0, 0, hashlib.sha256(text.data).hexdigest()
     kept = np.frombuffer(text.data, np.uint8)[~covered].tobytes()
     spans = int(np.count_nonzero(covered[1:] & ~covered[:-1])) + int(covered[:1].any())
     return text.n, int(np.count_nonzero(covered)), spans, hashlib.sha256(kept).hexdigest()

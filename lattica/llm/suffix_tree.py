@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.repeats import Repeats, Words
+from lattica.llm.repeats import Repeats, Words, consecutive
 from lattica.llm.symbols import windows, word_codes
 
 WINDOW = 50
@@ -88,7 +88,7 @@ def rank_trees(window: int):
         codes, starts, ends = word_codes(data)
         sizes = np.array([len(c) + 1 for c in contents])
         base = np.searchsorted(starts, np.cumsum(sizes) - sizes)  # the first word of each content
-        position = np.concatenate([np.arange(a, a + n) for a, n in zip(base.tolist(), count.tolist(), strict=True)])
+        position = consecutive(base, count)
         owner, hit = np.repeat(doc, count), np.zeros(int(count.sum()), bool)
         prefixes = Prefixes(codes, window)
         depth = len(prefixes.offsets)

@@ -13,11 +13,17 @@ _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    y = x >> U(30)  # one new array, changed in place
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    y ^= y >> U(27)
+    y *= U(0x94D049BB133111EB)
+    y ^= y >> U(31)
+    return y
 
 
+#: Names computed at a time, so that the arrays meanwhile stay in a core's cache.
+BLOCK = 1 << 14
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 64
 #: The bits of the first n bytes.
@@ -84,4 +90,21 @@ def extended(name: np.ndarray, have: int, size: int) -> np.ndarray:
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
     """A name for the ``size`` codes from each position on."""
-    return extended(codes, 1, size)
+    if len(codes) <= BLOCK + size:
+        return extended(codes, 1, size)
+    return np.concatenate([extended(codes[a : a + BLOCK + size - 1], 1, size) for a in range(0, len(codes) - size + 1, BLOCK)])
+
+
+def byte_windows(data: bytes, size: int) -> np.ndarray:
+    """A name for the ``size`` bytes from each position on: eight of them are mixed in at a time."""
+    n = len(data) - size + 1
+    if size < 8 or n <= 0:
+        return windows(BYTE_CODES[np.frombuffer(data, np.uint8)], size)
+    at = eights(data).copy()
+    name = at[:n] * U(_BASE)
+    for k in [*range(8, size - 8, 8), size - 8] if size > 8 else []:
+        name ^= name >> U(32)
+        name += at[k : k + n]
+        name *= U(0xD6E8FEB86659FD93)
+    name ^= name >> U(32)
+    return name

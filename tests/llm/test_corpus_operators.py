@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lattica.llm import ball_tree, bpe, minhash, multi_index, packing, quality, suffix_array, suffix_tree, toxicity, warc
+from lattica.llm import ball_tree, bpe, minhash, multi_index, packing, quality, repeats, suffix_array, suffix_tree, symbols, toxicity, warc
 from lattica.llm import components as components_module
 from lattica.llm.common import shared_dir
 from lattica.llm.components import components
@@ -655,6 +655,52 @@ def test_suffix_array(documents, texts):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(u), sum(c), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_bytes_are_named_and_ranked_by_few_passes(monkeypatch):
+    """Cells take no name of a whole window, grams of bytes are mixed eight at a time, and no cell is ranked by a call of its own."""
+    rng = random.Random(5)
+    data = bytes(rng.choice(b"abcdefgh ") for _ in range(40_000))
+    mixed, ranges = [], []
+    with monkeypatch.context() as m:
+        m.setattr(symbols, "mix", lambda x, real=symbols.mix: mixed.append(x.size) or real(x))
+        found = repeats.cells(repeats.Bytes(data), 50, 20)
+    assert sum(mixed) <= len(data)
+    assert found[2].sum() == len(data) - 49 and (found[1] == np.append(0, np.cumsum(found[2])[:-1])).all()
+    contents = [data[i : i + 60] for i in range(0, 30_000, 60)] * 2
+    count, doc = np.full(1000, 11), np.arange(1000)
+    with monkeypatch.context() as m:
+        m.setattr(np, "arange", lambda *a, real=np.arange, **k: ranges.append(a) or real(*a, **k))
+        hit = suffix_array.rank_pairs(50)(contents, count, doc)
+    assert len(ranges) < 20 and hit.tolist() == [False] * 5500 + [True] * 5500
+
+
+def test_equal_bytes_have_equal_names_in_blocks_too():
+    rng = random.Random(6)
+    data = bytes(rng.choice(b"ab") for _ in range(3000)) * 12  # longer than a block of names and a stretch of cells
+    for size in (1, 7, 8, 9, 16, 20, 25):
+        names = symbols.byte_windows(data, size)
+        assert len(names) == len(data) - size + 1
+        assert len(set(names.tolist())) == len({data[i : i + size] for i in range(len(names))}) == len(set(zip(names.tolist(), (data[i : i + size] for i in range(len(names))), strict=True)))
+        codes = symbols.BYTE_CODES[np.frombuffer(data, np.uint8)]
+        assert (symbols.windows(codes, size) == symbols.extended(codes, 1, size)).all()
+    assert [len(symbols.byte_windows(b"abc", size)) for size in (3, 4, 20)] == [1, 0, 0]
+
+
+def test_rows_of_one_id_keep_their_own_marks(spark):
+    rng = random.Random(8)
+    one, other = (sentence(rng, 60) for _ in range(2))
+    rows = [(2, one + " x"), (2, "y " + other), (2, "short"), (2, one + " x"), (1, "a " + one), (3, one + " " + other), (0, "z" * 120), (2, "z" * 49)]
+    units = [t.encode() for _, t in rows]
+    want = []
+    for (doc, _), u in zip(rows, units, strict=True):
+        gone = [False] * len(u)
+        for p in range(len(u) - 49):
+            if any(d < doc and u[p : p + 50] in v for (d, _), v in zip(rows, units, strict=True)):
+                gone[p : p + 50] = [True] * 50
+        want.append((doc, len(u), sum(gone)))
+    got = suffix_array.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == sorted(want)
+
+
 def test_suffix_tree(documents, texts, monkeypatch):
     units = [(i, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for i, t in enumerate(texts)]
     want = removed_units(units)
