@@ -13,13 +13,12 @@ _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
-    y = x >> U(30)  # one new array, changed in place
-    y ^= x
-    y *= U(0xBF58476D1CE4E5B9)
-    y ^= y >> U(27)
-    y *= U(0x94D049BB133111EB)
-    y ^= y >> U(31)
-    return y
+    x = x ^ (x >> U(30))  # a new array, changed in place; the argument may be freed meanwhile
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 #: Names computed at a time, so that the arrays meanwhile stay in a core's cache.

@@ -6,6 +6,7 @@ import hashlib
 import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -673,6 +674,16 @@ def test_bytes_are_named_and_ranked_by_few_passes(monkeypatch):
     assert len(ranges) < 20 and hit.tolist() == [False] * 5500 + [True] * 5500
 
 
+def test_names_hold_two_arrays_at_a_time():
+    x = np.arange(1 << 18, dtype=np.uint64)
+    for run in (lambda: symbols.mix(x), lambda: symbols.paired(x, x)):
+        tracemalloc.start()
+        run()
+        assert tracemalloc.get_traced_memory()[1] < 2.1 * x.nbytes
+        tracemalloc.stop()
+    assert (x == np.arange(1 << 18)).all()
+
+
 def test_equal_bytes_have_equal_names_in_blocks_too():
     rng = random.Random(6)
     data = bytes(rng.choice(b"ab") for _ in range(3000)) * 12  # longer than a block of names and a stretch of cells
